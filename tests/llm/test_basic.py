@@ -1,0 +1,111 @@
+import base64
+import hashlib
+import struct
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from linkmill.llm import bpe, exact_dedup, mixing
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string"
+TEXTS = ["", None, "a  b\t\n c", " lead and trail ", "x" * 3000, "don't we'll 123 456!!  \n\n ñandú 日本語  z", "<|endoftext|>hi<|endoftext|> <|endoftext|>", "aaaa aaaaaaa abababab", "same", "same", "a\x1cb \x1c c \x85 d\xa0 e"]
+
+
+def docs(spark, texts=TEXTS):
+    return spark.createDataFrame([(i, t, None, f"s{i % 3}" if i % 4 else None, None, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+
+
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_equals_library(spark):
+    lib = library()
+    got = {r.doc_id: r for r in bpe.encoding_digests(docs(spark), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    assert len(got) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        ids = lib.encode_ordinary(t or "")
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), t
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_encoding_of_real_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    lib, enc = library(), bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert list(memoryview(ids).cast("I")) == lib.encode_ordinary(t)
+        assert enc.decode(ids) == t.encode()
+
+
+def test_every_character_is_split_alike():
+    lib, enc = library(), bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} c{c} d {c}e" for c in chars]
+    bad = [hex(ord(c)) for c, t, ids in zip(chars, texts, enc.encode(texts)) if list(memoryview(ids).cast("I")) != lib.encode_ordinary(t)]
+    assert not bad, bad[:20]
+
+
+def test_counts_equal_library(spark):
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts = TEXTS + real
+    got = {r.doc_id: r for r in bpe.count_tokens(docs(spark, texts), P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024), t
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup(spark, keep):
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark), keep).collect()}
+    groups = {}
+    for i, t in enumerate(TEXTS):
+        groups.setdefault(t or "", []).append(i)
+    for i, t in enumerate(TEXTS):
+        g = groups[t or ""]
+        k = max(g) if keep == "max" else min(g)
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (k, len(g), i == k)
+
+
+def fill(sizes):
+    """Targets by resharing the excess until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = goal - sum(2 * sizes[s] for s in capped)
+        out = {s: left * w[s] / sum(w[x] for x in free) for s in free} | {s: 2.0 * sizes[s] for s in capped}
+        over = [s for s in free if out[s] > 2 * sizes[s]]
+        if not over:
+            return out
+        capped |= set(over)
+
+
+def test_mix(spark):
+    rows = [(i, " ".join(["w"] * (i % 37)), None, [None, "a", "b", "c", "d"][i * i % 5], None, "x", "y") for i in range(700)]
+    rows += [(5000, None, None, "e", None, "x", "y"), rows[3]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df).collect()
+    again = {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(5)).collect()}
+    assert len(got) == len(rows) and {(r.doc_id, r.taken) for r in got} == again
+    sizes, taken, target = {}, {}, {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    want = fill(sizes)
+    for s in want:
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 1
+        assert all(r.source_size == sizes[s] for r in got if r.source == s)
+
+
+def test_empty(spark):
+    e = docs(spark, [])
+    assert mixing.mix(e).count() == exact_dedup.exact_dedup(e).count() == 0
+    assert bpe.count_tokens(e, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
