@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 from .common import salts
 
 #: Runs merged into one at each level of the tree.
-FAN_IN = 8
+FAN_IN = 16
 
 
 def merge_level(runs: DataFrame, level_key) -> DataFrame:
-    """One round: runs whose key agrees are merged by digest, keeping the best identifier.
-
-    A struct as the maximum makes Spark sort each side by digest and merge the sorted
-    runs (SortAggregate), before and after the exchange.
-    """
+    """One round: runs whose key agrees are merged by digest, keeping the best identifier."""
     return (
         runs.withColumn("__run", level_key)
         .groupBy("__digest", "__run")
@@ -49,12 +45,12 @@ def exact_dedup(docs: DataFrame, keep: str = "max", fan_in: int = FAN_IN) -> Dat
         F.struct(F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("xx"), F.octet_length(text).cast("long").alias("bytes")).alias("__digest"),
         F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int").alias("__run"),
     )
-    leaf = rows.select("__digest", "__run", F.struct((F.col("doc_id") * sign).alias("id")).alias("__best"), F.lit(1).cast("long").alias("__size"))
+    leaf = rows.select("__digest", "__run", (F.col("doc_id") * sign).alias("__best"), F.lit(1).cast("long").alias("__size"))
     first = leaf.groupBy("__digest", "__run").agg(F.max("__best").alias("__best"), F.sum("__size").alias("__size"))
     merged = first
     for _ in range(levels):
         merged = merge_level(merged, F.floor(F.col("__run") / fan_in).cast("int"))
-    tops = merged.select("__digest", F.col("__best.id").alias("__id"), "__size")
+    tops = merged.select("__digest", F.col("__best").alias("__id"), "__size")
     # The result goes down to the leaves (at most one entry for each digest and run), then to the rows.
     leaves = first.select("__digest", "__run").join(tops, "__digest")
     return rows.join(leaves, ["__digest", "__run"]).select(
