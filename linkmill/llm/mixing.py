@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise
 
 #: Weights by the source's place, repeating; share of all words to take; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
@@ -54,6 +54,7 @@ def mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         "doc_id", F.col("source").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (-F.log(unit) / quality_weight(text)).alias("__key"),
     ).withColumn("__b", F.floor((1 - F.exp(-F.col("__key"))) * buckets).cast("int"))
+    rows = materialise(rows, "mix")  # texts are read once
     sums = rows.groupBy("source", "__b").agg(F.sum("size").alias("__sum"))
     goal = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")))
     goal = goal.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
