@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, licences, line_dedup, media, mixing, quality, simhash, toxicity
 from .common import documents
 
 
@@ -24,5 +24,29 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op5_token_counts": op5_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_mix_sources": op7_mix_sources}
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+def op1_licence_scan(spark, sf_dir):
+    return licences.licence_scan(documents(spark, sf_dir))
+
+
+def op2_simhash(spark, sf_dir):
+    return simhash.near_dedup(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op9_media_columns(spark, sf_dir):
+    return media.media_columns(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op10_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_byte_bpe, op4_toxicity, op5_token_counts, op6_exact_dedup, op7_mix_sources, op8_line_dedup, op9_media_columns, op10_quality)}
+ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
