@@ -18,7 +18,18 @@ from pyspark.sql import functions as F
 #: White space of Unicode's property, as the pattern's \s means it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most chunks that a worker remembers; beyond it the memory is emptied, never the result.
-REMEMBER = 400_000
+REMEMBER = 900_000
+
+
+class Known(dict):
+    """What each pair of tokens merges to, worked out once."""
+
+    def __init__(self, pair):
+        self.pair = pair
+
+    def __missing__(self, key):
+        got = self[key] = self.pair(*key)
+        return got
 
 
 class Replay:
@@ -31,57 +42,67 @@ class Replay:
     """
 
     def __init__(self, pair, single):
-        self.pair, self.single, self.known = pair, single, {}
-
-    def look(self, a: int, b: int):
-        key = (a << 20) | b
-        got = self.known.get(key, 0)
-        if got == 0:
-            got = self.known[key] = self.pair(a, b)
-        return got
+        self.single, self.known = single, Known(pair)
 
     def run(self, words: list[bytes]) -> list[list[int]]:
-        token, nxt, prv, word, starts = [], [], [], [], []
-        index, heap, look, single = defaultdict(list), [], self.look, self.single
+        if len(self.known) > 3_000_000:
+            self.known.clear()
+        known, single = self.known, self.single
+        token: list[int] = []
+        word, starts, index = [], [], defaultdict(list)
         for w, text in enumerate(words):
             start = len(token)
             starts.append(start)
-            n = len(text)
-            token.extend([single[b] for b in text])
-            word.extend([w] * n)
-            nxt.extend(range(start + 1, start + n + 1))
-            prv.extend(range(start - 1, start + n - 1))
-            if n:
-                nxt[-1], prv[start] = -1, -1
-            for i in range(start, start + n - 1):
-                if got := look(token[i], token[i + 1]):
+            ids = [single[b] for b in text]
+            token += ids
+            word += [w] * len(ids)
+            for i, key in enumerate(zip(ids, ids[1:]), start):
+                if got := known[key]:
                     index[got[0]].append(i)
+        nxt, prv = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+        for start in starts:
+            if start < len(token):
+                prv[start] = -1
+            if start:
+                nxt[start - 1] = -1
+        if token:
+            nxt[-1] = -1
         heap = list(index)
         heapq.heapify(heap)
         while heap:
             rank = heapq.heappop(heap)
-            places = sorted(index.pop(rank, ()))
+            places = index.pop(rank, ())
+            if len(places) > 1:
+                places.sort()
             held = -1  # the word whose later places wait for a lower rank
             for i in places:
                 j = nxt[i]
-                if token[i] < 0 or j < 0 or not (got := look(token[i], token[j])) or got[0] != rank:
+                a = token[i]
+                if a < 0 or j < 0 or not (got := known[a, token[j]]) or got[0] != rank:
                     continue
                 if word[i] == held:
                     if rank not in index:
                         heapq.heappush(heap, rank)
                     index[rank].append(i)
                     continue
-                token[i], token[j] = got[1], -1
+                t = token[i] = got[1]
+                token[j] = -1
                 k = nxt[i] = nxt[j]
                 if k >= 0:
                     prv[k] = i
-                for left, right in ((prv[i], i), (i, k)):
-                    if left >= 0 and right >= 0 and (new := look(token[left], token[right])):
+                    if new := known[t, token[k]]:
                         if new[0] not in index:
                             heapq.heappush(heap, new[0])
-                        index[new[0]].append(left)
+                        index[new[0]].append(i)
                         if new[0] < rank:
                             held = word[i]
+                h = prv[i]
+                if h >= 0 and (new := known[token[h], t]):
+                    if new[0] not in index:
+                        heapq.heappush(heap, new[0])
+                    index[new[0]].append(h)
+                    if new[0] < rank:
+                        held = word[i]
         starts.append(len(token))
         return [[t for t in token[a:b] if t >= 0] for a, b in zip(starts, starts[1:])]
 
