@@ -22,7 +22,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> Da
     lines = with_lines(docs.select("doc_id", "text")).select(
         F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__x"),
         F.expr("transform(__l, x -> x.h)").alias("h"),
-        F.expr(f"filter(transform(__l, (x, i) -> if(size(split(x.s, '[\\\\x20\\\\x09-\\\\x0D]+')) >= {long}, i, -1)), i -> i >= 0)").alias("long"))
+        F.expr(f"filter(transform(__l, (x, i) -> if(size(split(x.s, '[\\\\x20\\\\x09-\\\\x0D]+', {long})) >= {long}, i, -1)), i -> i >= 0)").alias("long"))
     # The smallest hash of each window, the last one among equals, and every long line.
     minima = f"""if(size(h) < {window}, array(), transform(sequence(0, size(h) - {window}), s ->
         -array_min(transform(slice(h, s + 1, {window}), (v, i) -> struct(v as v, -(s + i) as p))).p))"""
@@ -59,10 +59,10 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataF
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     runs = repeated_runs(docs, window, long)
-    gone = "coalesce(array_distinct(flatten(transform(runs, r -> transform(sequence(r.start, r.start + r.size - 1), i -> get(__l, i).n)))), array())"
+    gone = "coalesce(array_distinct(flatten(transform(runs, r -> transform(sequence(r.start, r.start + r.size - 1), i -> get(__l, i))))), array())"
     # A document keeps whole lines, so only rows with repeats need their text taken apart.
     met = docs.select(*cols, F.xxhash64("text").alias("__k")).join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__x")), "left")
-    met = with_lines(met).withColumn("__gone", F.expr(gone))
+    met = met.withColumn("__l", F.expr("filter(transform(split(coalesce(text, ''), '\\n', -1), (x, n) -> if(trim(x) = '', -1, n)), n -> n >= 0)")).withColumn("__gone", F.expr(gone))
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, n) -> struct(x, n)), y -> not array_contains(__gone, y.n)), y -> y.x), '\\n')")
     return met.select(*[F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
                       F.size("__l").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"))
