@@ -1,2 +1,380 @@
+"""Queries over the driver's tables with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkmill.functions import kernels, text
+from linkmill.operators import blocking, decide, matcher, pairfeatures, tokenstats, windows
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+MASTERS = ("src0", "src1")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def entities(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Masters and records from documents: id, country, name, addr."""
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("country"), "source",
+        text.norm_name(F.substring("text", 1, 48)).alias("name"), text.norm_addr(F.substring("text", 49, 48)).alias("addr"))
+    master = F.col("source").isin(*MASTERS)
+    return d.filter(master).drop("source"), d.filter(~master).drop("source")
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    return blocking.block(*entities(spark, sf_dir))
+
+
+def with_p(pairs: DataFrame) -> DataFrame:
+    """A closed form in place of a trained score."""
+    return pairs.select("ri", "si", F.round(1 / (1 + F.exp(-(6 * F.col("cos_both") + 4 * F.col("cos_name") - 5))), 6).alias("p"))
+
+
+def scores(spark, sf_dir) -> DataFrame:
+    return with_p(candidates(spark, sf_dir))
+
+
+def simple_scores(spark, sf_dir) -> DataFrame:
+    """ri, si, p of part keys: a closed form of integers, for the decision queries."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ri"), (F.col("l_partkey") % 997).alias("si")).distinct()
+    return li.select("ri", "si", F.round(((F.col("ri") * 7919 + F.col("si") * 104729) % 100003) / 100003.0, 6).alias("p"))
+
+
+NORM = "trim(regexp_replace(replace(strip_accents(replace(lower(regexp_replace({x}, '<[A-Za-z_]+>', ' ', 'g')), 'ß', 'ss')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+ADDR = NORM.format(x="array_to_string(list_filter(string_split(substr(text, 49, 48), ','), lambda p: lower(trim(p)) NOT IN ('null', 'none', 'n/a', 'na', 'nil', '-')), ',')")
+ENT = f"ent AS (SELECT doc_id AS id, lang AS country, source IN ('src0', 'src1') AS m, {NORM.format(x='substr(text, 1, 48)')} AS name, {ADDR} AS addr FROM documents)"
+
+
+def block_sql(b: str, t: str) -> str:
+    """CTEs {b}_pairs (all) and {b}_top of one blocker, without any trick."""
+    return f"""{b}_w AS (SELECT country, id, m, unnest(string_split({t}, ' ')) AS w FROM ent),
+{b}_g AS (SELECT country, id, m, substr(' ' || w || ' ', i, 3) AS gram, count(*) AS tf FROM (SELECT country, id, m, w, unnest(range(1, len(w) + 1)) AS i FROM {b}_w WHERE w <> '') GROUP BY ALL),
+{b}_n AS (SELECT country, count(*) AS n FROM ent WHERE m GROUP BY 1),
+{b}_d AS (SELECT country, gram, count(*) AS df, max(count(*)) OVER (PARTITION BY country) AS top FROM {b}_g WHERE m GROUP BY country, gram),
+{b}_v AS (SELECT country, gram, ln((1 + n) / (1 + df)) + 1 AS idf FROM {b}_d JOIN {b}_n USING (country) WHERE df >= 2 OR top < 2),
+{b}_r AS (SELECT country, id, m, gram, (1 + ln(tf)) * idf AS w FROM {b}_g JOIN {b}_v USING (country, gram)),
+{b}_u AS (SELECT country, id, m, gram, w / sqrt(sum(w * w) OVER (PARTITION BY country, id)) AS w FROM {b}_r),
+{b}_pairs AS (SELECT q.country, q.id AS ri, s.id AS si, round(sum(q.w * s.w), 6) AS cos FROM {b}_u q JOIN {b}_u s ON q.country = s.country AND q.gram = s.gram AND NOT q.m AND s.m GROUP BY ALL),
+{b}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ri ORDER BY cos DESC, si) - 1 AS rank FROM {b}_pairs WHERE cos > 0) WHERE rank < 10)"""
+
+
+BOTH, NAME = block_sql("b", "name || ' | ' || addr"), block_sql("n", "name")
+CANDS = f"""{ENT}, {BOTH}, {NAME},
+cands AS (SELECT country, ri, si, coalesce(bp.cos, 0) AS cos_both, coalesce(np.cos, 0) AS cos_name, coalesce(rank_both, 10) AS rank_both, coalesce(rank_name, 10) AS rank_name
+  FROM (SELECT country, ri, si, rank AS rank_both FROM b_top) FULL JOIN (SELECT country, ri, si, rank AS rank_name FROM n_top) USING (country, ri, si)
+  LEFT JOIN b_pairs bp USING (country, ri, si) LEFT JOIN n_pairs np USING (country, ri, si))"""
+SCORES = f"{CANDS}, pr AS (SELECT ri, si, round(1 / (1 + exp(-(6 * cos_both + 4 * cos_name - 5))), 6) AS p FROM cands)"
+SIMPLE = "pr AS (SELECT ri, si, round(((ri * 7919 + si * 104729) % 100003) / 100003.0::DOUBLE, 6) AS p FROM (SELECT DISTINCT l_orderkey AS ri, l_partkey % 997 AS si FROM lineitem))"
+BEST = "best AS (SELECT ri, si, p, p2 FROM (SELECT ri, si, p, coalesce(lead(p) OVER w, 0) AS p2, row_number() OVER w AS o FROM pr WINDOW w AS (PARTITION BY ri ORDER BY p DESC, si)) WHERE o = 1)"
+EXPECT = """mass AS (SELECT si, sum(p) AS n_hat, exp(sum(ln(1 - least(p, 1 - 1e-7)))) AS p0 FROM pr GROUP BY si),
+e1 AS (SELECT best.*, n_hat, p0, row_number() OVER w AS m, sum(p) OVER w AS cs FROM best JOIN mass USING (si) WHERE p >= {p_min} WINDOW w AS (PARTITION BY si ORDER BY p DESC, ri ROWS UNBOUNDED PRECEDING)),
+e2 AS (SELECT *, 1.25 * cs / (m + 0.25 * greatest(n_hat, cs)) AS ef FROM e1), e3 AS (SELECT *, max(ef) OVER (PARTITION BY si) AS top FROM e2),
+e4 AS (SELECT *, min(m) FILTER (WHERE ef >= top - 1e-12) OVER (PARTITION BY si) AS star FROM e3)"""
+TRUTH = "truth AS (SELECT r.doc_id AS ri, min(s.doc_id) AS si FROM documents r JOIN documents s ON r.text = s.text AND r.lang = s.lang WHERE r.source NOT IN ('src0', 'src1') AND s.source IN ('src0', 'src1') GROUP BY 1)"
+
+
+def truth(spark, sf_dir) -> DataFrame:
+    """ri, si: a record's master has the same whole text and language; the smallest id of several."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    s = d.filter(F.col("source").isin(*MASTERS)).groupBy("lang", "h").agg(F.min("doc_id").alias("si"))
+    return d.filter(~F.col("source").isin(*MASTERS)).join(s, ["lang", "h"]).select(F.col("doc_id").alias("ri"), "si")
+
+
+# --- text
+
+@query(f"WITH {ENT} SELECT id, country, m AS is_master, name, addr, array_to_string(regexp_extract_all(addr, '[0-9]+'), ' ') AS addr_digits, len(list_filter(string_split(name, ' '), lambda t: t <> '')) AS n_tok, len(list_filter(string_split(addr, ' '), lambda t: t <> '')) AS a_tok FROM ent")
+def norm_entities(spark, d):
+    s, r = entities(spark, d)
+    e = s.withColumn("is_master", F.lit(True)).unionByName(r.withColumn("is_master", F.lit(False)))
+    return pairfeatures.with_columns(e).select("id", "country", "is_master", "name", "addr", "addr_digits", "n_tok", "a_tok")
+
+
+@query(f"SELECT c_custkey, {NORM.format(x='c_name')} AS name, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, coalesce(nullif(ltrim(regexp_replace(c_name, '[^0-9]', '', 'g'), '0'), ''), '0') AS number, regexp_matches(c_name, '[^\\x00-\\x{{024F}}]') AS non_latin FROM customer")
+def norm_customers(spark, d):
+    c = table(spark, d, "customer").withColumn("name", text.norm_name(F.col("c_name"))).withColumn("digits", text.digits(F.col("name")))
+    return c.select("c_custkey", "name", "digits", text.strip_zeros(F.col("digits")).alias("number"), text.has_non_latin(F.col("c_name")).alias("non_latin"))
+
+
+@query("SELECT p_partkey, p_name, translate(lower(replace(p_name, 'e', '3')), '01345789', 'oleastbg') AS folded FROM part")
+def ocr_fold(spark, d):
+    t = F.transform(F.split(F.lower(F.replace("p_name", F.lit("e"), F.lit("3"))), " "), text.ocr_token)
+    return table(spark, d, "part").select("p_partkey", "p_name", F.array_join(t, " ").alias("folded"))
+
+
+@query("""SELECT DISTINCT a, b, CASE WHEN a = b THEN 0 WHEN len(a) = len(b) THEN 2 WHEN starts_with(x, y) OR ends_with(x, y) THEN 1 ELSE 3 END AS rel FROM (
+  SELECT *, CASE WHEN len(a) > len(b) THEN a ELSE b END AS x, CASE WHEN len(a) > len(b) THEN b ELSE a END AS y FROM (SELECT l_partkey::VARCHAR AS a, l_suppkey::VARCHAR AS b FROM lineitem))""")
+def number_relations(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b")).distinct()
+    return p.select("a", "b", text.number_relation(F.col("a"), F.col("b")).alias("rel"))
+
+
+WORDS = "words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS t FROM part)"
+
+
+@query(f"WITH {WORDS} SELECT a.t AS a, b.t AS b, levenshtein(a.t, b.t) AS lev, least(len(a.t), len(b.t)) >= 4 AND levenshtein(a.t, b.t) <= 0.25 * greatest(len(a.t), len(b.t)) AS fuzzy, len(a.t) < len(b.t) AND regexp_matches(b.t, '^' || array_to_string(string_split(a.t, ''), '.*')) AS abbrev FROM words a JOIN words b ON a.t[1] = b.t[1]")
+def token_pairs(spark, d):
+    w = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("t")).distinct().withColumn("f", F.substring("t", 1, 1))
+    p = w.select("f", F.col("t").alias("a")).join(w.select("f", F.col("t").alias("b")), "f")
+    a, b = F.col("a"), F.col("b")
+    return p.select("a", "b", F.levenshtein(a, b).cast("long").alias("lev"), text.tokens_match(a, b).alias("fuzzy"), text.is_abbreviation(a, b).alias("abbrev"))
+
+
+@query("SELECT c_custkey, ((c_custkey * 2654435761) % 4294967296) % 5 AS fold, (c_custkey * 40503) % 1000 < 50 AS held FROM customer")
+def hash_folds(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.fold_of(F.col("c_custkey"), 5).alias("fold"), text.es_holdout(F.col("c_custkey"), 0.05).alias("held"))
+
+
+# --- statistics
+
+@query(f"WITH {ENT} SELECT id, country, name, count(*) OVER (PARTITION BY country, name) AS twins FROM ent WHERE m")
+def name_twins(spark, d):
+    return tokenstats.name_twins(entities(spark, d)[0]).select("id", "country", "name", "twins")
+
+
+IDF = f"""WITH {ENT}, n AS (SELECT country, count(*) AS n FROM ent WHERE m GROUP BY 1),
+t AS (SELECT DISTINCT country, id, unnest(list_transform(string_split(name, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z]') THEN translate(t, '01345789', 'oleastbg') ELSE t END)) AS tok FROM ent WHERE m)
+SELECT country, tok, count(*) AS df, round(%s, 6) AS idf, count(*) >= greatest(0.02 * any_value(n), 50) OR len(tok) = 1 AS frequent FROM t JOIN n USING (country) WHERE tok <> '' GROUP BY country, tok"""
+
+
+@query(IDF % "ln(any_value(n) / count(*))")
+def token_idf(spark, d):
+    return tokenstats.token_idf(entities(spark, d)[0])
+
+
+@query(IDF % "least(ln(any_value(n) / count(*)), ln(1e5))")
+def capped_idf(spark, d):
+    return tokenstats.token_idf(entities(spark, d)[0], cap=1e5)
+
+
+@query(f"""WITH {ENT}, t AS (SELECT country, id, list_filter(string_split(name, ' '), lambda t: t <> '' AND NOT regexp_matches(t, '^[0-9]+$')) AS l FROM ent WHERE m),
+o AS (SELECT country, id, tok, max((tok = l[len(l)])::INT) AS l, max((tok = l[1])::INT) AS f FROM (SELECT country, id, l, unnest(l) AS tok FROM t) GROUP BY ALL),
+s AS (SELECT country, tok, count(*) AS df, avg(l) AS last, avg(f) AS first FROM o GROUP BY 1, 2)
+SELECT country, tok, df, round((rank() OVER (PARTITION BY country ORDER BY df) - 1) / greatest(count(*) OVER (PARTITION BY country) - 1, 1), 6) AS q, round(last, 6) AS last, round(first, 6) AS first FROM s""")
+def token_positions(spark, d):
+    return tokenstats.token_positions(entities(spark, d)[0])
+
+
+@query("""WITH p AS (SELECT p_partkey % 50 AS entity, string_split(lower(p_name), ' ') AS a, string_split(p_brand || ' ' || p_type, ' ') AS b FROM part),
+v AS (SELECT entity, unnest(a) AS latin, unnest(b) AS tok FROM p WHERE len(a) = len(b)), n AS (SELECT tok, latin, count(*) AS n, count(DISTINCT entity) AS e FROM v GROUP BY 1, 2)
+SELECT tok, latin, n FROM (SELECT *, sum(n) OVER (PARTITION BY tok) AS s FROM n) WHERE n >= 3 AND n / s >= 0.1 AND e >= 3""")
+def token_map_votes(spark, d):
+    p = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("entity"), F.col("p_name").alias("s1_name"), F.concat_ws(" ", "p_brand", F.replace("p_type", F.lit("/"), F.lit("_"))).alias("rec_name"))
+    return tokenstats.token_votes(p, purity=0.1, foreign=lambda c: F.lit(True))
+
+
+# --- blocking
+
+@query(f"WITH {ENT}, {NAME} SELECT ri, si, cos, rank FROM n_top")
+def block_name_top10(spark, d):
+    return blocking.top_k(blocking.scored_pairs(*entities(spark, d), "name")).select("ri", "si", "cos", "rank")
+
+
+@query(f"WITH {ENT}, {BOTH} SELECT ri, si, cos, rank FROM b_top")
+def block_both_top10(spark, d):
+    return blocking.top_k(blocking.scored_pairs(*entities(spark, d), "both")).select("ri", "si", "cos", "rank")
+
+
+@query(f"WITH {CANDS} SELECT * FROM cands")
+def block_union(spark, d):
+    return candidates(spark, d)
+
+
+@query(f"WITH {CANDS}, {TRUTH}, found AS (SELECT count(*) AS hits FROM cands JOIN truth USING (ri, si)) SELECT (SELECT count(*) FROM cands) AS pairs, (SELECT count(DISTINCT ri) FROM cands) AS records, hits, (SELECT count(*) FROM truth) AS positives FROM found")
+def block_stats(spark, d):
+    c, t = candidates(spark, d), truth(spark, d)
+    a = c.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("ri").alias("records"))
+    return a.crossJoin(c.join(t, ["ri", "si"]).agg(F.count(F.lit(1)).alias("hits"))).crossJoin(t.agg(F.count(F.lit(1)).alias("positives")))
+
+
+@query()
+def dense_knn(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return blocking.dense_top_k(v, v.filter("id % 50 = 0"), 10)
+
+
+# --- features
+
+@query("""WITH w AS (SELECT event_id, user_id, value, row_number() OVER o - 1 AS rank, first_value(value) OVER f AS v1, nth_value(value, 2) OVER f AS v2, count(*) OVER (PARTITION BY user_id) AS n FROM events
+  WINDOW o AS (PARTITION BY user_id ORDER BY value DESC, event_id), f AS (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(value - CASE WHEN rank = 0 THEN v2 ELSE v1 END, 6) AS gap, rank, n FROM w""")
+def context_gap(spark, d):
+    gap, rank, n = windows.gap_to_best_other(F.col("value"), "user_id", "event_id")
+    return table(spark, d, "events").select("event_id", F.round(gap, 6).alias("gap"), rank.alias("rank"), n.alias("n"))
+
+
+def gap_sql(c: str, key: str, tie: str) -> str:
+    return f"round({c} - CASE WHEN row_number() OVER ({key}_{c}) = 1 THEN nth_value({c}, 2) OVER ({key}_{c} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE first_value({c}) OVER ({key}_{c}) END, 6)"
+
+
+@query(f"""WITH {CANDS} SELECT ri, si, {gap_sql('cos_both', 'ri', 'si')} AS rg_cos_both, row_number() OVER (ri_cos_both) - 1 AS rr_cos_both, count(*) OVER (PARTITION BY ri) AS r_ncand,
+{gap_sql('cos_both', 'si', 'ri')} AS sg_cos_both, row_number() OVER (si_cos_both) - 1 AS sr_cos_both, count(*) OVER (PARTITION BY si) AS s_ncand FROM cands
+WINDOW ri_cos_both AS (PARTITION BY ri ORDER BY cos_both DESC, si), si_cos_both AS (PARTITION BY si ORDER BY cos_both DESC, ri)""")
+def context_pairs(spark, d):
+    c = windows.add_context(candidates(spark, d).select("ri", "si", "cos_both"))
+    return c.withColumn("rg_cos_both", F.round("rg_cos_both", 6)).withColumn("sg_cos_both", F.round("sg_cos_both", 6)).drop("cos_both")
+
+
+@query("SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2) / greatest(count(*) OVER (PARTITION BY event_type) - 1, 1), 6) AS q FROM events")
+def qnorm(spark, d):
+    return windows.quantile_rank(table(spark, d, "events"), "event_type", "value", "q").select("event_id", F.round("q", 6).alias("q"))
+
+
+@query("SELECT c_custkey, s_suppkey, round(jaro_winkler_similarity(c_name, s_name), 6) AS jw FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+def jaro_winkler(spark, d):
+    p = table(spark, d, "customer").join(table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
+    return p.select("c_custkey", "s_suppkey", F.round(kernels.column(kernels.jaro_winkler)(F.col("c_name"), F.col("s_name")), 6).alias("jw"))
+
+
+@query()
+def string_features(spark, d):
+    return pairfeatures.string_features(candidates(spark, d), *entities(spark, d))
+
+
+@query()
+def token_features(spark, d):
+    s, r = entities(spark, d)
+    return pairfeatures.token_features(candidates(spark, d), s, r)
+
+
+@query()
+def capped_token_features(spark, d):
+    s, r = entities(spark, d)
+    return pairfeatures.token_features(candidates(spark, d), s, r, cap=1e5)
+
+
+@query(f"WITH {CANDS}, {TRUTH} SELECT c.ri, c.si, (t.si IS NOT NULL)::INT AS y FROM cands c LEFT JOIN truth t ON c.ri = t.ri AND c.si = t.si")
+def label_join(spark, d):
+    t = truth(spark, d).withColumn("y", F.lit(1))
+    return candidates(spark, d).join(t, ["ri", "si"], "left").select("ri", "si", F.coalesce("y", F.lit(0)).alias("y"))
+
+
+# --- joins and sets
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN ('src0', 'src1') AND doc_id NOT IN (SELECT r.doc_id FROM documents r JOIN documents s ON r.text = s.text AND r.lang = s.lang WHERE s.source IN ('src0', 'src1'))")
+def anti_unmatched(spark, d):
+    r = entities(spark, d)[1].select("id")
+    return r.join(truth(spark, d), F.col("id") == F.col("ri"), "left_anti").select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {TRUTH} SELECT si, string_agg(ri, ',' ORDER BY ri) AS ids, count(*) AS n FROM truth GROUP BY si")
+def truth_lists(spark, d):
+    return truth(spark, d).groupBy("si").agg(F.array_join(F.sort_array(F.collect_list("ri")).cast("array<string>"), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def seen_partition(spark, d):
+    seen = table(spark, d, "customer").join(table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi")
+    return table(spark, d, "orders").join(seen, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
+
+
+# --- decisions
+
+@query(f"WITH {SIMPLE}, {BEST} SELECT * FROM best")
+def best_per_record(spark, d):
+    return decide.best_per_record(simple_scores(spark, d))
+
+
+@query(f"WITH {SIMPLE}, {BEST} SELECT * FROM best WHERE p >= 0.8")
+def assign_threshold(spark, d):
+    return decide.apply_decision(simple_scores(spark, d), {"rule": "threshold", "t": 0.8})
+
+
+@query(f"WITH {SIMPLE}, {BEST}, {EXPECT.format(p_min=0.02)} SELECT ri, si, p, p2 FROM e4 WHERE m <= star AND p0 < top")
+def expected_f05(spark, d):
+    return decide.apply_decision(simple_scores(spark, d), {"rule": "expected"})
+
+
+@query(f"WITH {SIMPLE}, {BEST}, {EXPECT.format(p_min=0.3)}, a AS (SELECT ri, si, p, p2, max(p) OVER (PARTITION BY si) AS t FROM e4 WHERE m <= star) SELECT ri, si, p, p2 FROM a WHERE t >= 0.75")
+def hybrid_gate(spark, d):
+    return decide.apply_decision(simple_scores(spark, d), {"rule": "hybrid", "p_min": 0.3, "gate": 0.75})
+
+
+@query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(0.6 * ln(a / (1 - a)) + 0.4 * ln(b / (1 - b))))), 6) AS p FROM (SELECT l_orderkey, l_linenumber, least(greatest(l_discount, 1e-6), 1 - 1e-6) AS a, least(greatest(l_tax, 1e-6), 1 - 1e-6) AS b FROM lineitem)")
+def logit_blend(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(decide.logit_blend([F.col("l_discount"), F.col("l_tax")], [0.6, 0.4]), 6).alias("p"))
+
+
+GATE = "CASE WHEN sh THEN 0.65 WHEN len(a) > 0 AND len(b) > 0 THEN 0.95 ELSE 0.8 END"
+
+
+@query(f"""WITH x AS (SELECT c_custkey, s_suppkey, list_distinct(regexp_extract_all((c_custkey % 7)::VARCHAR || ' ' || (c_custkey % 3)::VARCHAR, '[0-9]+')) AS a, CASE WHEN s_suppkey % 4 = 0 THEN [] ELSE [(s_suppkey % 7)::VARCHAR] END AS b, c_custkey % 2 = 0 AS e FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+y AS (SELECT *, list_has_any(a, b) AS sh FROM x) SELECT c_custkey, s_suppkey, CASE WHEN e AND sh THEN least({GATE}, 0.5) ELSE {GATE} END::DOUBLE AS thr FROM y""")
+def house_number_gate(spark, d):
+    p = table(spark, d, "customer").join(table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
+    t = decide.house_number_gate(F.concat_ws(" ", F.concat(F.lit("0"), (F.col("c_custkey") % 7).cast("string")), (F.col("c_custkey") % 3).cast("string")), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise((F.col("s_suppkey") % 7).cast("string")),
+                                 F.when(F.col("c_custkey") % 2 == 0, "a and b").otherwise("a b"), F.lit("a b"), 0.8, 0.65, 0.95, 0.5)
+    return p.select("c_custkey", "s_suppkey", t.alias("thr"))
+
+
+@query(f"WITH {SCORES}, {BEST} SELECT id AS si, coalesce(string_agg(ri, ',' ORDER BY ri), '') AS ids FROM ent LEFT JOIN (SELECT * FROM best WHERE p >= 0.8) b ON ent.id = b.si WHERE m GROUP BY id")
+def id_lists(spark, d):
+    s, r = entities(spark, d)
+    return decide.id_lists(s, decide.assign_threshold(decide.best_per_record(with_p(blocking.block(s, r))), 0.8))
+
+
+CONF = f"""{SCORES}, {BEST}, {TRUTH}, a AS (SELECT * FROM best WHERE p >= 0.8),
+conf AS (SELECT id AS si, country, (SELECT count(*) FROM a WHERE a.si = id) AS n_pred, (SELECT count(*) FROM truth t WHERE t.si = id) AS n_true, (SELECT count(*) FROM a JOIN truth t ON a.ri = t.ri AND a.si = t.si WHERE a.si = id) AS tp FROM ent WHERE m)"""
+
+
+def _confusion(spark, d):
+    s, r = entities(spark, d)
+    return decide.confusion(s, decide.assign_threshold(decide.best_per_record(with_p(blocking.block(s, r))), 0.8), truth(spark, d))
+
+
+@query(f"WITH {CONF} SELECT * FROM conf")
+def confusion_counts(spark, d):
+    return _confusion(spark, d)
+
+
+@query(f"""WITH {CONF}, f AS (SELECT country, n_true, CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END AS f FROM conf)
+SELECT country, count(*) AS n, round(avg(f), 6) AS f05, round(avg(f) FILTER (WHERE n_true = 0), 6) AS f05_singleton, round(avg(f) FILTER (WHERE n_true > 0), 6) AS f05_matched FROM f GROUP BY GROUPING SETS ((country), ())""")
+def macro_f05(spark, d):
+    return decide.macro_f05(_confusion(spark, d))
+
+
+@query(f"WITH {SIMPLE}, {BEST} SELECT t / 100 AS t, count(*) AS assigned, count(DISTINCT si) AS masters FROM best, (SELECT unnest(range(30, 100, 5)) AS t) WHERE p >= t / 100 GROUP BY t")
+def rule_grid(spark, d):
+    best = decide.best_per_record(simple_scores(spark, d))
+    grid = F.explode(F.filter(F.transform(F.sequence(F.lit(30), F.lit(95), F.lit(5)), lambda t: t / 100), lambda t: F.col("p") >= t))
+    return best.select("si", grid.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("assigned"), F.countDistinct("si").alias("masters"))
+
+
+@query(f"WITH {SIMPLE}, {BEST}, b AS (SELECT * FROM best WHERE p >= 0.5) SELECT ri, si, p FROM b UNION ALL SELECT ri + 10000000, si, p FROM b WHERE (ri * 2654435761) % 4294967296 % 1000000 < 900000")
+def clone_density(spark, d):
+    b = decide.best_per_record(simple_scores(spark, d)).filter("p >= 0.5").select("ri", "si", "p")
+    more = b.filter(F.pmod(F.col("ri") * F.lit(2654435761), F.lit(1 << 32)) % 1000000 < 900000)
+    return b.unionByName(more.select((F.col("ri") + 10000000).alias("ri"), "si", "p"))
+
+
+# --- learning
+
+def _features(spark, d):
+    c = windows.add_context(candidates(spark, d), ("cos_both", "cos_name"))
+    return c.join(label_join(spark, d), ["ri", "si"]).drop("country")
+
+
+@query()
+def gbt_oof(spark, d):
+    f = _features(spark, d).cache()
+    return matcher.out_of_fold(f, matcher.fit_folds(f, k=2, rounds=5, depth=3))
+
+
+@query()
+def gbt_predict(spark, d):
+    f = _features(spark, d).cache()
+    return matcher.predict(f, matcher.fit_folds(f, k=2, rounds=5, depth=3))
