@@ -51,11 +51,22 @@ def test_number_features():
     assert f("", "12") == {}
 
 
+def toks(*names):
+    return [{"tok": t, "known": t != "new", "q": -1.0 if t == "new" else 0.5, "last": 0.0, "first": 0.25} for t in names]
+
+
 def test_edit_operations():
-    assert pairfeatures.edit_operations(["a"], []) == {}
-    e = pairfeatures.edit_operations(["acme", "new", "trading"], ["acme", "tradin"])
-    assert (e["o_nins"], e["o_ndel"], e["o_ins_at_end"]) == (1, 0, 0)
-    assert pairfeatures.edit_operations(["b", "a"], ["a", "b"])["o_order_swap"] == 1
+    assert pairfeatures.edit_operations(toks("a"), []) == {}
+    e = pairfeatures.edit_operations(toks("acme", "trading", "new"), toks("acme", "tradin"))
+    assert (e["o_nins"], e["o_ndel"], e["o_ins_at_end"], e["o_ins_novel"], e["o_ins_qmax"]) == (1, 0, 1, 1, -1)
+    assert "o_del_qmax" not in e
+    assert pairfeatures.edit_operations(toks("b", "a"), toks("a", "b"))["o_order_swap"] == 1
+
+
+def test_rare_numbers():
+    f = pairfeatures.rare_numbers([("12", 1.0), ("7", 3.0)], [("12", 1.0), ("13", 2.0)])
+    assert (f["nz_idfcov_r"], f["nz_rare_rel"]) == (0.25, 2)
+    assert pairfeatures.rare_numbers([], [("1", 1.0)]) == {}
 
 
 def test_gap_against_brute_force(spark):
