@@ -25,15 +25,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest doc_id."""
+    """One document of each group of near copies stays, the one of the smallest doc_id; a row without doc_id stays."""
     same = simhash.near_dedup(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(same, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(same, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands once for every epoch of it that the mix takes; a part counts from one half on."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
-    return docs.join(taken, "doc_id").filter("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(docs.columns)
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
