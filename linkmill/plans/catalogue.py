@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmill.functions import kernels, text
-from linkmill.operators import blocking, decide, matcher, pairfeatures, tokenstats, windows
+from linkmill.operators import blocking, decide, matcher, pairfeatures, tokenstats, views, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -378,3 +378,28 @@ def gbt_oof(spark, d):
 def gbt_predict(spark, d):
     f = _features(spark, d).cache()
     return matcher.predict(f, matcher.fit_folds(f, k=2, rounds=5, depth=3))
+
+
+# --- views and routing
+
+@query("""WITH w AS (SELECT event_id, user_id, value, row_number() OVER o - 1 AS rank, first_value(value) OVER f AS v1, nth_value(value, 2) OVER f AS v2 FROM events WHERE event_id % 3 = 0
+  WINDOW o AS (PARTITION BY user_id ORDER BY value DESC, event_id), f AS (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT e.event_id, round(w.value - coalesce(CASE WHEN rank = 0 THEN v2 ELSE v1 END, -20), 6) AS gap, rank FROM events e LEFT JOIN w USING (event_id)""")
+def context_subset(spark, d):
+    e = table(spark, d, "events")
+    gap, rank, _ = windows.gap_to_best_other(F.col("value"), "user_id", "event_id", -20.0)
+    some = e.filter("event_id % 3 = 0").select("event_id", F.round(gap, 6).alias("gap"), rank.alias("rank"))
+    return e.select("event_id").join(some, "event_id", "left")
+
+
+@query("SELECT v.view, count(*) AS n, count(*) FILTER (WHERE lang <> v.view) AS train FROM documents, (SELECT DISTINCT lang AS view FROM documents) v GROUP BY 1")
+def loco_split(spark, d):
+    p = table(spark, d, "documents").select(F.col("lang").alias("country"))
+    return views.leave_one_out(p).groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("train"), 1)).alias("train"))
+
+
+@query(f"WITH {SIMPLE}, {BEST}, u AS (SELECT * FROM best WHERE ri % 4 IN (0, 1)) SELECT ri, si, p FROM u WHERE p >= 0.75 UNION ALL SELECT ri, si, p FROM best WHERE ri % 4 IN (2, 3) AND p >= CASE WHEN si % 2 = 0 THEN 0.65 ELSE 0.95 END")
+def seen_unseen_route(spark, d):
+    p = simple_scores(spark, d).withColumn("country", F.col("ri") % 4)
+    seen = spark.range(2).select(F.col("id").alias("country"))
+    return views.route(p, p, seen, 0.75, F.when(F.col("si") % 2 == 0, 0.65).otherwise(0.95))
