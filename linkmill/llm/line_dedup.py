@@ -12,22 +12,23 @@ WINDOW, LONG = 2, 50
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """Adds __l: the lines that are not blank, as (n: place in the text, h: hash, words)."""
+    """Adds __l: the lines that are not blank, without blanks at their ends."""
     return docs.withColumn("__l", F.expr(
-        "filter(transform(split(coalesce(text, ''), '\\n', -1), (x, n) -> struct(n as n, xxhash64(trim(x)) as h, trim(x) as s)), x -> x.s <> '')"))
+        "filter(transform(split(coalesce(text, ''), '\\n', -1), x -> trim(x)), s -> s <> '')"))
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """__id, __x, runs: for each document with later repeats, the (start, size) of runs of lines."""
     lines = with_lines(docs.select("doc_id", "text")).select(
         F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__x"),
-        F.expr("transform(__l, x -> x.h)").alias("h"),
-        F.expr(f"filter(transform(__l, (x, i) -> if(size(split(x.s, '[\\\\x20\\\\x09-\\\\x0D]+', {long})) >= {long}, i, -1)), i -> i >= 0)").alias("long"))
+        F.expr("transform(__l, s -> xxhash64(s))").alias("h"),
+        F.expr(f"filter(transform(__l, (s, i) -> if(length(s) >= {2 * long - 1} and size(split(s, '[\\\\x20\\\\x09-\\\\x0D]+', {long})) >= {long}, i, -1)), i -> i >= 0)").alias("long"))
     # The smallest hash of each window, the last one among equals, and every long line.
     minima = f"""if(size(h) < {window}, array(), transform(sequence(0, size(h) - {window}), s ->
         -array_min(transform(slice(h, s + 1, {window}), (v, i) -> struct(v as v, -(s + i) as p))).p))"""
     chosen = lines.withColumn("p", F.expr(f"array_distinct(concat(long, {minima}))"))
-    rows = chosen.select("__id", "__x", "h", "long", F.explode("p").alias("p")).select(
+    # An outer explode: a plain one has the optimiser work out the lines once more, in a filter on the array's size.
+    rows = chosen.select("__id", "__x", "h", "long", F.explode_outer("p").alias("p")).filter("p is not null").select(
         "__id", "__x", F.expr("get(h, p)").alias("f"), "p",
         F.expr(f"""concat(
             if(array_contains(long, p), array(struct(p as start, 1 as size, xxhash64(1, get(h, p)) as key)), array()),
