@@ -11,6 +11,8 @@ from linkmill.llm.common import materialise
 
 #: None: the first stage is a trained classifier, which SQL cannot express.
 ORACLE_SQL = None
+#: Chunks that a worker of the last stage remembers: the other stages' tasks share its executor's memory.
+REMEMBER = 400_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix."""
-    return bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remember=REMEMBER)
 
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", lines), ("SimHash near-dedup", near_dedup), ("mixing sources to target weights", mix), ("byte-level BPE encoding and decoding", encode)]

@@ -10,12 +10,15 @@ import json
 import re
 from array import array
 from collections import defaultdict
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 #: White space of Unicode's property, as the pattern's \s means it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most chunks that a worker remembers; beyond it the memory is emptied, never the result.
@@ -149,20 +152,18 @@ def chunks(text: str, clean=re.compile(f" [{SPACE}]|[{SPACE}] ").search, cut=re.
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
-_workers: dict = {}
-
-
 class Encoder:
-    """Encodes texts by a rank file; remembers what each chunk gives."""
+    """Encodes texts by a rank file; remembers what each of at most `remember` chunks gives."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remember: int = REMEMBER):
+        self.remember = remember
         pair, single, self.names = rank_rules(path)
         self.replay, self.find = Replay(pair, single), regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.done: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
-        if len(self.done) > REMEMBER:
+        if len(self.done) > self.remember:
             self.done.clear()
             self.pieces.clear()
         split = [self.find(c) for c in new]
@@ -178,7 +179,7 @@ class Encoder:
         for i in range(0, len(texts), 512):
             parts = [chunks(t) for t in texts[i : i + 512]]
             new = {c for p in parts for c in p if c not in self.done}
-            if len(self.done) + len(new) > REMEMBER and new:
+            if len(self.done) + len(new) > self.remember and new:
                 new = {c for p in parts for c in p}
                 self.done.clear()
                 self.pieces.clear()
@@ -192,13 +193,18 @@ class Encoder:
         return b"".join([names[i] for i in memoryview(ids).cast("I")])
 
 
+@contextmanager
 def worker(kind, *args):
-    """One encoder for each Python worker."""
-    key = (kind.__name__, *args)
-    if key not in _workers:
-        gc.disable()  # the lists made here hold no cycles; walking them costs a sixth of the time
-        _workers[key] = kind(*args)
-    return _workers[key]
+    """One encoder for each Python worker; within a task no cycle collection runs.
+
+    The lists made here hold no cycles, and walking them costs a sixth of the time. The
+    collection is on again after the task: other stages may use the worker next.
+    """
+    gc.disable()
+    try:
+        yield resident((kind.__name__, *args), lambda: kind(*args))
+    finally:
+        gc.enable()
 
 
 def encode_documents(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
@@ -209,22 +215,22 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
     shuffle. Null text is empty: no ids. Repeated rows are encoded alike; other columns are not read.
     """
     def run(batches):
-        enc = worker(Encoder, vocab, pattern)
-        for b in batches:
-            ids = enc.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([enc.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+        with worker(Encoder, vocab, pattern) as enc:
+            for b in batches:
+                ids = enc.encode(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([enc.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
-def encoding_digests(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
+def encoding_digests(docs: DataFrame, vocab: str, pattern: str, remember: int = REMEMBER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of encode_documents, taken in the same task."""
     def run(batches):
-        enc = worker(Encoder, vocab, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            ids = enc.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(sha, ids))), pa.array([sha(enc.decode(x)) for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with worker(Encoder, vocab, pattern, remember) as enc:
+            for b in batches:
+                ids = enc.encode(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(sha, ids))), pa.array([sha(enc.decode(x)) for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -273,10 +279,10 @@ def count_tokens(docs: DataFrame, vocab: str, pattern: str, limit: int = 1024) -
     Special strings inside a text count as one token each, as the library's default has it.
     """
     def run(batches):
-        counter = worker(Counter, vocab, pattern)
-        for b in batches:
-            n = counter.count(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        with worker(Counter, vocab, pattern) as counter:
+            for b in batches:
+                n = counter.count(b.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -29,6 +29,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, make):
+    """What a Python worker keeps between tasks, made once; asking for another key frees it.
+
+    Workers serve later stages too: holding one operator's caches at a time bounds a worker's
+    memory by the largest of them, not by their sum.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 #: Hashed words, factors, passes, and the most labelled rows that the fit gathers.
 SLOTS, FACTORS, EPOCHS, MAX_ROWS = 1 << 15, 4, 6, 6000
 #: Structure statistics follow the words' slots; each is cut into this many steps.
 STEPS = 8
-_memory: dict[str, int] = {}
+#: Most words whose slots a worker remembers.
+REMEMBER = 300_000
 _SENTENCE = re.compile(r"[.!?]+")
 
 
@@ -39,23 +42,24 @@ KINDS = 14
 SIZE = SLOTS + KINDS * (STEPS + 1)
 
 
-def slot(word: str) -> int:
-    got = _memory.get(word)
-    if got is None:
-        if len(_memory) > 500_000:
-            _memory.clear()
-        got = _memory[word] = zlib.crc32(word.encode()) % SLOTS
-    return got
+class Slots(dict):
+    """The slot of each word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
+        got = self[word] = zlib.crc32(word.encode()) % SLOTS
+        return got
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a whole text; the words' part has length one."""
     words = text.split()
     tf = Counter(words)
     form = structure(text, words, tf)
     bag: dict[int, float] = {}
     for w, n in tf.items():
-        s = slot(w)
+        s = slots[w]
         bag[s] = bag.get(s, 0) + n
     val = np.log1p(np.fromiter(bag.values(), np.float32, len(bag)))
     val /= max(1e-6, float(np.sqrt((val * val).sum())))
@@ -67,6 +71,7 @@ class Machine:
     """w0 + sum w x + half of (sum v x)^2 - sum v^2 x^2: the pairs' sum in linear time."""
 
     def __init__(self, seed: int = 7):
+        self.slots = Slots()
         r = np.random.default_rng(seed)
         self.w0, self.w, self.v = 0.0, np.zeros(SIZE, np.float32), r.normal(0, 0.02, (SIZE, FACTORS)).astype(np.float32)
 
@@ -76,12 +81,12 @@ class Machine:
         return float(self.w0 + self.w[idx] @ val + 0.5 * (s @ s - (vx * vx).sum()))
 
     def score(self, text: str) -> float:
-        z = self.raw(*features(text))
+        z = self.raw(*features(text, self.slots))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def fit(self, texts: list[str], y: list[int], seed: int = 7) -> Machine:
         """Adagrad on the logistic loss over mini-batches."""
-        rows = [features(t) for t in texts]
+        rows = [features(t, self.slots) for t in texts]
         y = np.array(y, np.float32)
         if not len(rows):
             return self
@@ -114,6 +119,13 @@ class Machine:
         return self
 
 
+def loaded(w0, w, v) -> Machine:
+    """A fitted machine in a Python worker."""
+    m = Machine.__new__(Machine)
+    m.w0, m.w, m.v, m.slots = w0, w, v, resident(("slots",), Slots)
+    return m
+
+
 def is_held_out(mod: int, rest: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest
 
@@ -135,8 +147,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(batches):
-        m = Machine.__new__(Machine)
-        m.w0, m.w, m.v = model.value
+        m = loaded(*model.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
@@ -160,8 +171,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
 
     @F.pandas_udf("double")
     def scored(text):
-        f = Machine.__new__(Machine)
-        f.w0, f.w, f.v = model.value
-        return text.map(f.score)
+        return text.map(loaded(*model.value).score)
 
     return docs.filter(scored(F.coalesce("text", F.lit(""))) >= threshold)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
 from .quality import is_held_out, labelled
 
 #: Length of the subsequences, decay of each position they span, landmarks, letters of a segment, most labelled rows.
@@ -197,14 +198,19 @@ def self_kernel(words: list[str]) -> np.ndarray:
     return pair_kernel(codes(words, n, -1), codes(words, n, -2))
 
 
-_models: dict = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
     rows = labelled(docs, labels, "toxic", 5, ~is_held_out(5, 0), limit)
     return Model().fit([r.text for r in rows], [r.y for r in rows])
 
 
+def loaded(state: dict) -> Model:
+    """A fitted model in a Python worker, with a memory of its own."""
+    m = Model()
+    m.__dict__.update(state)
+    m.done = {}
+    return m
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
@@ -219,12 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches):
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model()
-            _models[name].__dict__.update(state.value)
-            _models[name].done = {}
-        own = _models[name]
+        own = resident(("toxicity", name), lambda: loaded(state.value))
         for b in batches:
             texts = b.column(1).to_pylist()
             s = [x for i in range(0, len(texts), 256) for x in own.scores(texts[i : i + 256])]

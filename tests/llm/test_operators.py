@@ -150,7 +150,7 @@ def test_media_round_trip(spark):
 
 def test_machine_pairs_identity():
     m = quality.Machine()
-    idx, val = quality.features("One two two. THREE!! four | five\nsix")
+    idx, val = quality.features("One two two. THREE!! four | five\nsix", quality.Slots())
     m.w[:] = 0.1
     pairs = sum(float(m.v[idx[a]] @ m.v[idx[b]]) * val[a] * val[b] for a in range(len(idx)) for b in range(a))
     assert abs(m.raw(idx, val) - (m.w0 + 0.1 * val.sum() + pairs)) < 1e-5
@@ -205,3 +205,27 @@ def test_pipeline_stages(spark):
             assert 0 < docs_.count() <= 2 * source.count()
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns) and out.count() == docs_.count()
     assert p.STAGES[0][1](spark, source.limit(0), d).count() == 0
+
+
+def test_worker_keeps_one_state_and_restores_collection():
+    import gc
+
+    from linkmill.llm import bpe, common
+
+    made = []
+    assert common.resident(("a",), lambda: made.append("a") or 1) == 1
+    assert common.resident(("a",), lambda: made.append("again") or 2) == 1
+    assert common.resident(("b",), lambda: 3) == 3
+    assert made == ["a"] and list(common._resident) == [("b",)]
+    with bpe.worker(dict):
+        assert not gc.isenabled()
+    assert gc.isenabled()
+
+
+def test_encoder_that_forgets_gives_the_same_ids():
+    import public_tokenizers
+
+    from linkmill.llm import bpe
+
+    path, texts = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), [f"word{i} and  more\n{i % 7} é{i}" for i in range(1500)]
+    assert bpe.Encoder(path, public_tokenizers.PATTERN, 5).encode(texts) == bpe.Encoder(path, public_tokenizers.PATTERN).encode(texts)
