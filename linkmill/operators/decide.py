@@ -91,12 +91,47 @@ def confusion(s1: DataFrame, assigned: DataFrame, truth: DataFrame) -> DataFrame
     return out.na.fill(0, ["n_pred", "n_true", "tp"])
 
 
+def _means() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 6).alias("f05"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 6).alias("f05_singleton"),
+            F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 6).alias("f05_matched")]
+
+
 def macro_f05(conf: DataFrame) -> DataFrame:
     """country (NULL: all), n, f05, f05_singleton, f05_matched in one pass."""
     f = f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))
-    return conf.withColumn("f", f).groupingSets([[F.col("country")], []], F.col("country")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 6).alias("f05"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 6).alias("f05_singleton"),
-        F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 6).alias("f05_matched"))
+    return conf.withColumn("f", f).groupingSets([[F.col("country")], []], F.col("country")).agg(*_means())
+
+
+def threshold_sweep(s1: DataFrame, best: DataFrame, truth: DataFrame, thresholds) -> DataFrame:
+    """t, country (NULL: all) and the F0.5 means at each threshold; best and truth are read once.
+
+    A best pair stands once for each threshold it reaches, partly summed before it is shuffled.
+    """
+    ts = F.array(*[F.lit(float(t)) for t in thresholds])
+    hits = best.select("ri", "si", "p").join(truth.select("ri", "si", F.lit(1).alias("hit")), ["ri", "si"], "left")
+    got = hits.select("si", "hit", F.explode(F.filter(ts, lambda t: F.col("p") >= t)).alias("t")).groupBy("si", "t").agg(F.count(F.lit(1)).alias("n_pred"), F.count("hit").alias("tp"))
+    own = s1.select(F.col("id").alias("si"), "country").join(truth.groupBy("si").agg(F.count(F.lit(1)).alias("n_true")), "si", "left")
+    conf = own.withColumn("t", F.explode(ts)).join(got, ["si", "t"], "left").na.fill(0, ["n_pred", "n_true", "tp"])
+    f = f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))
+    return conf.withColumn("f", f).groupingSets([[F.col("t"), F.col("country")], [F.col("t")]], F.col("t"), F.col("country")).agg(*_means())
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """t, f05: the threshold of the largest F0.5 over all countries, the lowest one among equals. One row."""
+    return sweep.filter("country is null").agg(F.max_by(F.struct("t", "f05"), F.struct("f05", -F.col("t"))).alias("b")).select("b.*")
+
+
+def country_report(s1: DataFrame, assigned: DataFrame) -> DataFrame:
+    """country, masters, matches, per_master, empty (share of masters without a match)."""
+    n = assigned.groupBy("si").agg(F.count(F.lit(1)).alias("k"))
+    return s1.select(F.col("id").alias("si"), "country").join(n, "si", "left").na.fill(0, ["k"]).groupBy("country").agg(
+        F.count(F.lit(1)).alias("masters"), F.sum("k").alias("matches"), F.round(F.avg("k"), 6).alias("per_master"), F.round(F.avg((F.col("k") == 0).cast("int")), 6).alias("empty"))
+
+
+def hard_pairs(pairs: DataFrame, other: DataFrame, least: float = 0.003) -> DataFrame:
+    """The pairs that either model gives `least` or more, with p_other: the second model's p, 1 where it has none."""
+    met = pairs.join(other.select("ri", "si", F.col("p").alias("p_other")), ["ri", "si"], "left")
+    return met.withColumn("p_other", F.coalesce("p_other", F.lit(1.0))).filter((F.col("p") >= least) | (F.col("p_other") >= least))
 
 
 def id_lists(s1: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -354,6 +354,45 @@ def rule_grid(spark, d):
     return best.select("si", grid.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("assigned"), F.countDistinct("si").alias("masters"))
 
 
+F_AT = f"""{SCORES}, {BEST}, {TRUTH}, conf AS (SELECT ts.t, e.id AS si, e.country, (SELECT count(*) FROM truth x WHERE x.si = e.id) AS n_true, coalesce(g.n_pred, 0) AS n_pred, coalesce(g.tp, 0) AS tp
+  FROM ent e CROSS JOIN (SELECT unnest(range(30, 100, 5)) / 100 AS t) ts
+  LEFT JOIN (SELECT best.si, u.t, count(*) AS n_pred, count(truth.ri) AS tp FROM best LEFT JOIN truth ON best.ri = truth.ri AND best.si = truth.si, (SELECT unnest(range(30, 100, 5)) / 100 AS t) u WHERE best.p >= u.t GROUP BY 1, 2) g ON g.si = e.id AND g.t = ts.t WHERE e.m),
+f AS (SELECT t, country, n_true, CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END AS f FROM conf)"""
+THRESHOLDS = [t / 100 for t in range(30, 100, 5)]
+
+
+def _sweep(spark, d):
+    s, r = entities(spark, d)
+    return decide.threshold_sweep(s, decide.best_per_record(with_p(blocking.block(s, r))), truth(spark, d), THRESHOLDS)
+
+
+@query(f"WITH {F_AT} SELECT t, country, count(*) AS n, round(avg(f), 6) AS f05, round(avg(f) FILTER (WHERE n_true = 0), 6) AS f05_singleton, round(avg(f) FILTER (WHERE n_true > 0), 6) AS f05_matched FROM f GROUP BY GROUPING SETS ((t, country), (t))")
+def threshold_sweep(spark, d):
+    return _sweep(spark, d)
+
+
+@query(f"WITH {F_AT} SELECT t, round(avg(f), 6) AS f05 FROM f GROUP BY t ORDER BY f05 DESC, t LIMIT 1")
+def best_threshold(spark, d):
+    return decide.best_threshold(_sweep(spark, d))
+
+
+@query(f"WITH {SCORES}, {BEST}, k AS (SELECT country, (SELECT count(*) FROM best b WHERE b.p >= 0.8 AND b.si = ent.id) AS k FROM ent WHERE m) SELECT country, count(*) AS masters, sum(k)::BIGINT AS matches, round(avg(k), 6) AS per_master, round(avg((k = 0)::INT), 6) AS empty FROM k GROUP BY 1")
+def country_report(spark, d):
+    s, r = entities(spark, d)
+    return decide.country_report(s, decide.assign_threshold(decide.best_per_record(with_p(blocking.block(s, r))), 0.8))
+
+
+@query(f"WITH {SIMPLE} SELECT si, round(sum(p), 6) AS n_hat, round(sum(ln(1 - least(p, 1 - 1e-7))), 4) AS log_p0 FROM pr GROUP BY si")
+def expected_mass(spark, d):
+    return decide.mass(simple_scores(spark, d)).select("si", F.round("n_hat", 6).alias("n_hat"), F.round(F.log("p0"), 4).alias("log_p0"))
+
+
+@query(f"WITH {SIMPLE}, lo AS (SELECT ri, si, round(p * p, 6) AS p_other FROM pr WHERE p < 0.5) SELECT ri, si, p, coalesce(p_other, 1) AS p_other FROM pr LEFT JOIN lo USING (ri, si) WHERE p >= 0.1 OR coalesce(p_other, 1) >= 0.1")
+def hard_pairs(spark, d):
+    p = simple_scores(spark, d)
+    return decide.hard_pairs(p, p.filter("p < 0.5").select("ri", "si", F.round(F.col("p") * F.col("p"), 6).alias("p")), 0.1)
+
+
 @query(f"WITH {SIMPLE}, {BEST}, b AS (SELECT * FROM best WHERE p >= 0.5) SELECT ri, si, p FROM b UNION ALL SELECT ri + 10000000, si, p FROM b WHERE (ri * 2654435761) % 4294967296 % 1000000 < 900000")
 def clone_density(spark, d):
     b = decide.best_per_record(simple_scores(spark, d)).filter("p >= 0.5").select("ri", "si", "p")
@@ -382,13 +421,13 @@ def gbt_predict(spark, d):
 
 # --- views and routing
 
-@query("""WITH w AS (SELECT event_id, user_id, value, row_number() OVER o - 1 AS rank, first_value(value) OVER f AS v1, nth_value(value, 2) OVER f AS v2 FROM events WHERE event_id % 3 = 0
+@query("""WITH w AS (SELECT event_id, user_id, value, row_number() OVER o - 1 AS rank, first_value(value) OVER f AS v1, nth_value(value, 2) OVER f AS v2 FROM events WHERE event_type IN ('view', 'click')
   WINDOW o AS (PARTITION BY user_id ORDER BY value DESC, event_id), f AS (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT e.event_id, round(w.value - coalesce(CASE WHEN rank = 0 THEN v2 ELSE v1 END, -20), 6) AS gap, rank FROM events e LEFT JOIN w USING (event_id)""")
 def context_subset(spark, d):
     e = table(spark, d, "events")
     gap, rank, _ = windows.gap_to_best_other(F.col("value"), "user_id", "event_id", -20.0)
-    some = e.filter("event_id % 3 = 0").select("event_id", F.round(gap, 6).alias("gap"), rank.alias("rank"))
+    some = e.filter("event_type in ('view', 'click')").select("event_id", F.round(gap, 6).alias("gap"), rank.alias("rank"))
     return e.select("event_id").join(some, "event_id", "left")
 
 

@@ -138,3 +138,25 @@ def test_entry_and_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_sweep_report_and_hard_pairs(spark):
+    from linkmill.operators import decide
+
+    s1 = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "id long, country string")
+    best = spark.createDataFrame([(10, 1, 0.9), (11, 1, 0.6), (12, 2, 0.4)], "ri long, si long, p double")
+    truth = spark.createDataFrame([(10, 1)], "ri long, si long")
+    got = {(r.t, r.country): (r.n, r.f05) for r in decide.threshold_sweep(s1, best, truth, [0.3, 0.5, 0.95]).collect()}
+    half = round(1.25 * 0.5 / (0.25 * 0.5 + 1), 6)
+    assert got[0.3, "A"] == (2, round(half / 2, 6)) and got[0.5, "A"] == (2, round((half + 1) / 2, 6)) and got[0.95, "A"] == (2, 0.5)
+    assert got[0.3, "B"] == (1, 1.0) and got[0.5, None] == (3, round((half + 2) / 3, 6))
+    assert decide.best_threshold(decide.threshold_sweep(s1, best, truth, [0.3, 0.5, 0.95])).first().t == 0.5
+    for conf_t in (0.3, 0.5, 0.95):  # the sweep agrees with the measure at one threshold
+        one = {r.country: r.f05 for r in decide.macro_f05(decide.confusion(s1, decide.assign_threshold(best, conf_t), truth)).collect()}
+        assert one == {c: f for (t, c), (_, f) in got.items() if t == conf_t}
+    assert {tuple(r) for r in decide.country_report(s1, best).collect()} == {("A", 2, 3, 1.5, 0.0), ("B", 1, 0, 0.0, 1.0)}
+    other = spark.createDataFrame([(10, 1, 0.0), (11, 1, 0.7)], "ri long, si long, p double")
+    pairs = spark.createDataFrame([(10, 1, 0.001), (11, 1, 0.001), (12, 2, 0.001)], "ri long, si long, p double")
+    assert {tuple(r) for r in decide.hard_pairs(pairs, other).collect()} == {(11, 1, 0.001, 0.7), (12, 2, 0.001, 1.0)}
+    none = best.limit(0)
+    assert {r.f05 for r in decide.threshold_sweep(s1, none, truth.limit(0), [0.5]).collect()} == {1.0}
