@@ -10,7 +10,7 @@ from linkmill.operators import blocking, decide, matcher, pairfeatures, tokensta
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MASTERS = ("src0", "src1")
+MASTERS = ("Brand#1", "Brand#2")
 
 
 def query(sql: str | None = None):
@@ -28,12 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def entities(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Masters and records from documents: id, country, name, addr."""
-    d = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("country"), "source",
-        text.norm_name(F.substring("text", 1, 48)).alias("name"), text.norm_addr(F.substring("text", 49, 48)).alias("addr"))
-    master = F.col("source").isin(*MASTERS)
-    return d.filter(master).drop("source"), d.filter(~master).drop("source")
+    """Masters and records, all rows of part: id, country, name, addr, from whole columns."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("country"), "p_brand",
+        text.norm_name(F.col("p_name")).alias("name"), text.norm_addr(F.concat_ws(", ", "p_brand", "p_size")).alias("addr"))
+    master = F.col("p_brand").isin(*MASTERS)
+    return p.filter(master).drop("p_brand"), p.filter(~master).drop("p_brand")
 
 
 def candidates(spark, sf_dir) -> DataFrame:
@@ -56,8 +56,8 @@ def simple_scores(spark, sf_dir) -> DataFrame:
 
 
 NORM = "trim(regexp_replace(replace(strip_accents(replace(lower(regexp_replace({x}, '<[A-Za-z_]+>', ' ', 'g')), 'ß', 'ss')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-ADDR = NORM.format(x="array_to_string(list_filter(string_split(substr(text, 49, 48), ','), lambda p: lower(trim(p)) NOT IN ('null', 'none', 'n/a', 'na', 'nil', '-')), ',')")
-ENT = f"ent AS (SELECT doc_id AS id, lang AS country, source IN ('src0', 'src1') AS m, {NORM.format(x='substr(text, 1, 48)')} AS name, {ADDR} AS addr FROM documents)"
+ADDR = NORM.format(x="array_to_string(list_filter(string_split(p_brand || ', ' || p_size, ','), lambda p: lower(trim(p)) NOT IN ('null', 'none', 'n/a', 'na', 'nil', '-')), ',')")
+ENT = f"ent AS (SELECT p_partkey AS id, p_type AS country, p_brand IN ('Brand#1', 'Brand#2') AS m, {NORM.format(x='p_name')} AS name, {ADDR} AS addr FROM part)"
 
 
 def block_sql(b: str, t: str) -> str:
@@ -85,14 +85,14 @@ EXPECT = """mass AS (SELECT si, sum(p) AS n_hat, exp(sum(ln(1 - least(p, 1 - 1e-
 e1 AS (SELECT best.*, n_hat, p0, row_number() OVER w AS m, sum(p) OVER w AS cs FROM best JOIN mass USING (si) WHERE p >= {p_min} WINDOW w AS (PARTITION BY si ORDER BY p DESC, ri ROWS UNBOUNDED PRECEDING)),
 e2 AS (SELECT *, 1.25 * cs / (m + 0.25 * greatest(n_hat, cs)) AS ef FROM e1), e3 AS (SELECT *, max(ef) OVER (PARTITION BY si) AS top FROM e2),
 e4 AS (SELECT *, min(m) FILTER (WHERE ef >= top - 1e-12) OVER (PARTITION BY si) AS star FROM e3)"""
-TRUTH = "truth AS (SELECT r.doc_id AS ri, min(s.doc_id) AS si FROM documents r JOIN documents s ON r.text = s.text AND r.lang = s.lang WHERE r.source NOT IN ('src0', 'src1') AND s.source IN ('src0', 'src1') GROUP BY 1)"
+TRUTH = "truth AS (SELECT r.p_partkey AS ri, min(s.p_partkey) AS si FROM part r JOIN part s ON r.p_name = s.p_name AND r.p_type = s.p_type WHERE r.p_brand NOT IN ('Brand#1', 'Brand#2') AND s.p_brand IN ('Brand#1', 'Brand#2') GROUP BY 1)"
 
 
 def truth(spark, sf_dir) -> DataFrame:
-    """ri, si: a record's master has the same whole text and language; the smallest id of several."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    s = d.filter(F.col("source").isin(*MASTERS)).groupBy("lang", "h").agg(F.min("doc_id").alias("si"))
-    return d.filter(~F.col("source").isin(*MASTERS)).join(s, ["lang", "h"]).select(F.col("doc_id").alias("ri"), "si")
+    """ri, si: a record's master has the same name and type; the smallest key of several."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    s = p.filter(F.col("p_brand").isin(*MASTERS)).groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("si"))
+    return p.filter(~F.col("p_brand").isin(*MASTERS)).join(s, ["p_name", "p_type"]).select(F.col("p_partkey").alias("ri"), "si")
 
 
 # --- text
@@ -104,6 +104,12 @@ def norm_entities(spark, d):
     return pairfeatures.with_columns(e).select("id", "country", "is_master", "name", "addr", "addr_digits", "n_tok", "a_tok")
 
 
+@query(f"SELECT doc_id, {NORM.format(x='text')} AS name, len(list_filter(string_split({NORM.format(x='text')}, ' '), lambda t: t <> '')) AS n_tok FROM documents")
+def norm_documents(spark, d):
+    t = table(spark, d, "documents").select("doc_id", text.norm_name(F.col("text")).alias("name"))
+    return t.withColumn("n_tok", text.token_count(F.col("name")))
+
+
 @query(f"SELECT c_custkey, {NORM.format(x='c_name')} AS name, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, coalesce(nullif(ltrim(regexp_replace(c_name, '[^0-9]', '', 'g'), '0'), ''), '0') AS number, regexp_matches(c_name, '[^\\x00-\\x{{024F}}]') AS non_latin FROM customer")
 def norm_customers(spark, d):
     c = table(spark, d, "customer").withColumn("name", text.norm_name(F.col("c_name"))).withColumn("digits", text.digits(F.col("name")))
@@ -265,10 +271,10 @@ def label_join(spark, d):
 
 # --- joins and sets
 
-@query("SELECT doc_id FROM documents WHERE source NOT IN ('src0', 'src1') AND doc_id NOT IN (SELECT r.doc_id FROM documents r JOIN documents s ON r.text = s.text AND r.lang = s.lang WHERE s.source IN ('src0', 'src1'))")
+@query(f"WITH {TRUTH} SELECT p_partkey FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2') AND p_partkey NOT IN (SELECT ri FROM truth)")
 def anti_unmatched(spark, d):
     r = entities(spark, d)[1].select("id")
-    return r.join(truth(spark, d), F.col("id") == F.col("ri"), "left_anti").select(F.col("id").alias("doc_id"))
+    return r.join(truth(spark, d), F.col("id") == F.col("ri"), "left_anti").select(F.col("id").alias("p_partkey"))
 
 
 @query(f"WITH {TRUTH} SELECT si, string_agg(ri, ',' ORDER BY ri) AS ids, count(*) AS n FROM truth GROUP BY si")
