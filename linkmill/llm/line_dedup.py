@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only."""
+"""Line and passage dedup by winnowing over hashes of lines and of words, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from .common import materialise, salted_lookup
 
 #: Lines of the shortest run that is deleted, and words of a line that is a run by itself.
 WINDOW, LONG = 2, 50
+#: For whole_dedup: words of a line that is a run by itself, words of the shortest passage that is deleted, words of a fingerprint.
+FEW, PASSAGE, GRAM = 3, 50, 10
+_BLANK, _INK = "[\\\\x20\\\\x09-\\\\x0D]", "[^\\\\x20\\\\x09-\\\\x0D]"
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -69,6 +72,59 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataF
                       F.size("__l").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"))
 
 
+def repeated_passages(docs: DataFrame, size: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """__id, __x, starts: for each document with later repeats, the first words of passages of `size` words."""
+    hashes = F.expr(f"transform(filter(split(coalesce(text, ''), '{_BLANK}+', -1), s -> s <> ''), s -> xxhash64(s))")
+    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__x"), "text")
+    grams = texts.select("__id", "__x", hashes.alias("h")).select("__id", "__x", F.expr(
+        f"if(size(h) < {size}, array(), transform(sequence(1, size(h) - {gram - 1}), i -> xxhash64(slice(h, i, {gram}))))").alias("g"))
+    # The smallest hash of each window, the first one among equals: every passage of `size` words holds one.
+    wide = size - gram + 1
+    chosen = grams.withColumn("p", F.expr(f"""if(size(g) = 0, array(), array_distinct(transform(
+        transform(sequence(1, size(g) - {wide - 1}), s -> slice(g, s, {wide})), (a, s) -> s + cast(array_position(a, array_min(a)) as int) - 1)))"""))
+    rows = chosen.select("__id", "__x", "g", F.explode_outer("p").alias("p")).filter("p is not null").select("__id", "__x", F.expr("get(g, p)").alias("f"), "p")
+    rows = materialise(rows, "grams")
+    place = F.xxhash64("__id", "__x", "p")
+    again = rows.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("f", F.lit(1).alias("again"))
+    marks = salted_lookup(rows, again, "f", "__id").filter("again = 1").groupBy("__id", "__x").agg(F.collect_set("p").alias("ps"))
+    # Extended both ways: every passage that holds a repeated fingerprint. Repeated rows are one place.
+    met = texts.join(marks.withColumnsRenamed({"__id": "__i", "__x": "__y"}), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y"))).select("__id", "__x", "ps", hashes.alias("h"))
+    starts = met.select("__id", "__x", "h", F.explode(F.expr(f"array_distinct(flatten(transform(ps, p -> sequence(greatest(0, p - {size - gram}), least(p, size(h) - {size})))))")).alias("start"))
+    held = materialise(starts.select("__id", "__x", "start", F.expr(f"xxhash64(slice(h, start + 1, {size}))").alias("key")).distinct(), "passages")
+    first = held.groupBy("key").agg(F.min(F.struct("__id", "__x", "start")).alias("first"))
+    later = salted_lookup(held, first, "key", "__id").filter(F.struct("__id", "__x", "start") > F.col("first"))
+    # A passage that overlaps its own first place is no second place.
+    apart = later.filter(f"not (__id <=> first.__id and __x = first.__x and start < first.start + {size})")
+    return apart.groupBy("__id", "__x").agg(F.collect_set("start").alias("starts"))
+
+
+def passage_dedup(docs: DataFrame, size: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """All rows and columns of docs, text without its later repeated passages, and n_words_removed.
+
+    A passage is `size` words in a row, wherever lines break, as words are compared without the
+    blanks between them. One that already stands at an earlier place (doc_id, then position) is
+    deleted with the blanks before its words, line breaks stay; its first place stays. Winnowing
+    over runs of `gram` words selects one in every passage, so each repeated passage is found.
+    Null text and a null doc_id stay as they are, repeated rows are one place, as in line_dedup.
+    """
+    cols = [c for c in docs.columns if c != "n_words_removed"]
+    found = repeated_passages(docs, size, gram)
+    met = docs.select(*cols, F.xxhash64("text").alias("__k")).join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__x")), "left")
+    met = met.withColumn("__gone", F.expr(f"coalesce(array_distinct(flatten(transform(starts, s -> sequence(s, s + {size - 1})))), cast(array() as array<int>))"))
+    # A word with the blanks before it. array_except hashes, where array_contains would look through all for each word.
+    met = met.withColumn("__w", F.expr(f"if(size(__gone) > 0, regexp_extract_all(text, '{_BLANK}*{_INK}+', 0), cast(array() as array<string>))"))
+    kept = F.expr(f"""concat(array_join(transform(array_sort(concat(
+        transform(array_except(sequence(0, size(__w) - 1), __gone), i -> struct(i as i, get(__w, i) as s)),
+        transform(__gone, i -> struct(i as i, regexp_replace(get(__w, i), '[^\\\\n]+', '') as s)))), y -> y.s), ''), regexp_extract(text, '{_BLANK}*\\\\z', 0))""")
+    return met.select(*[F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
+                      F.size("__gone").cast("long").alias("n_words_removed"))
+
+
+def whole_dedup(docs: DataFrame) -> DataFrame:
+    """line_dedup with a single line of FEW or more words as a run, then passage_dedup over what stays."""
+    return passage_dedup(materialise(line_dedup(docs, WINDOW, FEW), "kept-lines"))
+
+
 ORACLE_SQL = f"""
 WITH l AS (
   SELECT doc_id, n, trim(s, ' ') AS s, s AS raw FROM (

@@ -135,6 +135,41 @@ def test_line_dedup_against_brute_force(spark, window):
     assert [x.n_removed for x in twice] == [0, 0]
 
 
+def slow_passages(texts, size):
+    seen, out = {}, []
+    for d, t in enumerate(texts):
+        w, gone = re.findall(r"[ \t-\r]*[^ \t-\r]+", t or ""), set()
+        for i in range(len(w) - size + 1):
+            e, j = seen.setdefault(tuple(x.strip() for x in w[i : i + size]), (d, i))
+            if e < d or i >= j + size:
+                gone |= set(range(i, i + size))
+        out.append((None if t is None else "".join("\n" * x.count("\n") if i in gone else x for i, x in enumerate(w)) + t[len("".join(w)) :], len(gone)))
+    return out
+
+
+def test_passage_dedup_against_brute_force(spark):
+    r = random.Random(11)
+    known = [words(n, r) for n in (50, 51, 70, 130)]
+    texts = ["", None, "a " * 240, " \n" + known[0], words(20, r) + "\t" + known[0].replace(" ", "\n ", 3) + "\n \nend. \n", known[1][: known[1].rindex(" ")]]
+    for _ in range(80):
+        parts = [p for _ in range(r.randrange(1, 5)) for p in (words(r.randrange(30), r), r.choice(known))]
+        texts.append(r.choice([" ", "\n", "  \n"]).join(parts)[r.randrange(40) :])
+    got = {x.doc_id: x for x in line_dedup.passage_dedup(docs(spark, texts)).collect()}
+    for i, (text, n) in enumerate(slow_passages(texts, line_dedup.PASSAGE)):
+        assert (got[i].text, got[i].n_words_removed) == (text, n), (i, texts[i])
+    assert line_dedup.passage_dedup(docs(spark, [])).count() == 0
+
+
+def test_pipeline_deletes_single_lines_and_passages_inside_lines(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(13)
+    passage = words(50, r)
+    texts = ["one line that repeats\nother text here", "some more\none line that repeats\nand more words", f"first {passage} ends", f"then {passage} goes on"]
+    got = {x.doc_id: x.text for x in p.lines(spark, docs(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: "some more\nand more words", 2: texts[2], 3: "then goes on"}
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a", "x" * 192, "x" * 193, "é" * 500, "same", "same", "y" * 100_000]
     got = {x.doc_id: x for x in media.media_columns(docs(spark, texts)).collect()}
