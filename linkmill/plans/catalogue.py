@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkmill.functions import kernels, text
 from linkmill.operators import blocking, decide, matcher, pairfeatures, tokenstats, views, windows
+from linkmill.plans import linkage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -409,20 +410,22 @@ def clone_density(spark, d):
 # --- learning
 
 def _features(spark, d):
-    c = windows.add_context(candidates(spark, d), ("cos_both", "cos_name"))
-    return c.join(label_join(spark, d), ["ri", "si"]).drop("country")
+    """ri, si, y and every feature that the linkage builds for the classifier, written to the shared folder."""
+    s, r = entities(spark, d)
+    f = linkage.features(s, r).join(truth(spark, d).withColumn("y", F.lit(1)), ["ri", "si"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return linkage.written(f, "pair-features").drop("country")
 
 
 @query()
 def gbt_oof(spark, d):
-    f = _features(spark, d).cache()
-    return matcher.out_of_fold(f, matcher.fit_folds(f, k=2, rounds=5, depth=3))
+    f = _features(spark, d)
+    return matcher.out_of_fold(f, matcher.fit_folds(f))
 
 
 @query()
 def gbt_predict(spark, d):
-    f = _features(spark, d).cache()
-    return matcher.predict(f, matcher.fit_folds(f, k=2, rounds=5, depth=3))
+    f = _features(spark, d)
+    return matcher.predict(f, matcher.fit_folds(f))
 
 
 # --- views and routing

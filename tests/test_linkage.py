@@ -160,3 +160,20 @@ def test_sweep_report_and_hard_pairs(spark):
     assert {tuple(r) for r in decide.hard_pairs(pairs, other).collect()} == {(11, 1, 0.001, 0.7), (12, 2, 0.001, 1.0)}
     none = best.limit(0)
     assert {r.f05 for r in decide.threshold_sweep(s1, none, truth.limit(0), [0.5]).collect()} == {1.0}
+
+
+def test_gbt_queries_learn_from_all_features_with_the_defaults(spark, monkeypatch):
+    from linkmill.operators import matcher
+    from linkmill.plans import catalogue, linkage
+
+    seen = []
+    monkeypatch.setattr(matcher, "fit_folds", lambda f, *a, **b: seen.append((f, a, b)) or [])
+    monkeypatch.setattr(matcher, "out_of_fold", lambda f, m: f)
+    monkeypatch.setattr(matcher, "predict", lambda f, m: f)
+    monkeypatch.setattr(linkage, "written", lambda f, name: f)
+    d = "/root/testdata/sf0.001"
+    want = set(matcher.feature_columns(linkage.features(*catalogue.entities(spark, d))))
+    for name in ("gbt_oof", "gbt_predict"):
+        got = catalogue.QUERIES[name](spark, d)
+        assert set(matcher.feature_columns(got)) == want and {"n_tset", "a_cov_s", "hn_rel", "o_nins", "cos_both"} <= want
+    assert [x[1:] for x in seen] == [((), {})] * 2
