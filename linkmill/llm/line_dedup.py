@@ -2,141 +2,208 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, salted_lookup
-
-#: Lines of the shortest run that is deleted, and words of a line that is a run by itself.
-WINDOW, LONG = 2, 50
-#: For whole_dedup: words of a line that is a run by itself, words of the shortest passage that is deleted, words of a fingerprint.
-FEW, PASSAGE, GRAM = 3, 50, 10
-_BLANK, _INK = "[\\\\x20\\\\x09-\\\\x0D]", "[^\\\\x20\\\\x09-\\\\x0D]"
-
-
-def with_lines(docs: DataFrame) -> DataFrame:
-    """Adds __l: the lines that are not blank, without blanks at their ends."""
-    return docs.withColumn("__l", F.expr(
-        "filter(transform(split(coalesce(text, ''), '\\n', -1), x -> trim(x)), s -> s <> '')"))
-
-
-def repeated_runs(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """__id, __x, runs: for each document with later repeats, the (start, size) of runs of lines."""
-    lines = with_lines(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__x"),
-        F.expr("transform(__l, s -> xxhash64(s))").alias("h"),
-        F.expr(f"filter(transform(__l, (s, i) -> if(length(s) >= {2 * long - 1} and size(split(s, '[\\\\x20\\\\x09-\\\\x0D]+', {long})) >= {long}, i, -1)), i -> i >= 0)").alias("long"))
-    # The smallest hash of each window, the last one among equals, and every long line.
-    minima = f"""if(size(h) < {window}, array(), transform(sequence(0, size(h) - {window}), s ->
-        -array_min(transform(slice(h, s + 1, {window}), (v, i) -> struct(v as v, -(s + i) as p))).p))"""
-    chosen = lines.withColumn("p", F.expr(f"array_distinct(concat(long, {minima}))"))
-    # An outer explode: a plain one has the optimiser work out the lines once more, in a filter on the array's size.
-    rows = chosen.select("__id", "__x", "h", "long", F.explode_outer("p").alias("p")).filter("p is not null").select(
-        "__id", "__x", F.expr("get(h, p)").alias("f"), "p",
-        F.expr(f"""concat(
-            if(array_contains(long, p), array(struct(p as start, 1 as size, xxhash64(1, get(h, p)) as key)), array()),
-            if(size(h) < {window}, array(), transform(filter(sequence(greatest(0, p - {window - 1}), p), s -> s <= size(h) - {window}),
-                s -> struct(s as start, {window} as size, xxhash64({window}, slice(h, s + 1, {window})) as key))))""").alias("runs"))
-    rows = materialise(rows, "lines")
-    place = F.struct("__id", "__x", "p")
-    again = rows.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("f", F.lit(1).alias("again"))
-    # Extended both ways: every window of lines that holds a repeated fingerprint.
-    wide = salted_lookup(rows, again, "f", "__id").filter("again = 1").select("__id", "__x", F.explode("runs").alias("r")).select("__id", "__x", "r.*").distinct()
-    wide = materialise(wide, "line-runs")
-    first = wide.groupBy("key").agg(F.min(F.struct("__id", "__x", "start")).alias("first"))
-    later = salted_lookup(wide, first, "key", "__id").filter(F.struct("__id", "__x", "start") > F.col("first"))
-    return later.groupBy("__id", "__x").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
-
-
-def line_dedup(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """All rows and columns of docs, text without its later repeated lines, and n_lines, n_removed.
-
-    Lines are compared without blanks at their ends; blank lines take no part and stay. A run of
-    `window` or more lines, or a line of `long` or more words, that already stands at an earlier
-    place (doc_id, then position) is deleted; its first place stays. Winnowing selects a line in
-    every window, so each such run holds a selected line; only windows about a line whose hash
-    repeats are compared. A hash that very many places share is grouped, never paired.
-
-    Null text stays null with no lines; a null doc_id keeps its lines. Repeated rows with one
-    doc_id and text are one place, none is later. Empty table: empty result. Columns of docs
-    named n_lines or n_removed are replaced; others pass through.
+from .common import Scratch, salted_lookup
+
+#: Lines of a run, words of a line that is a run by itself, words of a passage, words of a passage's fingerprint.
+RUN, FEW, PASSAGE, GRAM = 2, 3, 50, 10
+#: Low bits of a value that hold its place; the upper bits of its hash lead it, so that places break ties.
+_LOW = (1 << 31) - 1
+_BLANKS = "\\t\\n\\u000B\\f\\r "
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """SQL: `body` with `name` for `value`, worked out once. A captured array would be worked out for each element."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def window_minima(values: str, width: int) -> str:
+    """SQL: the smallest of each window of `width` values, by doubling: O(log width) for a value."""
+    step, out = 1, values
+    while step < width:
+        hop = min(step, width - step)
+        m = f"m{step}"
+        out = bound(out, m, f"if(size({m}) <= {hop}, cast(array() as array<bigint>), transform(sequence(0, size({m}) - {hop + 1}), i -> least(get({m}, i), get({m}, i + {hop}))))")
+        step += hop
+    return out
+
+
+def word_table(text: str = "coalesce(text, '')") -> str:
+    """SQL: struct of h, the words' hashes, and s, the places of the words that begin a line."""
+    # Single blanks between words, and a line break before the first word of a line; linear in the text.
+    flat = f"regexp_replace(regexp_replace({text}, '[\\\\x20\\\\x09\\\\x0B-\\\\x0D]+', ' '), ' ?\\n[ \\n]*', ' \\n')"
+    tokens = f"filter(split({flat}, ' ', -1), t -> t <> '' and t <> '\\n')"
+    return bound(tokens, "ts", """struct(
+        transform(ts, t -> xxhash64(if(startswith(t, '\\n'), substr(t, 2), t))) as h,
+        filter(transform(ts, (t, i) -> if(i = 0 or startswith(t, '\\n'), i, -1)), i -> i >= 0) as s)""")
+
+
+_ROW = "array<struct<start:int,span:bigint,f:bigint,k:bigint>>"
+
+
+def line_rows(h: str, s: str, run: int, few: int) -> str:
+    """SQL: start, span (words, negative), f and k of each run of lines that is looked for.
+
+    A line of `few` words is a run. Of `run` lines with a shorter one among them, winnowing takes
+    the smallest line of each window; its row is the window's.
+    """
+    lines = f"transform({s}, (b, j) -> struct(b as b, coalesce(get({s}, j + 1), size({h})) - b as n))"
+    keyed = bound(lines, "ls", f"transform(ls, l -> struct(l.b as b, l.n as n, xxhash64(slice({h}, l.b + 1, l.n)) as g, xxhash64(7, slice({h}, l.b + 1, l.n)) as q))")
+    single = "transform(filter(ks, x -> x.n >= {few}), x -> struct(x.b as start, cast(-x.n as bigint) as span, xxhash64(1, x.g) as f, xxhash64(1, x.q) as k))".format(few=few)
+    window = f"slice(ks, i + 1, {run})"
+    several = f"""if(size(ks) < {run}, cast(array() as {_ROW}), transform(
+        filter(sequence(0, size(ks) - {run}), i -> exists({window}, x -> x.n < {few})),
+        i -> struct(get(ks, i).b as start, cast(get(ks, i).b - (get(ks, i + {run - 1}).b + get(ks, i + {run - 1}).n) as bigint) as span,
+                    xxhash64(2, transform({window}, x -> x.g)) as f, xxhash64(2, transform({window}, x -> x.q)) as k)))"""
+    return bound(keyed, "ks", f"concat(cast({single} as {_ROW}), cast({several} as {_ROW}))")
+
+
+def passage_rows(h: str, size: int, gram: int) -> str:
+    """SQL: start, span, f and k of each block of passages.
+
+    Each passage of `size` words selects the smallest word hash among those where a run of `gram`
+    words fits, the first one among equals. Passages that select one word follow one another; they
+    are a block. f is the hash of the selected run, the guaranteed fingerprint; k that of all words
+    of the block. span: words * 256 + passages beyond the first.
     """
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    runs = repeated_runs(docs, window, long)
-    gone = "coalesce(array_distinct(flatten(transform(runs, r -> transform(sequence(r.start, r.start + r.size - 1), i -> get(__l, i))))), array())"
-    # A document keeps whole lines, so only rows with repeats need their text taken apart.
-    met = docs.select(*cols, F.xxhash64("text").alias("__k")).join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__x")), "left")
-    met = met.withColumn("__l", F.expr("filter(transform(split(coalesce(text, ''), '\\n', -1), (x, n) -> if(trim(x) = '', -1, n)), n -> n >= 0)")).withColumn("__gone", F.expr(gone))
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, n) -> struct(x, n)), y -> not array_contains(__gone, y.n)), y -> y.x), '\\n')")
-    return met.select(*[F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
-                      F.size("__l").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"))
-
-
-def repeated_passages(docs: DataFrame, size: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """__id, __x, starts: for each document with later repeats, the first words of passages of `size` words."""
-    hashes = F.expr(f"transform(filter(split(coalesce(text, ''), '{_BLANK}+', -1), s -> s <> ''), s -> xxhash64(s))")
-    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__x"), "text")
-    grams = texts.select("__id", "__x", hashes.alias("h")).select("__id", "__x", F.expr(
-        f"if(size(h) < {size}, array(), transform(sequence(1, size(h) - {gram - 1}), i -> xxhash64(slice(h, i, {gram}))))").alias("g"))
-    # The smallest hash of each window, the first one among equals: every passage of `size` words holds one.
-    wide = size - gram + 1
-    chosen = grams.withColumn("p", F.expr(f"""if(size(g) = 0, array(), array_distinct(transform(
-        transform(sequence(1, size(g) - {wide - 1}), s -> slice(g, s, {wide})), (a, s) -> s + cast(array_position(a, array_min(a)) as int) - 1)))"""))
-    rows = chosen.select("__id", "__x", "g", F.explode_outer("p").alias("p")).filter("p is not null").select("__id", "__x", F.expr("get(g, p)").alias("f"), "p")
-    rows = materialise(rows, "grams")
-    place = F.xxhash64("__id", "__x", "p")
-    again = rows.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("f", F.lit(1).alias("again"))
-    marks = salted_lookup(rows, again, "f", "__id").filter("again = 1").groupBy("__id", "__x").agg(F.collect_set("p").alias("ps"))
-    # Extended both ways: every passage that holds a repeated fingerprint. Repeated rows are one place.
-    met = texts.join(marks.withColumnsRenamed({"__id": "__i", "__x": "__y"}), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y"))).select("__id", "__x", "ps", hashes.alias("h"))
-    starts = met.select("__id", "__x", "h", F.explode(F.expr(f"array_distinct(flatten(transform(ps, p -> sequence(greatest(0, p - {size - gram}), least(p, size(h) - {size})))))")).alias("start"))
-    held = materialise(starts.select("__id", "__x", "start", F.expr(f"xxhash64(slice(h, start + 1, {size}))").alias("key")).distinct(), "passages")
-    first = held.groupBy("key").agg(F.min(F.struct("__id", "__x", "start")).alias("first"))
-    later = salted_lookup(held, first, "key", "__id").filter(F.struct("__id", "__x", "start") > F.col("first"))
-    # A passage that overlaps its own first place is no second place.
-    apart = later.filter(f"not (__id <=> first.__id and __x = first.__x and start < first.start + {size})")
-    return apart.groupBy("__id", "__x").agg(F.collect_set("start").alias("starts"))
-
-
-def passage_dedup(docs: DataFrame, size: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """All rows and columns of docs, text without its later repeated passages, and n_words_removed.
-
-    A passage is `size` words in a row, wherever lines break, as words are compared without the
-    blanks between them. One that already stands at an earlier place (doc_id, then position) is
-    deleted with the blanks before its words, line breaks stay; its first place stays. Winnowing
-    over runs of `gram` words selects one in every passage, so each repeated passage is found.
-    Null text and a null doc_id stay as they are, repeated rows are one place, as in line_dedup.
+    coded = f"transform({h}, (x, i) -> (x & {~_LOW}L) | i)"
+    chosen = bound(window_minima(coded, size - gram + 1), "ms", f"transform(slice(ms, 1, size({h}) - {size - 1}), m -> cast(m & {_LOW}L as int))")
+    starts = "filter(transform(ps, (p, i) -> if(i = 0 or p <> get(ps, i - 1), i, -1)), i -> i >= 0)"
+    blocks = bound(starts, "bs", f"transform(bs, (b, j) -> struct(b as b, coalesce(get(bs, j + 1), size(ps)) - 1 - b as more, get(ps, b) as p))")
+    rows = bound(blocks, "ks", f"""transform(ks, x -> struct(x.b as start, cast((x.more + {size}) * 256 + x.more as bigint) as span,
+        xxhash64(slice({h}, x.p + 1, {gram})) as f, xxhash64(slice({h}, x.b + 1, x.more + {size})) as k))""")
+    return f"if(size({h}) < {size}, cast(array() as {_ROW}), cast({bound(chosen, 'ps', rows)} as {_ROW}))"
+
+
+def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> DataFrame:
+    """id, at, span, f, k of all runs of lines and all blocks of passages: one scan, one row for each.
+
+    at: a hash of the text above, the first word's place below; with id it orders places.
     """
-    cols = [c for c in docs.columns if c != "n_words_removed"]
-    found = repeated_passages(docs, size, gram)
-    met = docs.select(*cols, F.xxhash64("text").alias("__k")).join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__x")), "left")
-    met = met.withColumn("__gone", F.expr(f"coalesce(array_distinct(flatten(transform(starts, s -> sequence(s, s + {size - 1})))), cast(array() as array<int>))"))
-    # A word with the blanks before it. array_except hashes, where array_contains would look through all for each word.
-    met = met.withColumn("__w", F.expr(f"if(size(__gone) > 0, regexp_extract_all(text, '{_BLANK}*{_INK}+', 0), cast(array() as array<string>))"))
-    kept = F.expr(f"""concat(array_join(transform(array_sort(concat(
-        transform(array_except(sequence(0, size(__w) - 1), __gone), i -> struct(i as i, get(__w, i) as s)),
-        transform(__gone, i -> struct(i as i, regexp_replace(get(__w, i), '[^\\\\n]+', '') as s)))), y -> y.s), ''), regexp_extract(text, '{_BLANK}*\\\\z', 0))""")
-    return met.select(*[F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
-                      F.size("__gone").cast("long").alias("n_words_removed"))
+    table = bound(word_table(), "w", f"concat({line_rows('w.h', 'w.s', run, few)}, {passage_rows('w.h', size, gram)})")
+    # The text must not go through the explode, which would copy it for each row.
+    texts = docs.select(F.col("doc_id").alias("id"), F.expr("shiftleft(xxhash64(text), 32)").alias("x"), F.expr(table).alias("rs"))
+    rows = texts.select("id", "x", F.explode_outer("rs").alias("r"))
+    return rows.filter("r is not null").select("id", F.expr("x | r.start").alias("at"), "r.span", "r.f", "r.k")
 
 
-def whole_dedup(docs: DataFrame) -> DataFrame:
-    """line_dedup with a single line of FEW or more words as a run, then passage_dedup over what stays."""
-    return passage_dedup(materialise(line_dedup(docs, WINDOW, FEW), "kept-lines"))
+def _start(at: str = "at") -> str:
+    return f"cast({at} & {_LOW}L as int)"
 
 
+def _apart(size: int) -> str:
+    """SQL: a passage that overlaps its own first place is no second place."""
+    return f"not (id <=> first.id and shiftrightunsigned(at, 32) = shiftrightunsigned(first.at, 32) and at < first.at + {size})"
+
+
+def later_blocks(rows: DataFrame, size: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Two tables: later places (id, at, words), and the blocks (id, at, more) left to look at passage by passage.
+
+    Every key's first place is found by partial minima, and its other places meet it in a salted
+    join. A block whose fingerprint also stands in another block may share some passages with it:
+    only the first place of each distinct block has to be looked at again.
+    """
+    place = F.struct("id", "at")
+    groups = rows.groupBy("f", "k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("span").alias("span"))
+    groups = work.keep(groups, "line-groups")
+    met = salted_lookup(rows, groups.filter("n > 1").select("f", "k", "first"), ["f", "k"], "id").filter(place > F.col("first"))
+    met = work.keep(met.select("id", "at", "span", F.expr(f"span < 0 or ({_apart(size)})").alias("apart")), "line-later")
+    blocks = groups.filter("span > 0")
+    shared = blocks.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    open_ = salted_lookup(blocks, shared, ["f"], "k").filter("kinds > 1").select("first.id", "first.at", F.expr("cast(span & 255 as int)").alias("more"))
+    own = met.filter("not apart").select("id", "at", F.expr("cast(span & 255 as int)").alias("more"))
+    words = F.expr("cast(if(span < 0, -span, shiftright(span, 8)) as int)").alias("words")
+    return met.filter("apart").select("id", "at", words), open_.unionByName(own)
+
+
+def later_passages(docs: DataFrame, blocks: DataFrame, size: int, work: Scratch) -> DataFrame:
+    """id, at, words of the single passages of `blocks` that stand at an earlier place too."""
+    marks = blocks.groupBy("id", F.expr("shiftrightunsigned(at, 32)").alias("x")).agg(F.collect_list(F.struct(F.expr(_start()).alias("start"), "more")).alias("bs"))
+    texts = docs.select("doc_id", "text", F.expr("shiftrightunsigned(shiftleft(xxhash64(text), 32), 32)").alias("tx"))
+    met = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("x")))
+    starts = "flatten(transform(bs, b -> sequence(b.start, b.start + b.more)))"
+    found = bound(word_table(), "w", f"transform({starts}, s -> struct(s as s, xxhash64(slice(w.h, s + 1, {size})) as f, xxhash64(7, slice(w.h, s + 1, {size})) as k))")
+    # Repeated rows give a passage twice at one place: none is later than itself.
+    held = work.keep(met.select("id", "x", F.expr(found).alias("ps")).select("id", "x", F.explode_outer("ps").alias("p")).filter("p is not null").select("id", F.expr("shiftleft(x, 32) | p.s").alias("at"), "p.f", "p.k"), "passages")
+    place = F.struct("id", "at")
+    first = held.groupBy("f", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    met = salted_lookup(held, first, ["f", "k"], "id").filter(place > F.col("first")).filter(_apart(size))
+    return met.select("id", "at", F.lit(size).alias("words"))
+
+
+def repeated_ranges(docs: DataFrame, run: int = RUN, few: int = FEW, size: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """id, x, gone, n_removed: the ranges (b, e) of words that stand at an earlier place too, disjoint and in order."""
+    with Scratch(docs.sparkSession) as work:
+        rows = work.keep(fingerprints(docs, run, few, size, gram), "line-prints")
+        later, blocks = later_blocks(rows, size, work)
+        later = work.keep(later.select("id", "at", "words"), "line-ranges")
+        blocks = work.keep(blocks, "line-blocks")
+        work.drop("line-prints", "line-groups", "line-later")
+        every = later.unionByName(work.keep(later_passages(docs, blocks, size, work), "passage-ranges"))
+        work.drop("passages", "line-blocks")
+        ends = every.select("id", F.expr("shiftrightunsigned(at, 32)").alias("x"), F.expr(_start()).alias("b"), F.expr(f"{_start()} + words").alias("e"))
+        one = Window.partitionBy("id", "x").orderBy("b", "e")
+        new = ends.withColumn("new", F.coalesce(F.col("b") > F.max("e").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+        islands = new.withColumn("i", F.sum("new").over(one)).groupBy("id", "x", "i").agg(F.min("b").alias("b"), F.max("e").alias("e"))
+        out = islands.groupBy("id", "x").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("gone"), F.sum(F.col("e") - F.col("b")).alias("n_removed"))
+        return work.give(out, "ranges")
+
+
+def line_dedup(docs: DataFrame, run: int = RUN, few: int = FEW, size: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """All rows and columns of docs, text without its later repeated runs, and n_removed (its deleted words).
+
+    Words are compared without the blanks between them, so line ends (LF or CRLF) and indentation
+    do not matter. Deleted is each later place (by doc_id, then position) of a line of `few` words,
+    of `run` lines in a row, and of `size` words in a row wherever lines break; its first place
+    stays. Overlapping places are one run. Blanks before a deleted word go too; a run that begins
+    with a line leaves the break before it to what follows.
+
+    Winnowing selects a word in every passage and a line in every run, so each repeated one is
+    found. Keys are two 64-bit hashes of all words. A key that very many places share is
+    aggregated, never paired. All steps are linear in a document's words and lines.
+
+    Null text stays null; a null doc_id comes before all others. Repeated rows with one doc_id and
+    text are one place, none is later, all are cut alike. A text without words stays as it is. Empty
+    table: empty result. A column of docs named n_removed is replaced; others pass through.
+    """
+    cols = [c for c in docs.columns if c != "n_removed"]
+    ranges = repeated_ranges(docs, run, few, size, gram).withColumnsRenamed({"id": "__id", "x": "__x", "gone": "__gone", "n_removed": "__n"})
+    met = docs.select(*cols, F.expr("shiftrightunsigned(shiftleft(xxhash64(text), 32), 32)").alias("__k")).join(ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__x")), "left")
+    body = f"trim(TRAILING '{_BLANKS}' FROM text)"
+    lead = lambda p: f"regexp_extract({p}, '^[\\\\x20\\\\x09-\\\\x0D]*', 0)"
+    before = "get(w, get(g, j - 1).b)"
+    first = f"if(get(g, j - 1).b = 0 or contains({lead(before)}, '\\n'), concat({lead(before)}, trim(LEADING '{_BLANKS}' FROM get(w, get(g, j - 1).e))), get(w, get(g, j - 1).e))"
+    upto = "if(j = size(g), size(w), get(g, j).b)"
+    part = f"if(j = 0, array_join(slice(w, 1, {upto}), ''), if({upto} <= get(g, j - 1).e, '', concat({first}, array_join(slice(w, get(g, j - 1).e + 2, {upto} - get(g, j - 1).e - 1), ''))))"
+    words = f"regexp_extract_all({body}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    whole = bound(words, "w", bound("__gone", "g", f"if(size(g) = 1 and get(g, 0).b = 0 and get(g, 0).e = size(w), '', concat(array_join(transform(sequence(0, size(g)), j -> {part}), ''), substr(text, length({body}) + 1)))"))
+    return met.select(*[F.when(F.col("__gone").isNotNull(), F.expr(whole)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
+                      F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"))
+
+
+_B = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE_SQL = f"""
-WITH l AS (
-  SELECT doc_id, n, trim(s, ' ') AS s, s AS raw FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
-b AS (SELECT doc_id, n, s, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
-        lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS n2, lead(s) OVER (PARTITION BY doc_id ORDER BY n) AS s2,
-        len(string_split_regex(s, '[ \\t-\\r]+')) AS words FROM l WHERE s <> ''),
-pairs AS (SELECT doc_id, n, n2, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, i) AS k FROM b WHERE n2 IS NOT NULL),
-longs AS (SELECT doc_id, n, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM b WHERE words >= {LONG}),
-gone AS (SELECT doc_id, n FROM pairs WHERE k > 1 UNION SELECT doc_id, n2 FROM pairs WHERE k > 1 UNION SELECT doc_id, n FROM longs WHERE k > 1),
-kept AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.n) FILTER (WHERE gone.n IS NULL) AS text,
-           count(*) FILTER (WHERE l.s <> '') AS n_lines, count(gone.n) AS n_removed
-         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.n = gone.n GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(kept.text, '') AS text, n_lines, n_removed FROM documents d JOIN kept USING (doc_id)
+WITH p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ \\t-\\r]*[^ \\t-\\r]+') AS l FROM documents)),
+w AS (SELECT doc_id, i, piece, ltrim(piece, {_B}) AS word, left(piece, len(piece) - len(ltrim(piece, {_B}))) AS blanks FROM p),
+v AS (SELECT *, sum((i = 1 OR contains(blanks, chr(10)))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS line, i = 1 OR contains(blanks, chr(10)) AS begins FROM w),
+l AS (SELECT doc_id, line, min(i) AS b, max(i) AS e, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS s FROM v GROUP BY 1, 2),
+t AS (SELECT *, lead(s) OVER o AS s2, lead(e) OVER o AS e2, lead(n) OVER o AS n2 FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+one AS (SELECT doc_id, b, e, row_number() OVER (PARTITION BY s ORDER BY doc_id, b) AS k FROM t WHERE n >= {FEW}),
+two AS (SELECT doc_id, b, e2 AS e, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, b) AS k FROM t WHERE s2 IS NOT NULL),
+a AS (SELECT doc_id, list(word ORDER BY i) AS ws FROM w GROUP BY 1 HAVING count(*) >= {PASSAGE}),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + {PASSAGE - 1}), ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {PASSAGE - 2})) AS i FROM a)),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0, row_number() OVER o AS k FROM g WINDOW o AS (PARTITION BY s ORDER BY doc_id, i)),
+gone AS (SELECT doc_id, b, e FROM one WHERE k > 1 UNION ALL SELECT doc_id, b, e FROM two WHERE k > 1
+  UNION ALL SELECT doc_id, i, i + {PASSAGE - 1} FROM f WHERE k > 1 AND (doc_id <> d0 OR i >= i0 + {PASSAGE})),
+c AS (SELECT doc_id, b, max(e) AS e FROM gone GROUP BY 1, 2),
+m AS (SELECT v.*, coalesce(max(c.e) OVER (PARTITION BY v.doc_id ORDER BY v.i) >= v.i, false) AS cut FROM v LEFT JOIN c ON v.doc_id = c.doc_id AND v.i = c.b),
+n AS (SELECT *, coalesce(max(CASE WHEN NOT cut THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM m),
+r AS (SELECT n.doc_id, n.i, CASE WHEN n.prev = n.i - 1 OR NOT h.begins THEN n.piece ELSE h.blanks || n.word END AS piece FROM n JOIN v h ON h.doc_id = n.doc_id AND h.i = n.prev + 1 WHERE NOT n.cut),
+x AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS s FROM r GROUP BY 1),
+z AS (SELECT doc_id, count(*) AS n_removed FROM m WHERE cut GROUP BY 1)
+SELECT d.doc_id, CASE WHEN z.doc_id IS NULL THEN d.text WHEN x.s IS NULL THEN '' ELSE x.s || right(d.text, len(d.text) - len(rtrim(d.text, {_B}))) END AS text,
+  coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
 """

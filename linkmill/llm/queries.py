@@ -37,11 +37,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op8_line_dedup(spark, sf_dir):
-    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
-
-
-def op8_passage_dedup(spark, sf_dir):
-    return line_dedup.whole_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed", "n_words_removed")
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_removed")
 
 
 def op9_media_columns(spark, sf_dir):
@@ -52,5 +48,5 @@ def op10_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_byte_bpe, op4_toxicity, op5_token_counts, op6_exact_dedup, op7_mix_sources, op8_line_dedup, op8_passage_dedup, op9_media_columns, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_byte_bpe, op4_toxicity, op5_token_counts, op6_exact_dedup, op7_mix_sources, op8_line_dedup, op9_media_columns, op10_quality)}
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}

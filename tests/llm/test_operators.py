@@ -103,61 +103,73 @@ def test_links_of_crowded_buckets(spark):
         assert {got.get(f, f) for f in g} == {min(g)}
 
 
-def slow_lines(texts, window, long):
-    seen, gone = set(), [set() for _ in texts]
-    for d, t in enumerate(texts):
-        ls = [(n, x.strip(" ")) for n, x in enumerate((t or "").split("\n")) if x.strip(" ")]
-        for i in range(len(ls)):
-            for size in {window} | ({1} if len(re.split("[ \t-\r]+", ls[i][1])) >= long else set()):
-                if i + size > len(ls):
-                    continue
-                key = (size, tuple(x for _, x in ls[i : i + size]))
-                if key in seen:
-                    gone[d] |= {n for n, _ in ls[i : i + size]}
-                seen.add(key)
-    return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g) for t, g in zip(texts, gone)], gone
-
-
-@pytest.mark.parametrize("window", [2, 3])
-def test_line_dedup_against_brute_force(spark, window):
-    r = random.Random(9)
-    long = " ".join(f"l{i}" for i in range(60))
-    texts = ["", None, "\n\n", "a", "a", long, f"x\n{long}\ny", f" {long} \n\nz"]
-    texts += ["\n".join(r.choice(["a", "b", "c", "d", "", "  e ", f"u{r.random()}"]) for _ in range(r.randrange(14))) for _ in range(60)]
-    df = docs(spark, texts)
-    got = {x.doc_id: x for x in line_dedup.line_dedup(df, window).collect()}
-    want, gone = slow_lines(texts, window, line_dedup.LONG)
-    assert set(df.columns) <= set(line_dedup.line_dedup(df).columns)
-    for i, t in enumerate(texts):
-        assert got[i].text == want[i] and got[i].n_removed == len(gone[i]), (i, t)
-    assert line_dedup.line_dedup(docs(spark, [])).count() == 0
-    twice = line_dedup.line_dedup(docs(spark, ["p\nq"]).union(docs(spark, ["p\nq"]))).collect()
-    assert [x.n_removed for x in twice] == [0, 0]
-
-
-def slow_passages(texts, size):
-    seen, out = {}, []
-    for d, t in enumerate(texts):
-        w, gone = re.findall(r"[ \t-\r]*[^ \t-\r]+", t or ""), set()
-        for i in range(len(w) - size + 1):
-            e, j = seen.setdefault(tuple(x.strip() for x in w[i : i + size]), (d, i))
-            if e < d or i >= j + size:
-                gone |= set(range(i, i + size))
-        out.append((None if t is None else "".join("\n" * x.count("\n") if i in gone else x for i, x in enumerate(w)) + t[len("".join(w)) :], len(gone)))
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def slow_dedup(texts, run=2, few=3, size=50):
+    """text and deleted words by the definition: all lines, runs of lines and passages in order."""
+    pieces, seen, gone, units = [re.findall(r"[ \t-\r]*[^ \t-\r]+", t or "") for t in texts], {}, [set() for _ in texts], []
+    blanks = lambda x: x[: len(x) - len(x.lstrip(BLANKS))]
+    for d, p in enumerate(pieces):
+        w = [x.strip(BLANKS) for x in p]
+        at = [i for i, x in enumerate(p) if i == 0 or "\n" in blanks(x)]
+        lines = list(zip(at, [*at[1:], len(w)]))
+        for j, (b, e) in enumerate(lines):
+            if e - b >= few:
+                units.append(((1, *w[b:e]), d, b, e))
+            if j + run <= len(lines):
+                units.append(((2, *(tuple(w[x:y]) for x, y in lines[j : j + run])), d, b, lines[j + run - 1][1]))
+        units += [((3, *w[i : i + size]), d, i, i + size) for i in range(len(w) - size + 1)]
+    for k, d, b, e in units:
+        d0, b0 = seen.setdefault(k, (d, b))
+        if (d0, b0) != (d, b) and not (k[0] == 3 and d0 == d and b < b0 + size):
+            gone[d] |= set(range(b, e))
+    out = []
+    for t, p, g in zip(texts, pieces, gone):
+        text, last = "", -1
+        for i, x in enumerate(p):
+            if i in g:
+                continue
+            if last < i - 1 and (last < 0 or "\n" in blanks(p[last + 1])):
+                x = blanks(p[last + 1]) + x.lstrip(BLANKS)
+            text, last = text + x, i
+        out.append((t if not g else text + t[len("".join(p)) :] if text else "", len(g)))
     return out
 
 
-def test_passage_dedup_against_brute_force(spark):
+def test_line_dedup_against_brute_force(spark):
     r = random.Random(11)
     known = [words(n, r) for n in (50, 51, 70, 130)]
-    texts = ["", None, "a " * 240, " \n" + known[0], words(20, r) + "\t" + known[0].replace(" ", "\n ", 3) + "\n \nend. \n", known[1][: known[1].rindex(" ")]]
+    texts = ["", None, "\n\n", "a", "a", "a " * 240, " \n" + known[0], words(20, r) + "\t" + known[0].replace(" ", "\n ", 3) + "\n \nend. \n", known[1][: known[1].rindex(" ")],
+             "x y z\r\nq\r\n", "x y z\nq", "  x y\tz  \n\n  b c\n", "only this line\r\n", "only  this line"]
     for _ in range(80):
         parts = [p for _ in range(r.randrange(1, 5)) for p in (words(r.randrange(30), r), r.choice(known))]
         texts.append(r.choice([" ", "\n", "  \n"]).join(parts)[r.randrange(40) :])
-    got = {x.doc_id: x for x in line_dedup.passage_dedup(docs(spark, texts)).collect()}
-    for i, (text, n) in enumerate(slow_passages(texts, line_dedup.PASSAGE)):
-        assert (got[i].text, got[i].n_words_removed) == (text, n), (i, texts[i])
-    assert line_dedup.passage_dedup(docs(spark, [])).count() == 0
+    texts += ["\n".join(r.choice(["a", "b c", "c d e", "d", "", "  e ", f"u{r.random()} 1 2"]) for _ in range(r.randrange(14))) for _ in range(60)]
+    df = docs(spark, texts)
+    got = line_dedup.line_dedup(df)
+    assert got.columns == [*df.columns, "n_removed"]
+    got = {x.doc_id: x for x in got.collect()}
+    for i, (text, n) in enumerate(slow_dedup(texts)):
+        assert (got[i].text if i != 1 else "", got[i].n_removed) == (text or "", n), (i, texts[i])
+    assert got[1].text is None
+
+
+def test_line_dedup_of_repeated_rows_null_ids_and_no_rows(spark):
+    assert line_dedup.line_dedup(docs(spark, [])).count() == 0
+    twice = line_dedup.line_dedup(docs(spark, ["p q r\ns"]).union(docs(spark, ["p q r\ns"]))).collect()
+    assert [x.n_removed for x in twice] == [0, 0]
+    rows = [(None, "some line here", "7"), (3, "some line here\nx", "8"), (3, "and some more words", "9")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_removed string"))
+    assert sorted((x.text, x.n_removed) for x in got.collect()) == [("and some more words", 0), ("some line here", 0), ("x", 3)]
+    assert got.columns == ["doc_id", "text", "n_removed"]
+
+
+def test_line_dedup_of_very_long_texts(spark, tmp_path):
+    long = "\r\n".join(f"line number {i}" for i in range(200_000))
+    spark.createDataFrame([(i, t) for i, t in enumerate([long, long, "a" + " " * 300_000 + "b", "x y z\n" * 100_000])], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    got = {x.doc_id: (len(x.text), x.n_removed) for x in line_dedup.line_dedup(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert got == {0: (len(long), 0), 1: (0, 600_000), 2: (300_002, 0), 3: (6, 299_997)}
 
 
 def test_pipeline_deletes_single_lines_and_passages_inside_lines(spark):
