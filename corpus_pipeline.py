@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated lines, runs of lines and passages inside lines go; n_chars follows the text."""
-    out = line_dedup.whole_dedup(docs).select(docs.columns)
+    """Later repeated lines, runs of lines and passages go, as line_dedup has it for every case; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
