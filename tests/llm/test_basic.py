@@ -61,14 +61,26 @@ def test_counts_equal_library(spark):
 
 @pytest.mark.parametrize("keep", ["max", "min"])
 def test_exact_dedup(spark, keep):
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark), keep).collect()}
-    groups = {}
-    for i, t in enumerate(TEXTS):
+    rows = [(i, t) for i, t in enumerate(["a", None, "", "b", "a", "a", "c"] * 40)] + [(None, "a"), (None, "only null"), (3, "b"), (3, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    groups, best = {}, max if keep == "max" else min
+    for i, t in rows:
         groups.setdefault(t or "", []).append(i)
-    for i, t in enumerate(TEXTS):
-        g = groups[t or ""]
-        k = max(g) if keep == "max" else min(g)
-        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (k, len(g), i == k)
+    want = [(i, best([x for x in groups[t or ""] if x is not None], default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    got = exact_dedup.exact_dedup(df, keep).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in got)
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_runs_merge_across_batches_and_only_on_whole_digests():
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([bytes([s]) * 32 for s, *_ in rows]), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)], pa.array([0] * len(rows), pa.int32()),
+                                           pa.array([r[3] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int64())], ["sha", "xx", "bytes", "run", "best", "n"])
+
+    got = list(exact_dedup.merge_runs(iter([batch([(1, 1, 1, 5), (1, 1, 1, 7)]), batch([]), batch([(1, 1, 1, None), (1, 2, 1, None), (1, 2, 2, 3)])])))
+    assert [(r["xx"], r["bytes"], r["best"], r["n"]) for b in got for r in b.to_pylist()] == [(1, 1, 7, 3), (2, 1, None, 1), (2, 2, 3, 1)]
 
 
 def fill(sizes):
