@@ -3,9 +3,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from linkmill.llm import licences, line_dedup, media, quality, simhash, toxicity
 
@@ -203,38 +203,91 @@ def test_machine_pairs_identity():
     assert abs(m.raw(idx, val) - (m.w0 + 0.1 * val.sum() + pairs)) < 1e-5
 
 
-def test_kernel_against_brute_force():
+def test_kernel_of_pieces_against_brute_force():
+    """The table's sums are the kernel of each word, and of each two neighbours, with every landmark."""
     from itertools import combinations
 
-    def slow(s, t):
-        sub = lambda x: [("".join(x[i] for i in c), c[-1] - c[0] + 1) for c in combinations(range(len(x)), toxicity.ORDER)]
-        return sum(toxicity.DECAY ** (n + m) for u, n in sub(s) for v, m in sub(t) if u == v)
+    def slow(x):
+        out = {}
+        for c in combinations(range(len(x)), 3):
+            if all(b - a <= toxicity.REACH for a, b in zip(c, c[1:])):
+                out[tuple(x[i] for i in c)] = out.get(tuple(x[i] for i in c), 0) + toxicity.DECAY ** (c[-1] - c[0] + 1)
+        return out
+
+    def squares(n):
+        return sum(toxicity.DECAY ** (2 * (c - a + 1)) for a, b, c in combinations(range(n), 3) if b - a <= toxicity.REACH and c - b <= toxicity.REACH)
+
+    words = ["idiot", "an", "id", "iot", "idxiot", "aabbaabb", "x", "lunch"]
+    for mark in ("idiot", "abab", "lunch"):
+        table = np.zeros(toxicity.CLASSES**3)
+        for c, v in toxicity.phi(mark).items():
+            table[c] = v
+        kind, word, at, _ = toxicity.letters(" ".join(words))
+        got, first = toxicity.in_pieces(kind, word, at, table.__getitem__)
+        assert len(first) == len(words)
+        for k, x in zip(got, words + [a + b for a, b in zip(words, words[1:])]):
+            want = sum(v * slow(mark).get(u, 0) for u, v in slow(x).items())
+            assert abs(k - (want / squares(len(x)) ** 0.5 if len(x) > 2 else 0)) < 1e-4, (x, mark)
+
+
+def test_letters_and_parts():
+    kind, word, at, _ = toxicity.letters("I d.i o-t 12!\nÉ ab")
+    assert "".join(chr(96 + k) for k in kind) == "idioteab"
+    assert word.tolist() == [0, 1, 1, 2, 2, 3, 4, 4] or word.tolist()[-3:] == [word[-3], word[-2], word[-2]]
+    assert at.tolist() == [0] * 5 + [at[5]] * 3 and at[5] > 0
+    long = " ".join(f"w{i}" for i in range(30_000))
+    cut = [s for _, s in toxicity.parts([long])]
+    assert len(cut) > 2 and all(len(s) <= toxicity.BLOCK for s in cut)
+    assert all(b.split(" ")[0] in a.split(" ")[-20:] for a, b in zip(cut, cut[1:])) and set(" ".join(cut).split()) == set(long.split())
+
+
+@pytest.fixture(scope="module")
+def held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    df, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    return df, labels
 
-    a, b = ["idiot", "idxiot", "abcd", "aabbaabb"], ["idiot", "abab", "lunch"]
-    k = toxicity.kernel(a, b)
-    assert all(abs(k[i, j] - slow(x, y)) < 1e-4 for i, x in enumerate(a) for j, y in enumerate(b))
 
+def test_quality_held_out(spark, held_out_rows):
+    df, labels = held_out_rows
+    rows = quality.quality(df, labels).join(labels, "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(x.doc_id).encode()) % 4 == 2 for x in rows)
+    for y in (0, 1):  # both kinds, so that a constant answer fails
+        mine = [x for x in rows if x.quality == y]
+        assert sum(x.predicted == y for x in mine) / len(mine) >= 0.9
 
-def test_classifiers_hold_out(spark):
-    d = "/root/testdata/sf0.01"
-    df, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    for got, column, mod, rest, least in ((quality.quality(df, labels), "quality", 4, 2, 0.9), (toxicity.toxicity(df, labels), "toxic", 5, 0, 0.85)):
-        rows = got.join(labels, "doc_id").filter("held_out").collect()
-        assert all(zlib.crc32(str(x.doc_id).encode()) % mod == rest for x in rows)
-        assert sum(x.predicted == x[column] for x in rows) / len(rows) >= least
-        assert got.count() == df.count()
+
+def test_toxicity_held_out(spark, held_out_rows):
+    df, labels = held_out_rows
+    got = toxicity.toxicity(df, labels).join(labels, "doc_id").join(df.select("doc_id", "text"), "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(x.doc_id).encode()) % 5 == 0 for x in got)
+    bad, fine = [x for x in got if x.toxic == 1], [x for x in got if x.toxic == 0]
+    assert sum(x.predicted for x in bad) / len(bad) >= 0.6 and sum(x.predicted for x in fine) / len(fine) <= 0.02
+    insulting = [x for x in bad if re.search("idiot|moron|stupid|trash", x.text.lower())]
+    assert len(insulting) > 30 and all(x.predicted for x in insulting)
+
+
+def test_classifiers_of_odd_rows(spark, held_out_rows):
+    labels = spark.createDataFrame([(0, 1, 1), (3, 0, 0), (3, 0, 0), (9, 1, None)], "doc_id long, quality int, toxic int")
     odd = docs(spark, ["", None, "x" * 50_000, "a b c"])
-    assert quality.quality(odd, labels.limit(0)).count() == toxicity.toxicity(odd, labels.limit(0)).count() == 4
-    assert {x.predicted for x in toxicity.toxicity(odd, labels).filter(F.col("doc_id") < 2).collect()} == {0}
+    odd = odd.union(odd.filter("doc_id = 3")).union(spark.createDataFrame([(None, "of no id", *[None] * 6)], SCHEMA))
+    for f in (quality.quality, toxicity.toxicity):
+        for few in (labels, labels.limit(0)):
+            rows = f(odd, few).collect()
+            assert len(rows) == 6 and len({x.score for x in rows if x.doc_id == 3}) == 1 and [x.held_out for x in rows if x.doc_id is None] == [False]
+        assert f(odd.limit(0), labels).count() == 0
 
 
-def test_inserted_letters_are_toxic():
+def test_split_and_marked_insults_are_toxic():
     bad = ["you idiot here", "what a stupid loser", "moron and idiot", "stupid moron", "idiot loser"] * 6
     fine = ["the quick brown fox went home", "some plain words about weather today", "reading about editions and patios"] * 12
     m = toxicity.Model().fit(bad + fine, [1] * len(bad) + [0] * len(fine))
-    low = max(m.scores(fine))
-    for t in ("a i.d.i.o.t spoke", "such an idxiot", "st*upid thing", "i d i o t"):
+    low = max(m.scores([*fine, "", "12 34", "a"]))
+    for t in ("a i.d.i.o.t spoke", "such an idxiot", "st*upid thing", "i d i o t", "an id iot", "an idi ot", "an i-d iot", "st upid"):
         assert m.scores([t])[0] > low, t
+    long = "plain words " * 40_000
+    assert m.scores([long + "st upid " + long])[0] > max(low, m.scores([long])[0])
+    assert m.scores(["fine text", "an idiot"]) == [m.scores(["fine text"])[0], m.scores(["an idiot"])[0]]
 
 
 def test_pipeline_stages(spark):
