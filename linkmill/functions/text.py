@@ -38,16 +38,18 @@ def _romanised(s: pd.Series) -> pd.Series:
             return base
         return "".join(x for x in unicodedata.name(c, "").rsplit(" ", 1)[-1].lower() if x.isascii() and x.isalnum())
 
-    return s.map(lambda t: "".join(map(one, unicodedata.normalize("NFKC", t))))
+    return s.map(lambda t: "".join(map(one, unicodedata.normalize("NFKC", t))), na_action="ignore")
 
 
 def latin(c: Column) -> Column:
-    """Lower-case Latin spelling; only rows with letters beyond extended Latin leave the JVM."""
+    """Lower-case Latin spelling; only texts with letters beyond extended Latin are sent to Python."""
     low = F.lower(c)
     for a, b in SPELLED.items():
         low = F.replace(low, F.lit(a), F.lit(b))
     easy = F.translate(F.regexp_replace(low, r"[\p{P}\p{S}&&[^\x00-\x7F]]", " "), ACCENTED.lower(), PLAIN.lower())
-    return F.when(easy.rlike(r"[^\x00-\x7F]"), F.lower(F.pandas_udf(_romanised, "string")(easy))).otherwise(easy)
+    # A Python function sees every row whatever stands around it, so the others are sent as NULL.
+    far = F.when(easy.rlike(r"[^\x00-\x7F]"), easy)
+    return F.coalesce(F.lower(F.pandas_udf(_romanised, "string")(far)), easy)
 
 
 def clean_tokens(c: Column) -> Column:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,24 +15,34 @@ def value(spark, f, *args):
     return df.select(f(*[F.col(f"c{i}") for i in range(len(args))]).alias("v")).first().v
 
 
-@pytest.mark.parametrize("raw, want", [("Café  Crème S.A.R.L.", "cafe creme s a r l"), ("<NULL>", ""), ("", ""), ("A&B Traders", "a and b traders"), ("ＡＢＣ　Ltd", "abc ltd"), ("N°18 R. Bobby Sands", "n 18 r bobby sands"), ("L’Atelier ¢", "l atelier")])
-def test_norm_name(spark, raw, want):
-    assert value(spark, text.norm_name, raw) == want
+NAMES = {"Boulangerie  Dupré S.R.L.": "boulangerie dupre s r l", "<EMPTY> Kiosk": "kiosk", "": "", "   ": "", "Rope&Sail Co": "rope and sail co", "ＮＯＲＤ　７": "nord 7", "Straße №3 – Øre": "strasse 3 ore", "Œuvre “Łódź”": "oeuvre lodz"}
+
+
+@pytest.mark.parametrize("raw", NAMES)
+def test_norm_name(spark, raw):
+    assert value(spark, text.norm_name, raw) == NAMES[raw]
 
 
 def test_norm_addr_and_romanisation(spark):
-    assert value(spark, text.norm_addr, "12 Main St, null, N/A, <CITY_NAME>, 560001") == "12 main st 560001"
-    assert value(spark, text.norm_addr, "null") == ""
-    got = value(spark, text.norm_name, "शर्मा ट्रेडर्स")
+    assert value(spark, text.norm_addr, "Unit 4, N/A, 77 Quay Lane, nil, <ZIP>, 90210") == "unit 4 77 quay lane 90210"
+    assert value(spark, text.norm_addr, " NONE ") == ""
+    got = value(spark, text.norm_name, "Кафе Мир")
     assert got and got.isascii()
-    assert value(spark, text.has_non_latin, "शर्मा") and not value(spark, text.has_non_latin, "é")
+    assert value(spark, text.has_non_latin, "Мир") and not value(spark, text.has_non_latin, "ñandú")
+
+
+def test_only_far_letters_are_sent_to_python(spark):
+    rows = spark.createDataFrame([("plain",), ("Кафе",), (None,), ("élan",)], "c string")
+    assert [r.v for r in rows.select(text.latin(F.col("c")).alias("v")).collect()][0::2] == ["plain", None]
+    plan = rows.select(text.latin(F.col("c")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan[plan.index("ArrowEvalPython") :].split("\n")[0] or "CASE WHEN" in plan
 
 
 def test_kernels():
     assert kernels.ratio("", "") == 100 and kernels.partial_ratio("", "a") == 0 and kernels.token_set("", "") == 0
-    assert kernels.token_set("a b", "b a c") == 100 and kernels.token_sort("b a", "a b") == 100
-    assert kernels.partial_ratio("abc", "xxabcxx") == 100
-    assert round(kernels.jaro_winkler("alpha", "alpah"), 4) == 0.9533
+    assert kernels.token_set("quay mill", "mill quay old") == 100 and kernels.token_sort("mill quay", "quay mill") == 100
+    assert kernels.partial_ratio("mill", "windmills") == 100
+    assert round(kernels.jaro_winkler("martha", "marhta"), 4) == 0.9611
     r = random.Random(1)
     for _ in range(200):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 7))) for _ in "ab")
@@ -41,32 +53,109 @@ def test_kernels():
         assert kernels.lcs(a, b) == t[-1][-1]
 
 
-def test_number_features():
-    f = lambda r, s: pairfeatures.number_features(r.split(), s.split())
-    a = f("6 560001", "6 560001")
-    assert a["hn_eqz"] == 1 and a["dz_rex"] == 1
-    assert f("1234", "123")["hn_rel"] == 1
-    b = f("125", "123")
-    assert b["hn_rel"] == 2 and b["dz_nearonly"] == 1
-    assert f("", "12") == {}
+TOKS = "array<struct<p:int,tok:string,idf:double,known:boolean,q:double,last:double,first:double>>"
+POOL = ["harbour", "harbor", "hbr", "works", "work", "of", "12", "120", "0", "314", "3140", "x", "mill", "mills", "ml", "the"]
+
+
+def toks(r, words):
+    return [(i, w, r.choice([0.0, 0.5, 1.25, 3.0]), r.random() < 0.5, r.choice([-1.0, 0.25, 0.75]), r.choice([0.0, 0.5]), r.choice([0.0, 1.0])) for i, w in enumerate(words)]
+
+
+def pairs_of_tokens(spark):
+    r = random.Random(21)
+    rows = [([], [], 0), ([], toks(r, ["x"]), 1), (toks(r, ["x"]), [], 2), ([(0, "zero", 0.0, False, -1.0, 0.0, 0.0)], toks(r, ["mill"]), 3)]
+    rows += [(toks(r, r.choices(POOL, k=r.randrange(6))), toks(r, r.choices(POOL, k=r.randrange(6))), i) for i in range(4, 160)]
+    return rows, spark.createDataFrame(rows, f"r {TOKS}, s {TOKS}, i int").repartition(4)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def like(a, b, least):
+    return min(len(a), len(b)) >= least and 4 * distance(a, b) <= max(len(a), len(b))
+
+
+def short_for(a, b):
+    return re.fullmatch("[a-z]{2,}", a) is not None and len(a) < len(b) and re.match(a[0] + "".join(f".*{c}" for c in a[1:]), b) is not None
+
+
+def slow_cover(left, right, short):
+    names = [t[1] for t in right]
+    grade = [1 if t[1] in names else 0.8 if any(like(t[1], u, 4) or short and (short_for(t[1], u) or short_for(u, t[1])) for u in names) else 0 for t in left]
+    mass, missed = sum(t[2] for t in left), [t[2] for t, g in zip(left, grade) if not g]
+    share = lambda f: sum(t[2] * g for t, g in zip(left, grade) if f(g)) / mass if mass else None
+    return share(lambda g: True), share(lambda g: g == 1), max(missed, default=0.0), len(missed)
+
+
+def near(got, want):
+    return got is want is None or got is not None and want is not None and abs(got - want) < 1e-9
+
+
+def test_coverage_against_brute_force(spark):
+    rows, df = pairs_of_tokens(spark)
+    for short in (False, True):
+        cols = pairfeatures.covers(pairfeatures.graded(F.col("r"), F.col("s"), short), list("abcd"))
+        for x in df.select("i", *[c.alias(k) for k, c in cols.items()]).collect():
+            want = slow_cover(rows[x.i][0], rows[x.i][1], short)
+            assert all(map(near, (x.a, x.b, x.c, x.d), want)), (rows[x.i], want, x)
+    # Without any idf the shares are unknown, but the uncovered token counts.
+    got = df.filter("i = 3").select(*[c.alias(k) for k, c in pairfeatures.covers(pairfeatures.graded(F.col("r"), F.col("s")), list("abcd")).items()]).first()
+    assert tuple(got) == (None, None, 0.0, 1.0)
 
 
-def toks(*names):
-    return [{"tok": t, "known": t != "new", "q": -1.0 if t == "new" else 0.5, "last": 0.0, "first": 0.25} for t in names]
+def relation(a, b):
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return 0 if a == b else 2 if len(a) == len(b) else 1 if long.startswith(short) or long.endswith(short) else 3
 
 
-def test_edit_operations():
-    assert pairfeatures.edit_operations(toks("a"), []) == {}
-    e = pairfeatures.edit_operations(toks("acme", "trading", "new"), toks("acme", "tradin"))
-    assert (e["o_nins"], e["o_ndel"], e["o_ins_at_end"], e["o_ins_novel"], e["o_ins_qmax"]) == (1, 0, 1, 1, -1)
-    assert "o_del_qmax" not in e
-    assert pairfeatures.edit_operations(toks("b", "a"), toks("a", "b"))["o_order_swap"] == 1
+def test_numbers_against_brute_force(spark):
+    rows, df = pairs_of_tokens(spark)
+    only = lambda c: F.filter(F.col(c), lambda t: t["tok"].rlike("^[0-9]+$"))
+    cols = pairfeatures.number_columns(F.transform(only("r"), lambda t: t["tok"]), F.transform(only("s"), lambda t: t["tok"])) | pairfeatures.rare_columns(only("r"), only("s"))
+    for x in df.select("i", *[c.alias(k) for k, c in cols.items()]).collect():
+        r, s = ([t for t in side if t[1].isdigit()] for side in rows[x.i][:2])
+        if not r or not s:
+            assert all(v is None for k, v in x.asDict().items() if k != "i")
+            continue
+        a, b = [t[1] for t in r], [t[1] for t in s]
+        best = [min(relation(p, q) for q in b) for p in a]
+        gaps = [abs(int(p) - int(q)) for p in a for q in b if len(p) == len(q) and p != q]
+        top = max(s, key=lambda t: (t[2], -t[0]))[1]
+        off = [abs(int(p) - int(top)) for p in a if len(p) == len(top)]
+        gap = abs(int(a[0]) - int(b[0]))
+        want = {"dz_rex": best.count(0) / len(a), "dz_rnear": best.count(2) / len(a), "dz_sex": sum(q in a for q in b) / len(b), "hn_rel": relation(a[0], b[0]), "hn_logdiff": math.log1p(gap), "hn_reldiff": gap / max(int(a[0]), int(b[0]), 1),
+                "dz_minnear_log": math.log1p(min(gaps)) if gaps else None, "dz_nearonly": float(2 in best and 0 not in best), "nz_idfcov_r": sum(t[2] for t in r if t[1] in b) / max(1e-9, sum(t[2] for t in r)),
+                "nz_rare_rel": min(relation(p, top) for p in a), "nz_rare_logdiff": math.log1p(min(off)) if off else None}
+        assert all(near(x[k], v) for k, v in want.items()), (a, b, want, x)
 
 
-def test_rare_numbers():
-    f = pairfeatures.rare_numbers([("12", 1.0), ("7", 3.0)], [("12", 1.0), ("13", 2.0)])
-    assert (f["nz_idfcov_r"], f["nz_rare_rel"]) == (0.25, 2)
-    assert pairfeatures.rare_numbers([], [("1", 1.0)]) == {}
+def test_edit_operations_against_brute_force(spark):
+    rows, df = pairs_of_tokens(spark)
+    cols = pairfeatures.edit_columns(F.col("r"), F.col("s"), F.col("got"))
+    met = df.withColumn("got", pairfeatures.aligned_tokens(F.col("r"), F.col("s")))
+    for x in met.select("i", *[c.alias(k) for k, c in cols.items()]).collect():
+        r, s, _ = rows[x.i]
+        if not r or not s:
+            assert x.o_nins is None and x.o_del_qmax is None
+            continue
+        stands: dict[int, int] = {}
+        for same in (lambda a, b: a == b, lambda a, b: like(a, b, 3), lambda a, b: short_for(a, b) or short_for(b, a)):
+            for i, a in enumerate(r):
+                open_ = [j for j, b in enumerate(s) if j not in stands.values() and same(a[1], b[1])]
+                if i not in stands and open_:
+                    stands[i] = open_[0]
+        ins, gone = [i for i in range(len(r)) if i not in stands], [j for j in range(len(s)) if j not in stands.values()]
+        path = [stands[i] for i in sorted(stands)]
+        want = {"o_nins": len(ins), "o_ndel": len(gone), "o_ins_at_end": float(len(r) - 1 in ins), "o_del_s1last": float(len(s) - 1 in gone), "o_ins_frac": len(ins) / len(r), "o_order_swap": sum(a > b for a, b in zip(path, path[1:])),
+                "o_ins_novel": sum(not r[i][3] for i in ins), "o_ins_qmax": max((r[i][4] for i in ins), default=None), "o_del_qmin": min((s[j][4] for j in gone), default=None), "o_del_firstmax": max((s[j][6] for j in gone), default=None)}
+        assert all(near(x[k], v) for k, v in want.items()), (r, s, want, x)
 
 
 def test_gap_against_brute_force(spark):
@@ -95,30 +184,30 @@ def test_decisions(spark):
 
 
 def test_empty_record_and_lone_master(spark):
-    s = spark.createDataFrame([(1, "us", "acme traders", "12 main st"), (2, "us", "bolt works", "9 oak rd"), (3, "tiny", "solo", "1 way")], "id long, country string, name string, addr string")
-    r = spark.createDataFrame([(10, "us", "", ""), (11, "us", "acme trader", "12 main"), (12, "tiny", "solo co", ""), (13, "nowhere", "x", "y")], s.schema)
+    s = spark.createDataFrame([(1, "no", "fjord ferries", "4 pier"), (2, "no", "kelp farm", "88 bay road"), (3, "is", "geyser", "6 vik")], "id long, country string, name string, addr string")
+    r = spark.createDataFrame([(10, "no", "", ""), (11, "no", "fjord ferry", "4 pier"), (12, "is", "geyser ltd", ""), (13, "fo", "q", "z")], s.schema)
     got = {(x.ri, x.si): x for x in blocking.block(s, r).collect()}
     assert {(10, 1), (10, 2), (11, 1), (12, 3)} <= set(got) and not any(k[0] == 13 for k in got)
     assert got[11, 1].rank_both == 0
 
 
 def test_token_votes(spark):
-    rows = [(i, "Sharma Traders", "शर्मा Traders") for i in range(3)] + [(9, "Acme", "Acme")]
+    rows = [(i, "Mir Bakery", "Мир Bakery") for i in range(3)] + [(9, "Kelp", "Kelp")]
     df = spark.createDataFrame(rows, "entity long, s1_name string, rec_name string")
-    assert [(r.tok, r.latin) for r in tokenstats.token_votes(df).collect()] == [("शर्मा", "sharma")]
+    assert [(r.tok, r.latin) for r in tokenstats.token_votes(df).collect()] == [("Мир", "mir")]
     assert tokenstats.token_votes(df.withColumn("entity", F.lit(1))).count() == 0
 
 
 def test_sources(spark, tmp_path):
     head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
-    (tmp_path / "a.tsv").write_text(head + 'a1\t"Joe ""The Man"" Pizza"\t<NULL>\tUS\na2\tNA\tNone\tIndia\na3\t""\t""\tFrance\n')
+    (tmp_path / "a.tsv").write_text(head + 'k1\t"Old ""Tom"" Gin"\t<EMPTY>\tNorway\nk2\tnil\tNA\tIceland\nk3\t""\t""\tPeru\n')
     got = {r.entity_id: r for r in tables.read_source(spark, str(tmp_path / "a.tsv")).collect()}
-    assert got["a1"].business_name == 'Joe "The Man" Pizza' and got["a2"].business_name == "NA" and got["a3"].business_name == ""
-    (tmp_path / "b.tsv").write_text(head + "x\ta\tb\tUS\n" * 2)
+    assert got["k1"].business_name == 'Old "Tom" Gin' and got["k2"].business_name == "nil" and got["k3"].business_name == ""
+    (tmp_path / "b.tsv").write_text(head + "k9\tp\tq\tPeru\n" * 2)
     with pytest.raises(ValueError):
         tables.read_source(spark, str(tmp_path / "b.tsv"))
-    (tmp_path / "g.tsv").write_text('source1_entity_id\tmatched_entity_ids\ns1\tr1, r2\ns2\t\n')
-    assert {r.s1: r.ids for r in tables.read_ground_truth(spark, str(tmp_path / "g.tsv")).collect()} == {"s1": ["r1", "r2"], "s2": []}
+    (tmp_path / "g.tsv").write_text('source1_entity_id\tmatched_entity_ids\nm7\tv4, v5\nm8\t\n')
+    assert {r.s1: r.ids for r in tables.read_ground_truth(spark, str(tmp_path / "g.tsv")).collect()} == {"m7": ["v4", "v5"], "m8": []}
 
 
 def test_step_refuses_stale(spark, tmp_path):
