@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkmill.functions.text import word_grams
+from linkmill.sources.tables import written
 
-#: The gram that every "name | address" text has; it joins all pairs and is scored apart.
-CONSTANT = " | "
+#: Rarest grams by which a record gets its first bound, and the slack of bounds, more than what rounding to six digits moves.
+SEEDS, SLACK = 4, 2e-6
+BLOCKER_COLUMNS = ("name", "addr")
 BLOCKERS = {"both": lambda: F.concat("name", F.lit(" | "), "addr"), "name": lambda: F.col("name")}
 
 
@@ -32,23 +34,53 @@ def weights(entities: DataFrame, vocab: DataFrame, blocker: str) -> DataFrame:
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("country", "id")))).select("country", "id", "gram", "w")
 
 
-def scored_pairs(s1: DataFrame, recs: DataFrame, blocker: str, k: int = 10, min_df: int = 2) -> DataFrame:
-    """country, ri, si, cos of all pairs that can be in a record's top k.
+def vectors(w: DataFrame, key: str, name: str) -> DataFrame:
+    """country, `key`, `name`: each entity's weights as a map, in the order of grams."""
+    return w.groupBy("country", F.col("id").alias(key)).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("gram", "w")))).alias(name))
 
-    Postings are joined on (country, gram); the constant gram never is. Its product is added
-    per pair, and each record also meets the k masters of its country in which that gram weighs
-    most (with room for ties), which makes the top k whole.
+
+def exact(pairs: DataFrame, q: DataFrame, s: DataFrame) -> DataFrame:
+    """The pairs (country, ri, si) with cos, their product over all grams; 0 where they share none."""
+    met = pairs.join(vectors(q, "ri", "__q"), ["country", "ri"], "left").join(vectors(s, "si", "__s"), ["country", "si"], "left")
+    terms = F.transform(F.map_entries("__q"), lambda e: e["value"] * F.coalesce(F.try_element_at("__s", e["key"]), F.lit(0.0)))
+    return met.withColumn("cos", F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))).drop("__q", "__s")
+
+
+def bounds(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
+    """q with low and skip: a cosine that k masters reach (0 if not known), and whether the gram may be skipped.
+
+    A record first meets the k heaviest masters of each of its SEEDS rarest grams; the k-th best of
+    these is a bound that the true top k reaches. From the most frequent gram on, grams are skipped
+    as long as all skipped ones together cannot give that bound, by the masters' largest
+    weights or by the record's own length: a master that shares nothing else is out.
     """
-    vocab = vocabulary(s1, blocker, min_df)
-    apart = lambda d: d.withColumn("c", F.coalesce(F.max(F.when(F.col("gram") == CONSTANT, F.col("w"))).over(Window.partitionBy("country", "id")), F.lit(0.0)))
-    q, s = apart(weights(recs, vocab, blocker)), apart(weights(s1, vocab, blocker))
-    dots = q.filter(F.col("gram") != CONSTANT).alias("q").join(s.filter(F.col("gram") != CONSTANT).alias("s"), ["country", "gram"]).groupBy("country", F.col("q.id").alias("ri"), F.col("s.id").alias("si")).agg(
-        F.sum(F.col("q.w") * F.col("s.w")).alias("dot"), F.max("q.c").alias("cq"), F.max("s.c").alias("cs"))
-    if blocker == "both":
-        best = s.filter(F.col("gram") == CONSTANT).withColumn("o", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("c"), "id"))).filter(F.col("o") <= 3 * k)
-        extra = q.filter(F.col("gram") == CONSTANT).alias("q").join(F.broadcast(best.alias("s")), "country").select("country", F.col("q.id").alias("ri"), F.col("s.id").alias("si"), F.lit(0.0).alias("dot"), F.col("q.c").alias("cq"), F.col("s.c").alias("cs"))
-        dots = dots.unionByName(extra).groupBy("country", "ri", "si").agg(F.max("dot").alias("dot"), F.max("cq").alias("cq"), F.max("cs").alias("cs"))
-    return dots.select("country", "ri", "si", F.round(F.col("dot") + F.col("cq") * F.col("cs"), 6).alias("cos")).filter("cos > 0")
+    heavy = Window.partitionBy("country", "gram").orderBy(F.desc("w"), "id")
+    best = s.withColumn("o", F.row_number().over(heavy)).filter(F.col("o") <= k).select("country", "gram", F.col("id").alias("si"), F.col("w").alias("sw"))
+    grams = s.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
+    rare = Window.partitionBy("country", "id").orderBy("df", "gram")
+    own = q.join(grams, ["country", "gram"])
+    first = own.withColumn("o", F.row_number().over(rare)).filter(F.col("o") <= SEEDS).select("country", F.col("id").alias("ri"), "gram", "w").join(best, ["country", "gram"])
+    seen = first.groupBy("country", "ri", "si").agg(F.sum(F.col("w") * F.col("sw")).alias("part"))
+    few = seen.withColumn("o", F.row_number().over(Window.partitionBy("country", "ri").orderBy(F.desc("part"), "si"))).filter(F.col("o") <= k).select("country", "ri", "si")
+    low = exact(few, q, s).groupBy("country", F.col("ri").alias("id")).agg(F.min("cos").alias("low"), F.count(F.lit(1)).alias("n")).select("country", "id", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("low"))
+    often = Window.partitionBy("country", "id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    most = F.least(F.sum(F.col("w") * F.col("top")).over(often), F.sqrt(F.sum(F.col("w") * F.col("w")).over(often)))
+    return own.join(low, ["country", "id"], "left").withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("most", most).withColumn("skip", F.col("most") < F.col("low") - SLACK).select(
+        "country", "id", "gram", "w", "low", "skip", F.coalesce(F.max(F.when(F.col("skip"), F.col("most"))).over(Window.partitionBy("country", "id")), F.lit(0.0)).alias("rest"))
+
+
+def candidates(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
+    """country, ri, si of all pairs that can be in a record's top k, and few others.
+
+    Only a record's grams that are not skipped meet the masters' postings, and a row is made only if
+    the pair's other weights could still lift it to the record's bound.
+    """
+    probe = written(bounds(q, s, k), "block-bounds").filter("not skip").select("country", F.col("id").alias("ri"), "gram", F.col("w").alias("qw"), "low", "rest")
+    reach = F.col("qw") * F.col("sw") + F.sqrt((1 - F.col("qw") * F.col("qw")) * F.greatest(1 - F.col("sw") * F.col("sw"), F.lit(0.0)))
+    post = s.select(F.col("country").alias("c"), F.col("gram").alias("g"), F.col("id").alias("si"), F.col("w").alias("sw"))
+    met = probe.join(post, (F.col("country") == F.col("c")) & (F.col("gram") == F.col("g")) & (reach >= F.col("low") - SLACK))
+    part = met.groupBy("country", "ri", "si").agg(F.sum(F.col("qw") * F.col("sw")).alias("part"), F.first("low").alias("low"), F.first("rest").alias("rest"))
+    return part.filter(F.col("part") + F.col("rest") >= F.col("low") - SLACK).select("country", "ri", "si")
 
 
 def top_k(pairs: DataFrame, k: int = 10) -> DataFrame:
@@ -56,43 +88,71 @@ def top_k(pairs: DataFrame, k: int = 10) -> DataFrame:
     return pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < k)
 
 
+def gram_weights(s1: DataFrame, recs: DataFrame, blocker: str, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The weights of records and of masters, written once: every later step reads them."""
+    vocab = vocabulary(s1, blocker, min_df)
+    side = lambda d, q: d.select("country", "id", *BLOCKER_COLUMNS, F.lit(q).alias("q"))
+    both = weights(side(recs, True), vocab, blocker).withColumn("q", F.lit(True)).unionByName(weights(side(s1, False), vocab, blocker).withColumn("q", F.lit(False)))
+    both = written(both, f"block-{blocker}")
+    return both.filter("q").drop("q"), both.filter("not q").drop("q")
+
+
+def top_pairs(s1: DataFrame, recs: DataFrame, blocker: str, k: int = 10, min_df: int = 2) -> DataFrame:
+    """country, ri, si, cos, rank: the exact top k of each record; ties by si."""
+    return _top(*gram_weights(s1, recs, blocker, min_df), k)
+
+
+def _top(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
+    return top_k(rounded(exact(candidates(q, s, k), q, s)).filter("cos > 0"), k)
+
+
+def rounded(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("cos", F.round("cos", 6))
+
+
 def block(s1: DataFrame, recs: DataFrame, k: int = 10, min_df: int = 2) -> DataFrame:
     """country, ri, si, cos_both, cos_name, rank_both, rank_name: the union of both blockers' top k.
 
-    The cosines are exact for every pair, also where only one blocker found it.
+    The cosines are exact for every pair, also where only one blocker found it. The pairs are
+    written once.
     """
-    both, name = scored_pairs(s1, recs, "both", k, min_df), scored_pairs(s1, recs, "name", k, min_df)
-    ids = ["country", "ri", "si"]
-    found = top_k(both, k).select(*ids, F.col("rank").alias("rank_both")).join(top_k(name, k).select(*ids, F.col("rank").alias("rank_name")), ids, "full_outer")
-    out = found.join(name.select(*ids, F.col("cos").alias("cos_name")), ids, "left").join(both.select(*ids, F.col("cos").alias("cos_both")), ids, "left")
-    return out.select(*ids, F.coalesce("cos_both", F.lit(0.0)).alias("cos_both"), F.coalesce("cos_name", F.lit(0.0)).alias("cos_name"),
-                      F.coalesce("rank_both", F.lit(k)).cast("long").alias("rank_both"), F.coalesce("rank_name", F.lit(k)).cast("long").alias("rank_name"))
+    ids, tables = ["country", "ri", "si"], {b: gram_weights(s1, recs, b, min_df) for b in BLOCKERS}
+    found = {b: written(_top(*t, k), f"block-top-{b}") for b, t in tables.items()}
+    out = found["both"].select(*ids, F.col("cos").alias("cos_both"), F.col("rank").alias("rank_both")).join(found["name"].select(*ids, F.col("cos").alias("cos_name"), F.col("rank").alias("rank_name")), ids, "full_outer")
+    for b in BLOCKERS:  # the other blocker's cosine of pairs that one alone found
+        lone = rounded(exact(out.filter(F.col(f"cos_{b}").isNull()).select(*ids), *tables[b])).withColumnRenamed("cos", "__cos")
+        out = out.join(lone, ids, "left").withColumn(f"cos_{b}", F.coalesce(f"cos_{b}", "__cos", F.lit(0.0))).drop("__cos")
+    return written(out.select(*ids, "cos_both", "cos_name", F.coalesce("rank_both", F.lit(k)).cast("long").alias("rank_both"), F.coalesce("rank_name", F.lit(k)).cast("long").alias("rank_name")), "block-pairs")
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
-    """qi, vi, rank, cos: exact cosine top k of a stated query set (bounded) against all vectors.
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 512) -> DataFrame:
+    """qi, vi, rank, cos: exact cosine top k of a stated query set against all vectors; zero vectors have cosine 0.
 
-    Each block of vectors keeps its own k best for each query (Arrow batches, one matrix product);
-    the partial results are merged by a window.
+    The queries are dealt into blocks of about block_rows, each of which meets all vectors in blocks:
+    a task holds one block of queries and one batch of vectors and keeps its own k best, and the
+    partial results are merged by a window.
     """
     import numpy as np
     import pandas as pd
 
-    held = queries.toPandas()
-    q = np.array(held["embedding"].tolist(), np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    ids = held["id"].to_numpy()
+    n = max(1, -(-queries.count() // block_rows))
+    deal = lambda d, key, of: d.select(F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(key), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    held = deal(queries, "b", n).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("qs"))
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = deal(vectors, "p", 4 * parts).groupBy("p", F.pmod(F.xxhash64("v"), F.lit(64)).alias("o")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
+    met = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(held, "b")
 
-    def part(batches):
+    def unit(rows):
+        m = np.array([r["v"] for r in rows], np.float64)
+        return np.array([r["id"] for r in rows]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def best(batches):
         for b in batches:
-            v = np.array(b["embedding"].tolist(), np.float64)
-            if not len(v):
-                continue
-            c = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
-            vi = b["id"].to_numpy()
-            for i in range(len(ids)):
-                keep = np.lexsort((vi, -c[i]))[: k + 1]
-                yield pd.DataFrame({"qi": ids[i], "vi": vi[keep], "cos": c[i][keep]})
-
-    got = vectors.mapInPandas(part, "qi long, vi long, cos double").filter("qi <> vi")
+            for vs, qs in zip(b["vs"], b["qs"]):
+                (vi, v), (qi, q) = unit(vs), unit(qs)
+                c = np.round(q @ v.T, 6)
+                o = np.lexsort((np.broadcast_to(vi, c.shape), -c), axis=1)[:, : k + 1]
+                yield pd.DataFrame({"qi": np.repeat(qi, o.shape[1]), "vi": vi[o].ravel(), "cos": np.take_along_axis(c, o, 1).ravel()})
+
+    got = met.select("vs", "qs").mapInPandas(best, "qi long, vi long, cos double").filter("qi <> vi")
     return got.withColumn("rank", (F.row_number().over(Window.partitionBy("qi").orderBy(F.desc("cos"), "vi")) - 1).cast("long")).filter(F.col("rank") < k)

@@ -188,12 +188,12 @@ def token_map_votes(spark, d):
 
 @query(f"WITH {ENT}, {NAME} SELECT ri, si, cos, rank FROM n_top")
 def block_name_top10(spark, d):
-    return blocking.top_k(blocking.scored_pairs(*entities(spark, d), "name")).select("ri", "si", "cos", "rank")
+    return blocking.top_pairs(*entities(spark, d), "name").select("ri", "si", "cos", "rank")
 
 
 @query(f"WITH {ENT}, {BOTH} SELECT ri, si, cos, rank FROM b_top")
 def block_both_top10(spark, d):
-    return blocking.top_k(blocking.scored_pairs(*entities(spark, d), "both")).select("ri", "si", "cos", "rank")
+    return blocking.top_pairs(*entities(spark, d), "both").select("ri", "si", "cos", "rank")
 
 
 @query(f"WITH {CANDS} SELECT * FROM cands")
@@ -208,7 +208,9 @@ def block_stats(spark, d):
     return a.crossJoin(c.join(t, ["ri", "si"]).agg(F.count(F.lit(1)).alias("hits"))).crossJoin(t.agg(F.count(F.lit(1)).alias("positives")))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT id, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS l FROM v),
+c AS (SELECT q.id AS qi, v.id AS vi, round(list_dot_product(q.e, v.e) / (q.l * v.l), 6) AS cos FROM n q JOIN n v ON q.id % 50 = 0 AND q.id <> v.id)
+SELECT qi, vi, cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, vi) - 1 AS rank FROM c) WHERE rank < 10""")
 def dense_knn(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return blocking.dense_top_k(v, v.filter("id % 50 = 0"), 10)

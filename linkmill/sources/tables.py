@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +88,16 @@ def step(spark: SparkSession, path: str, make, mark: str) -> DataFrame:
     out.write(bytearray(json.dumps({"fingerprint": mark}).encode()))
     out.close()
     return spark.read.parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the folder of spark.checkpoint.dir and read back; only a local master may go without one and get a temporary folder."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        folder = "file://" + tempfile.mkdtemp(prefix="linkmill-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
