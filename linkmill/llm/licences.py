@@ -33,18 +33,19 @@ COVER, NEAR = 0.6, 3
 
 
 def templates(spark) -> DataFrame:
-    """h, tid, label, base, grams, tpos: one row for each k-gram of each phrase (fixed size)."""
+    """h, words, tid, label, base, grams, tpos: one row for each k-gram of each phrase (fixed size; a mask holds 63 k-grams)."""
     rows = [(i, label, base, t.split()) for i, (label, base, t) in enumerate((label, base, t) for base, group in ((True, BASE), (False, NOTICES)) for label, ts in group.items() for t in ts)]
     rows = [(i, label, base, len(w) - K + 1, p, *w[p : p + K]) for i, label, base, w in rows for p in range(len(w) - K + 1)]
+    assert all(r[3] < 64 for r in rows)
     df = spark.createDataFrame(rows, "tid int, label string, base boolean, grams int, tpos int, w0 string, w1 string, w2 string")
-    return df.select(F.xxhash64("w0", "w1", "w2").alias("h"), "tid", "label", "base", "grams", "tpos")
+    return df.select(F.xxhash64("w0", "w1", "w2").alias("h"), F.concat_ws(" ", "w0", "w1", "w2").alias("words"), "tid", "label", "base", "grams", "tpos")
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each document.
 
     All rolling word k-gram hashes meet the templates' positions in a broadcast join (a table of
-    fixed size); hits vote for a diagonal, word position less template position. A diagonal's
+    fixed size); a hit's words are verified and it votes for a diagonal, word position less template position. A diagonal's
     votes are a bit mask of template positions: a base phrase stands where its mask is full.
     Neighbouring diagonals of a notice merge into one span (words put in or left out), which
     counts if it holds COVER of the notice's k-grams. score is the best span's share.
@@ -57,8 +58,9 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
     w = docs.select("doc_id", F.xxhash64("text").alias("xx"), words.alias("w"))
     # The first entry carries the number of words, so that texts are read once.
-    grams = w.select("doc_id", "xx", F.posexplode(F.expr(f"concat(array(cast(size(w) as long)), if(size(w) < {K}, array(), transform(sequence(0, size(w) - {K}), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))))")).alias("at", "h"))
-    hits = grams.join(F.broadcast(t), (grams.h == t.h) & (grams["at"] > 0), "left").filter("at = 0 or tid is not null").select(
+    grams = w.select("doc_id", "xx", F.posexplode(F.expr(f"concat(array(struct(cast(size(w) as long) as h, '' as words)), if(size(w) < {K}, array(), transform(sequence(0, size(w) - {K}), i -> struct(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) as h, concat_ws(' ', get(w, i), get(w, i + 1), get(w, i + 2)) as words))))")).alias("at", "g")).select("doc_id", "xx", "at", "g.h", "g.words")
+    # A vote is verified by the words themselves, so that a span is.
+    hits = grams.join(F.broadcast(t), (grams.h == t.h) & (grams["at"] > 0) & (grams.words == t.words), "left").filter("at = 0 or tid is not null").select(
         "doc_id", "xx", F.coalesce("tid", F.lit(-1)).alias("tid"), F.coalesce(F.col("at") - 1 - F.col("tpos"), F.lit(0)).alias("diagonal"),
         F.when(F.col("at") == 0, grams.h).otherwise(F.expr("shiftleft(1L, tpos)")).alias("mask"), "label", "base", "grams")
     votes = hits.groupBy("doc_id", "xx", "tid", "diagonal").agg(F.bit_or("mask").alias("mask"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"))
