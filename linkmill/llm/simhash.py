@@ -62,8 +62,9 @@ def links(fps: DataFrame) -> DataFrame:
     turned = fps.select("fp", F.explode(F.expr(f"sequence(0, {SEGMENTS - 1})")).alias("i")).withColumn(
         "r", F.when(F.col("i") == 0, F.col("fp")).otherwise(F.expr(f"shiftrightunsigned(fp, i * {BITS}) | shiftleft(fp, 64 - i * {BITS})")))
     cells = turned.select("fp", "i", F.expr(f"r & {(1 << key_bits) - 1}L").alias("k"), F.expr(f"shiftrightunsigned(r, {key_bits})").alias("rest"))
+    cells = materialise(cells, "simhash-turned")
     counts = cells.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialise(cells.join(counts, ["i", "k"]), "simhash-cells")
+    met = materialise(salted_lookup(cells, counts, ["i", "k"], "fp").filter("n > 1"), "simhash-cells")
     small = met.filter(f"n <= {PAIRS_UP_TO}")
     budgets = " and ".join(f"bit_count((x.rest ^ y.rest) & {(1 << (n * BITS - key_bits)) - 1}L) <= {n * DIFFER // SEGMENTS}" for n in range(WHOLE + 1, SEGMENTS + 1))
     pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.i = y.i and x.k = y.k and x.fp < y.fp and {budgets}")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
@@ -99,7 +100,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links of DIFFER bits or fewer. Copies are
     gathered into one fingerprint first. Null or empty text has fingerprint zero and links like
-    any other; short texts are one shingle; repeated rows are returned as often as they come;
+    any other; short texts are one shingle, very long ones are read whole; repeated rows are returned
+    as often as they come; an empty table gives an empty result;
     a null doc_id never names a component while another is there. Other columns are not read.
     """
     rows = materialise(fingerprints(docs), "simhash")
