@@ -11,6 +11,8 @@ from .common import WORD, materialise
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 #: Buckets of the sampling key in each source; only the bucket at the budget's end is sorted.
 BUCKETS = 4096
+#: Smallest weight of a document.
+LEAST = 0.25
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -32,9 +34,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def quality_weight(text):
-    """Weight 0.25 to 1: the share of a text's characters that are ASCII letters, from its whole text."""
-    letters = F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]", ""))
-    return F.lit(0.25) + F.lit(0.75) * letters / F.greatest(F.length(text), F.lit(1))
+    """Weight LEAST to 1: the share of a whole text's characters that are letters, of any script."""
+    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
+    return F.lit(LEAST) + F.lit(1 - LEAST) * letters / F.greatest(F.length(text), F.lit(1))
+
+
+def sampling_key(text):
+    """-ln(u) / weight; u is a hash of doc_id and the text."""
+    unit = (F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return -F.log(unit) / quality_weight(text)
 
 
 def mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -49,11 +57,11 @@ def mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     (repeated rows) are taken in any order with equal sums. Empty table: empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    unit = (F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     rows = docs.select(
         "doc_id", F.col("source").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (-F.log(unit) / quality_weight(text)).alias("__key"),
-    ).withColumn("__b", F.floor((1 - F.exp(-F.col("__key"))) * buckets).cast("int"))
+        sampling_key(text).alias("__key"),
+    # At rate LEAST no bucket holds more than 1 / LEAST times its share of a source, whatever the weights.
+    ).withColumn("__b", F.floor((1 - F.exp(-F.col("__key") * LEAST)) * buckets).cast("int"))
     rows = materialise(rows, "mix")  # texts are read once
     sums = rows.groupBy("source", "__b").agg(F.sum("size").alias("__sum"))
     goal = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")))
