@@ -21,8 +21,22 @@ from .common import resident
 
 #: White space of Unicode's property, as the pattern's \s means it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Most chunks that a worker remembers; beyond it the memory is emptied, never the result.
-REMEMBER = 900_000
+#: Most chunks that a worker remembers; beyond it the memory is emptied, never the result. Chunks of over LONG characters are not remembered.
+REMEMBER, LONG = 900_000, 48
+#: Most texts, and characters of several texts, that are worked on at a time.
+TEXTS, CHARACTERS = 512, 1 << 22
+
+
+def blocks(texts: list[str]):
+    """Runs of neighbouring texts; a text of over CHARACTERS is a block by itself."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= TEXTS or size + len(t) > CHARACTERS):
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield texts[start:]
 
 
 class Known(dict):
@@ -173,11 +187,19 @@ class Encoder:
         for c, s in zip(new, split):
             self.done[c] = b"".join([self.pieces[p] for p in s])
 
+    def forget(self, new: set[str]) -> None:
+        """Drops what was learnt of long chunks: a run without blanks may be a whole text."""
+        if long := [c for c in new if len(c) > LONG]:
+            for c in long:
+                del self.done[c]
+            for p in [p for p in self.pieces if len(p) > LONG]:
+                del self.pieces[p]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out = []
-        for i in range(0, len(texts), 512):
-            parts = [chunks(t) for t in texts[i : i + 512]]
+        for block in blocks(texts):
+            parts = [chunks(t) for t in block]
             new = {c for p in parts for c in p if c not in self.done}
             if len(self.done) + len(new) > self.remember and new:
                 new = {c for p in parts for c in p}
@@ -186,6 +208,7 @@ class Encoder:
             self.learn(list(new))
             get = self.done.__getitem__
             out += [b"".join(map(get, p)) for p in parts]
+            self.forget(new)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -224,7 +247,11 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
 
 
 def encoding_digests(docs: DataFrame, vocab: str, pattern: str, remember: int = REMEMBER) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of encode_documents, taken in the same task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of encode_documents, taken in the same task.
+
+    Null or empty text: no ids, the digests of nothing. Very long texts are encoded whole. Repeated rows are
+    encoded alike; a null doc_id stays null. Empty table: empty result. Other columns are not read.
+    """
     def run(batches):
         sha = lambda x: hashlib.sha256(x).hexdigest()
         with worker(Encoder, vocab, pattern, remember) as enc:
@@ -235,24 +262,29 @@ def encoding_digests(docs: DataFrame, vocab: str, pattern: str, remember: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-class Counter:
+def not_whole(vocab: str) -> tuple[bytes, ...]:
+    """The proof: the vocabulary strings whose own merges do not end in one token. Every other one encodes alone as itself."""
+    pair, single, names, _ = json_rules(vocab)
+    words = list(names.values())
+    return tuple(w for w, ids in zip(words, Replay(pair, single).run(words)) if len(ids) != 1)
+
+
+class Counter(Encoder):
     """Counts tokens by a tokenizers file with the whole-token shortcut."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, split: tuple[bytes, ...]):
         pair, single, names, special = json_rules(path)
         self.replay, self.find = Replay(pair, single), regex.compile(pattern).findall
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        # The proof: vocabulary strings whose own merges end in one token.
-        words = list(names.values())
-        self.whole = {w for w, ids in zip(words, self.replay.run(words)) if len(ids) == 1}
+        self.whole = set(names.values()) - set(split)
         self.done: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
         out = []
-        for i in range(0, len(texts), 512):
+        for block in blocks(texts):
             marks, parts = [], []
-            for t in texts[i : i + 512]:
+            for t in block:
                 pieces = self.special.split(t) if self.special else [t]
                 marks.append(len(pieces) - 1)
                 parts.append([c for p in pieces if p for c in chunks(p)])
@@ -269,17 +301,23 @@ class Counter:
                 self.done[c] = sum([self.pieces.get(p, 1) for p in s])
             get = self.done.__getitem__
             out += [m + sum(map(get, p)) for m, p in zip(marks, parts)]
+            self.forget(new)
         return out
 
 
 def count_tokens(docs: DataFrame, vocab: str, pattern: str, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit. Null text is empty and has no token; no shuffle.
+    """doc_id, n_bytes, n_tokens, over_limit. No shuffle.
 
     A piece that is proved to encode alone as one token counts one; only the rest is merged.
     Special strings inside a text count as one token each, as the library's default has it.
+    Null or empty text has no token; very long texts are counted whole and long runs without blanks
+    are not remembered. Repeated rows are counted alike; a null doc_id stays null. Empty table: empty
+    result. Other columns, of whatever name, are not read.
     """
+    split = not_whole(vocab)  # proved once, on the driver; few strings, shipped with the tasks
+
     def run(batches):
-        with worker(Counter, vocab, pattern) as counter:
+        with worker(Counter, vocab, pattern, split) as counter:
             for b in batches:
                 n = counter.count(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
