@@ -131,10 +131,14 @@ def is_held_out(mod: int, rest: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, keep, limit: int) -> list:
-    """At most `limit` labelled rows outside the held-out fold, in the order of a hash of doc_id."""
+    """At most `limit` labelled rows outside the held-out fold, in the order of a hash of doc_id.
+
+    Of rows that share a doc_id, and of its labels, the smallest text and label count, so that reruns agree.
+    """
     learn = labels.filter(F.col(column).isNotNull()).filter(keep).select("doc_id", F.col(column).cast("int").alias("y"), F.xxhash64("doc_id").alias("o"))
-    chosen = learn.orderBy("o", "doc_id").limit(limit)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("o", "doc_id").select("text", "y").collect()
+    chosen = learn.groupBy("doc_id", "o").agg(F.min("y").alias("y")).orderBy("o", "doc_id").limit(limit)
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "o", "y").agg(F.min("text").alias("text")).orderBy("o", "doc_id").select("text", "y").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Machine:
@@ -159,7 +163,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 
     The model has a fixed size (SLOTS words and the statistics' steps) and is fit on at most
     MAX_ROWS labelled rows. Without labels every score is 0.5. Null text is scored as the empty
-    text; repeated rows get one score each; an empty table gives an empty result.
+    text; very long texts are read whole; repeated rows get one score each; a null doc_id is not
+    held out; an empty table gives an empty result. Other columns are not read.
     """
     return score_documents(docs, fit(docs, labels)).select("doc_id", F.coalesce(is_held_out(4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
