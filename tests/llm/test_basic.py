@@ -117,6 +117,57 @@ def test_mix(spark):
         assert all(r.source_size == sizes[s] for r in got if r.source == s)
 
 
+def test_mix_takes_documents_in_the_order_of_their_keys(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(["word"] * (i % 23)) + " 1" * (i % 5), None, "ab"[i % 7 == 0], None, "x", "y") for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keys = {r.doc_id: r.k for r in df.select("doc_id", mixing.sampling_key(F.col("text")).alias("k")).collect()}
+    for buckets in (1, 3, 4096):  # however the keys are dealt into buckets
+        got = {r.doc_id: r for r in mixing.mix(df, buckets).collect()}
+        for source in "ab":
+            mine = sorted((i for i in got if got[i].source == source), key=keys.get)
+            whole = sum(got[i].size for i in mine)
+            target = round(got[mine[0]].target)
+            epochs, left = target // whole, target % whole
+            for i in mine:
+                part = min(left, got[i].size)
+                left -= part
+                assert got[i].taken == epochs * got[i].size + part, i
+
+
+def test_keys_favour_letters_and_fill_no_bucket(spark):
+    from pyspark.sql import functions as F
+
+    digits = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("12 34").alias("text"))
+    share = digits.select(F.floor((1 - F.exp(-mixing.sampling_key(F.col("text")) * mixing.LEAST)) * 64).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] / 20_000
+    assert share < 1.5 / 64
+    letters = digits.withColumn("text", F.lit("ab cd"))
+    mean = lambda d: d.agg(F.avg(mixing.sampling_key(F.col("text")))).first()[0]
+    assert mean(letters) < mean(digits) / 3
+
+
+def test_proof_is_shipped_and_long_runs_are_forgotten():
+    split = bpe.not_whole(P.path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert len(split) < 2000
+    counter = bpe.Counter(P.path("byte_bpe_50k.json"), P.PATTERN, split)
+    texts = ["x" * 5000, "日本語" * 900 + " tail", "a short one", "y" * 47 + " " + "z" * 200]
+    assert counter.count(texts) == [len(lib.encode(t).ids) for t in texts]
+    assert all(len(c) <= bpe.LONG for c in [*counter.done, *counter.pieces])
+    enc = bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    enc.encode(texts)
+    assert all(len(c) <= bpe.LONG for c in [*enc.done, *enc.pieces])
+    assert [len(b) for b in bpe.blocks(["a"] * 1025)] == [512, 512, 1] and [len(b) for b in bpe.blocks(["a" * bpe.CHARACTERS, "b", "c"])] == [1, 2]
+
+
+@pytest.mark.parametrize("f", [lambda d: bpe.encoding_digests(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), lambda d: bpe.count_tokens(d, P.path("byte_bpe_50k.json"), P.PATTERN), lambda d: mixing.mix(d)])
+def test_repeated_rows_and_null_ids(spark, f):
+    rows = [(1, "some text", None, "s", None, "x", "y")] * 2 + [(None, "other text", None, None, None, "x", "y"), (None, None, None, None, None, None, None)]
+    got = f(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None", "None"] and f(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_empty(spark):
     e = docs(spark, [])
     assert mixing.mix(e).count() == exact_dedup.exact_dedup(e).count() == 0

@@ -39,6 +39,52 @@ def test_licence_scan_against_brute_force(spark):
     assert licences.licence_scan(docs(spark, [])).count() == 0
 
 
+def slow_labels(text):
+    """labels and score by the definition: votes of equal word triples, diagonals merged where they are close."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, score = set(), 0.0
+    for base, group in ((True, licences.BASE), (False, licences.NOTICES)):
+        for label, phrases in group.items():
+            for p in (x.split() for x in phrases):
+                grams, votes = len(p) - 2, {}
+                for i in range(len(w) - 2):
+                    for j in range(grams):
+                        if w[i : i + 3] == p[j : j + 3]:
+                            votes.setdefault(i - j, set()).add(j)
+                spans, last = [], None
+                for d in sorted(votes):
+                    if base or last is None or d - last > licences.NEAR:
+                        spans.append(set())
+                    spans[-1] |= votes[d]
+                    last = d
+                best = max((len(s) / grams for s in spans), default=0.0)
+                score = max(score, best)
+                if best >= (1 if base else licences.COVER):
+                    labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_score_against_brute_force(spark):
+    r = random.Random(17)
+    phrases = [p for g in (licences.BASE, licences.NOTICES) for ps in g.values() for p in ps]
+    texts = [None, "", "all rights"]
+    for _ in range(150):
+        out = []
+        for _ in range(r.randrange(1, 4)):
+            w = r.choice(phrases).split()
+            for _ in range(r.randrange(4)):  # words put in, left out or changed
+                i = r.randrange(len(w))
+                w = r.choice([w[:i] + ["extra"] + w[i:], w[:i] + w[i + 1 :] or w, w[:i] + ["other"] + w[i + 1 :]])
+            out += r.choices(["the", "license", "x"], k=r.randrange(5)) + w
+        texts.append(r.choice([" ", ", ", "\n"]).join(out).title())
+    got = {x.doc_id: x for x in licences.licence_scan(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        labels, score = slow_labels(t)
+        assert got[i].labels == labels and abs(got[i].score - score) < 1e-12, t
+    twice = docs(spark, ["all rights reserved"]).union(docs(spark, ["all rights reserved"]))
+    assert licences.licence_scan(twice).count() == 1
+
+
 def slow_fingerprint(text):
     w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     if not w:
@@ -79,6 +125,9 @@ def test_near_dedup_against_brute_force(spark):
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps]
     assert [got[i].component_id for i in range(len(texts))] == want
     assert simhash.near_dedup(docs(spark, [])).count() == 0
+    odd = docs(spark, ["a b c d"]).union(docs(spark, ["a b c d"])).union(spark.createDataFrame([(None, "a b c d", *[None] * 6), (None, "quite another one", *[None] * 6)], SCHEMA))
+    rows = simhash.near_dedup(odd).collect()
+    assert len(rows) == 4 and sorted(str(x.component_id) for x in rows) == ["0", "0", "0", "None"]
 
 
 def test_links_of_crowded_buckets(spark):
