@@ -11,7 +11,7 @@ from .common import Scratch, salted_lookup
 RUN, FEW, PASSAGE, GRAM = 2, 3, 50, 10
 #: Low bits of a value that hold its place; the upper bits of its hash lead it, so that places break ties.
 _LOW = (1 << 31) - 1
-_BLANKS = "\\t\\n\\u000B\\f\\r "
+_BLANKS = "\\t\\n\\u000B\\u000C\\r "
 
 
 def bound(value: str, name: str, body: str) -> str:

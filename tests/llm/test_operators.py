@@ -190,7 +190,8 @@ def test_line_dedup_against_brute_force(spark):
     r = random.Random(11)
     known = [words(n, r) for n in (50, 51, 70, 130)]
     texts = ["", None, "\n\n", "a", "a", "a " * 240, " \n" + known[0], words(20, r) + "\t" + known[0].replace(" ", "\n ", 3) + "\n \nend. \n", known[1][: known[1].rindex(" ")],
-             "x y z\r\nq\r\n", "x y z\nq", "  x y\tz  \n\n  b c\n", "only this line\r\n", "only  this line"]
+             "x y z\r\nq\r\n", "x y z\nq", "  x y\tz  \n\n  b c\n", "only this line\r\n", "only  this line",
+             "first of all\nfluff and puff", "fluff and puff\nfoot of\x0cstuff", "foot of stuff\nfff", "\x0b first of all\x0c\n ffs", f"off {known[2]} of fluff"]
     for _ in range(80):
         parts = [p for _ in range(r.randrange(1, 5)) for p in (words(r.randrange(30), r), r.choice(known))]
         texts.append(r.choice([" ", "\n", "  \n"]).join(parts)[r.randrange(40) :])
