@@ -121,6 +121,40 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.filter("country is null").agg(F.max_by(F.struct("t", "f05"), F.struct("f05", -F.col("t"))).alias("b")).select("b.*")
 
 
+def hybrid_sweep(s1: DataFrame, pairs: DataFrame, truth: DataFrame, p_mins, gates) -> DataFrame:
+    """p_min, gate, f05 over all masters of each hybrid rule; the pairs are ranked once for each p_min, the gates in one pass."""
+    best, gs = best_per_record(pairs), F.array(*[F.lit(float(g)) for g in gates])
+    kept = None
+    for p_min in p_mins:  # a short fixed list of parameters
+        a = assign_expected_f(pairs, best, p_min, use_empty=False).select("ri", "si", F.lit(float(p_min)).alias("p_min"), F.max("p").over(Window.partitionBy("si")).alias("lead"))
+        kept = a if kept is None else kept.unionByName(a)
+    hits = kept.join(truth.select("ri", "si", F.lit(1).alias("hit")), ["ri", "si"], "left")
+    got = hits.select("si", "p_min", "hit", F.explode(F.filter(gs, lambda g: F.col("lead") >= g)).alias("gate")).groupBy("si", "p_min", "gate").agg(F.count(F.lit(1)).alias("n_pred"), F.count("hit").alias("tp"))
+    own = s1.select(F.col("id").alias("si")).join(truth.groupBy("si").agg(F.count(F.lit(1)).alias("n_true")), "si", "left")
+    cells = own.withColumn("p_min", F.explode(F.array(*[F.lit(float(p)) for p in p_mins]))).withColumn("gate", F.explode(gs))
+    conf = cells.join(got, ["si", "p_min", "gate"], "left").na.fill(0, ["n_pred", "n_true", "tp"])
+    return conf.groupBy("p_min", "gate").agg(F.round(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))), 6).alias("f05"))
+
+
+def best_hybrid(sweep: DataFrame) -> DataFrame:
+    """p_min, gate, f05 of the largest F0.5; the smallest parameters among equals. One row."""
+    return sweep.agg(F.max_by(F.struct("p_min", "gate", "f05"), F.struct("f05", -F.col("p_min"), -F.col("gate"))).alias("b")).select("b.*")
+
+
+def best_rule(thresholds: DataFrame, hybrids: DataFrame) -> dict:
+    """The rule, as apply_decision takes it, of the largest F0.5 of both sweeps; a threshold wins a tie. Two rows reach the driver."""
+    t, h = best_threshold(thresholds).first(), best_hybrid(hybrids).first()
+    if h.f05 is not None and (t.f05 is None or h.f05 > t.f05):
+        return {"rule": "hybrid", "p_min": h.p_min, "gate": h.gate}
+    return {"rule": "threshold", "t": t.t}
+
+
+def weighted_f05(conf: DataFrame, weights: DataFrame) -> DataFrame:
+    """f05: the countries' means weighed anew. weights: country, w. One row."""
+    own = conf.groupBy("country").agg(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))).alias("f"))
+    return own.join(weights, "country").agg(F.round(F.sum(F.col("w") * F.col("f")) / F.sum("w"), 6).alias("f05"))
+
+
 def country_report(s1: DataFrame, assigned: DataFrame) -> DataFrame:
     """country, masters, matches, per_master, empty (share of masters without a match)."""
     n = assigned.groupBy("si").agg(F.count(F.lit(1)).alias("k"))

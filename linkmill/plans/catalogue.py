@@ -50,12 +50,6 @@ def scores(spark, sf_dir) -> DataFrame:
     return with_p(candidates(spark, sf_dir))
 
 
-def simple_scores(spark, sf_dir) -> DataFrame:
-    """ri, si, p of part keys: a closed form of integers, for the decision queries."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ri"), (F.col("l_partkey") % 997).alias("si")).distinct()
-    return li.select("ri", "si", F.round(((F.col("ri") * 7919 + F.col("si") * 104729) % 100003) / 100003.0, 6).alias("p"))
-
-
 NORM = "trim(regexp_replace(replace(strip_accents(replace(lower(regexp_replace({x}, '<[A-Za-z_]+>', ' ', 'g')), 'ß', 'ss')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 ADDR = NORM.format(x="array_to_string(list_filter(string_split(p_brand || ', ' || p_size, ','), lambda p: lower(trim(p)) NOT IN ('null', 'none', 'n/a', 'na', 'nil', '-')), ',')")
 ENT = f"ent AS (SELECT p_partkey AS id, p_type AS country, p_brand IN ('Brand#1', 'Brand#2') AS m, {NORM.format(x='p_name')} AS name, {ADDR} AS addr FROM part)"
@@ -80,7 +74,6 @@ cands AS (SELECT country, ri, si, coalesce(bp.cos, 0) AS cos_both, coalesce(np.c
   FROM (SELECT country, ri, si, rank AS rank_both FROM b_top) FULL JOIN (SELECT country, ri, si, rank AS rank_name FROM n_top) USING (country, ri, si)
   LEFT JOIN b_pairs bp USING (country, ri, si) LEFT JOIN n_pairs np USING (country, ri, si))"""
 SCORES = f"{CANDS}, pr AS (SELECT ri, si, round(1 / (1 + exp(-(6 * cos_both + 4 * cos_name - 5))), 6) AS p FROM cands)"
-SIMPLE = "pr AS (SELECT ri, si, round(((ri * 7919 + si * 104729) % 100003) / 100003.0::DOUBLE, 6) AS p FROM (SELECT DISTINCT l_orderkey AS ri, l_partkey % 997 AS si FROM lineitem))"
 BEST = "best AS (SELECT ri, si, p, p2 FROM (SELECT ri, si, p, coalesce(lead(p) OVER w, 0) AS p2, row_number() OVER w AS o FROM pr WINDOW w AS (PARTITION BY ri ORDER BY p DESC, si)) WHERE o = 1)"
 EXPECT = """mass AS (SELECT si, sum(p) AS n_hat, exp(sum(ln(1 - least(p, 1 - 1e-7)))) AS p0 FROM pr GROUP BY si),
 e1 AS (SELECT best.*, n_hat, p0, row_number() OVER w AS m, sum(p) OVER w AS cs FROM best JOIN mass USING (si) WHERE p >= {p_min} WINDOW w AS (PARTITION BY si ORDER BY p DESC, ri ROWS UNBOUNDED PRECEDING)),
@@ -293,24 +286,24 @@ def seen_partition(spark, d):
 
 # --- decisions
 
-@query(f"WITH {SIMPLE}, {BEST} SELECT * FROM best")
+@query(f"WITH {SCORES}, {BEST} SELECT * FROM best")
 def best_per_record(spark, d):
-    return decide.best_per_record(simple_scores(spark, d))
+    return decide.best_per_record(scores(spark, d))
 
 
-@query(f"WITH {SIMPLE}, {BEST} SELECT * FROM best WHERE p >= 0.8")
+@query(f"WITH {SCORES}, {BEST} SELECT * FROM best WHERE p >= 0.8")
 def assign_threshold(spark, d):
-    return decide.apply_decision(simple_scores(spark, d), {"rule": "threshold", "t": 0.8})
+    return decide.apply_decision(scores(spark, d), {"rule": "threshold", "t": 0.8})
 
 
-@query(f"WITH {SIMPLE}, {BEST}, {EXPECT.format(p_min=0.02)} SELECT ri, si, p, p2 FROM e4 WHERE m <= star AND p0 < top")
+@query(f"WITH {SCORES}, {BEST}, {EXPECT.format(p_min=0.02)} SELECT ri, si, p, p2 FROM e4 WHERE m <= star AND p0 < top")
 def expected_f05(spark, d):
-    return decide.apply_decision(simple_scores(spark, d), {"rule": "expected"})
+    return decide.apply_decision(scores(spark, d), {"rule": "expected"})
 
 
-@query(f"WITH {SIMPLE}, {BEST}, {EXPECT.format(p_min=0.3)}, a AS (SELECT ri, si, p, p2, max(p) OVER (PARTITION BY si) AS t FROM e4 WHERE m <= star) SELECT ri, si, p, p2 FROM a WHERE t >= 0.75")
+@query(f"WITH {SCORES}, {BEST}, {EXPECT.format(p_min=0.3)}, a AS (SELECT ri, si, p, p2, max(p) OVER (PARTITION BY si) AS t FROM e4 WHERE m <= star) SELECT ri, si, p, p2 FROM a WHERE t >= 0.75")
 def hybrid_gate(spark, d):
-    return decide.apply_decision(simple_scores(spark, d), {"rule": "hybrid", "p_min": 0.3, "gate": 0.75})
+    return decide.apply_decision(scores(spark, d), {"rule": "hybrid", "p_min": 0.3, "gate": 0.75})
 
 
 @query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(0.6 * ln(a / (1 - a)) + 0.4 * ln(b / (1 - b))))), 6) AS p FROM (SELECT l_orderkey, l_linenumber, least(greatest(l_discount, 1e-6), 1 - 1e-6) AS a, least(greatest(l_tax, 1e-6), 1 - 1e-6) AS b FROM lineitem)")
@@ -356,9 +349,9 @@ def macro_f05(spark, d):
     return decide.macro_f05(_confusion(spark, d))
 
 
-@query(f"WITH {SIMPLE}, {BEST} SELECT t / 100 AS t, count(*) AS assigned, count(DISTINCT si) AS masters FROM best, (SELECT unnest(range(30, 100, 5)) AS t) WHERE p >= t / 100 GROUP BY t")
+@query(f"WITH {SCORES}, {BEST} SELECT t / 100 AS t, count(*) AS assigned, count(DISTINCT si) AS masters FROM best, (SELECT unnest(range(30, 100, 5)) AS t) WHERE p >= t / 100 GROUP BY t")
 def rule_grid(spark, d):
-    best = decide.best_per_record(simple_scores(spark, d))
+    best = decide.best_per_record(scores(spark, d))
     grid = F.explode(F.filter(F.transform(F.sequence(F.lit(30), F.lit(95), F.lit(5)), lambda t: t / 100), lambda t: F.col("p") >= t))
     return best.select("si", grid.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("assigned"), F.countDistinct("si").alias("masters"))
 
@@ -391,22 +384,66 @@ def country_report(spark, d):
     return decide.country_report(s, decide.assign_threshold(decide.best_per_record(with_p(blocking.block(s, r))), 0.8))
 
 
-@query(f"WITH {SIMPLE} SELECT si, round(sum(p), 6) AS n_hat, round(sum(ln(1 - least(p, 1 - 1e-7))), 4) AS log_p0 FROM pr GROUP BY si")
+@query(f"WITH {SCORES} SELECT si, round(sum(p), 6) AS n_hat, round(sum(ln(1 - least(p, 1 - 1e-7))), 4) AS log_p0 FROM pr GROUP BY si")
 def expected_mass(spark, d):
-    return decide.mass(simple_scores(spark, d)).select("si", F.round("n_hat", 6).alias("n_hat"), F.round(F.log("p0"), 4).alias("log_p0"))
+    return decide.mass(scores(spark, d)).select("si", F.round("n_hat", 6).alias("n_hat"), F.round(F.log("p0"), 4).alias("log_p0"))
 
 
-@query(f"WITH {SIMPLE}, lo AS (SELECT ri, si, round(p * p, 6) AS p_other FROM pr WHERE p < 0.5) SELECT ri, si, p, coalesce(p_other, 1) AS p_other FROM pr LEFT JOIN lo USING (ri, si) WHERE p >= 0.1 OR coalesce(p_other, 1) >= 0.1")
+@query(f"WITH {SCORES}, lo AS (SELECT ri, si, round(p * p, 6) AS p_other FROM pr WHERE p < 0.5) SELECT ri, si, p, coalesce(p_other, 1) AS p_other FROM pr LEFT JOIN lo USING (ri, si) WHERE p >= 0.1 OR coalesce(p_other, 1) >= 0.1")
 def hard_pairs(spark, d):
-    p = simple_scores(spark, d)
+    p = scores(spark, d)
     return decide.hard_pairs(p, p.filter("p < 0.5").select("ri", "si", F.round(F.col("p") * F.col("p"), 6).alias("p")), 0.1)
 
 
-@query(f"WITH {SIMPLE}, {BEST}, b AS (SELECT * FROM best WHERE p >= 0.5) SELECT ri, si, p FROM b UNION ALL SELECT ri + 10000000, si, p FROM b WHERE (ri * 2654435761) % 4294967296 % 1000000 < 900000")
+@query(f"WITH {SCORES}, {BEST}, {TRUTH}, b AS (SELECT ri, si, p FROM best WHERE p >= 0.5) SELECT ri, si, p FROM b UNION ALL SELECT ri + 10000000, si, p FROM b WHERE ri NOT IN (SELECT ri FROM truth) AND (ri * 2654435761) % 4294967296 % 1000000 < 900000")
 def clone_density(spark, d):
-    b = decide.best_per_record(simple_scores(spark, d)).filter("p >= 0.5").select("ri", "si", "p")
-    more = b.filter(F.pmod(F.col("ri") * F.lit(2654435761), F.lit(1 << 32)) % 1000000 < 900000)
-    return b.unionByName(more.select((F.col("ri") + 10000000).alias("ri"), "si", "p"))
+    return views.clones(decide.best_per_record(scores(spark, d)), truth(spark, d).select("ri"), 0.9, 10_000_000)
+
+
+P_MINS, GATES = (0.02, 0.3), (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+F_OF = "CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END"
+HYBRIDS = f"""{SCORES}, {BEST}, {TRUTH}, mass AS (SELECT si, sum(p) AS n_hat FROM pr GROUP BY si),
+e1 AS (SELECT best.*, x.p_min, n_hat, row_number() OVER w AS m, sum(p) OVER w AS cs FROM best JOIN mass USING (si), (SELECT unnest([0.02::DOUBLE, 0.3::DOUBLE]) AS p_min) x WHERE p >= x.p_min WINDOW w AS (PARTITION BY x.p_min, si ORDER BY p DESC, ri ROWS UNBOUNDED PRECEDING)),
+e2 AS (SELECT *, 1.25 * cs / (m + 0.25 * greatest(n_hat, cs)) AS ef FROM e1), e3 AS (SELECT *, max(ef) OVER (PARTITION BY p_min, si) AS top FROM e2),
+e4 AS (SELECT *, min(m) FILTER (WHERE ef >= top - 1e-12) OVER (PARTITION BY p_min, si) AS star FROM e3),
+kept AS (SELECT e4.ri, e4.si, p_min, max(p) OVER (PARTITION BY p_min, e4.si) AS lead, t.si IS NOT NULL AS hit FROM e4 LEFT JOIN truth t ON t.ri = e4.ri AND t.si = e4.si WHERE m <= star),
+counts AS (SELECT p_min, gate, si, count(*) AS n_pred, count(*) FILTER (WHERE hit) AS tp FROM kept, (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in GATES)}]) AS gate) WHERE lead >= gate GROUP BY 1, 2, 3),
+grid AS (SELECT p_min, gate FROM (SELECT unnest([0.02::DOUBLE, 0.3::DOUBLE]) AS p_min), (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in GATES)}]) AS gate)),
+cells AS (SELECT g.p_min, g.gate, e.id AS si, (SELECT count(*) FROM truth x WHERE x.si = e.id) AS n_true, coalesce(c.n_pred, 0) AS n_pred, coalesce(c.tp, 0) AS tp FROM ent e CROSS JOIN grid g LEFT JOIN counts c ON c.si = e.id AND c.p_min = g.p_min AND c.gate = g.gate WHERE e.m),
+hybrids AS (SELECT p_min, gate, round(avg({F_OF}), 6) AS f05 FROM cells GROUP BY 1, 2)"""
+
+
+def _hybrids(spark, d):
+    s, r = entities(spark, d)
+    return decide.hybrid_sweep(s, with_p(blocking.block(s, r)), truth(spark, d), P_MINS, GATES)
+
+
+@query(f"WITH {HYBRIDS} SELECT * FROM hybrids")
+def hybrid_grid(spark, d):
+    return _hybrids(spark, d)
+
+
+@query(f"WITH {HYBRIDS} SELECT p_min, gate, f05 FROM hybrids ORDER BY f05 DESC, p_min, gate LIMIT 1")
+def best_hybrid(spark, d):
+    return decide.best_hybrid(_hybrids(spark, d))
+
+
+@query(f"""WITH {CONF}, c AS (SELECT country, avg({F_OF}) AS f05 FROM conf GROUP BY 1), n AS (SELECT country, count(*)::DOUBLE AS w FROM ent WHERE NOT m GROUP BY 1)
+SELECT round(sum(w * f05) / sum(w), 6) AS f05 FROM c JOIN n USING (country)""")
+def weighted_f05(spark, d):
+    n = entities(spark, d)[1].groupBy("country").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return decide.weighted_f05(_confusion(spark, d), n)
+
+
+LOGITS = f"{CANDS}, z AS (SELECT ri, si, round(8 * cos_name - 3, 6) AS z FROM cands WHERE cos_name > 0.2), zf AS (SELECT c.ri, c.si, z, coalesce(z, -20) AS zz FROM cands c LEFT JOIN z ON c.ri = z.ri AND c.si = z.si)"
+
+
+@query(f"""WITH {LOGITS} SELECT ri, si, round(1 / (1 + exp(-z)), 6) AS ce_p, round(z - CASE WHEN row_number() OVER w = 1 THEN nth_value(zz, 2) OVER u ELSE first_value(zz) OVER u END, 6) AS ce_gap, row_number() OVER w - 1 AS ce_rank FROM zf
+WINDOW w AS (PARTITION BY ri ORDER BY zz DESC, si), u AS (PARTITION BY ri ORDER BY zz DESC, si ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def logit_features(spark, d):
+    c = candidates(spark, d)
+    z = c.filter("cos_name > 0.2").select("ri", "si", F.round(8 * F.col("cos_name") - 3, 6).alias("z"))
+    return windows.logit_features(c.select("ri", "si"), z).select("ri", "si", F.round("ce_p", 6).alias("ce_p"), F.round("ce_gap", 6).alias("ce_gap"), "ce_rank")
 
 
 # --- learning
@@ -448,8 +485,16 @@ def loco_split(spark, d):
     return views.leave_one_out(p).groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("train"), 1)).alias("train"))
 
 
-@query(f"WITH {SIMPLE}, {BEST}, u AS (SELECT * FROM best WHERE ri % 4 IN (0, 1)) SELECT ri, si, p FROM u WHERE p >= 0.75 UNION ALL SELECT ri, si, p FROM best WHERE ri % 4 IN (2, 3) AND p >= CASE WHEN si % 2 = 0 THEN 0.65 ELSE 0.95 END")
+ROUTED = "CASE WHEN list_has_any(list_transform(regexp_extract_all(r.addr, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')), list_transform(regexp_extract_all(s.addr, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) THEN 0.65 ELSE 0.95 END"
+
+
+@query(f"""WITH {SCORES}, {BEST}, seen AS (SELECT DISTINCT country FROM ent WHERE m AND id % 2 = 0) SELECT ri, si, p FROM best JOIN ent r ON r.id = ri JOIN ent s ON s.id = si
+WHERE p >= CASE WHEN r.country IN (SELECT country FROM seen) THEN 0.75 ELSE {ROUTED} END""")
 def seen_unseen_route(spark, d):
-    p = simple_scores(spark, d).withColumn("country", F.col("ri") % 4)
-    seen = spark.range(2).select(F.col("id").alias("country"))
-    return views.route(p, p, seen, 0.75, F.when(F.col("si") % 2 == 0, 0.65).otherwise(0.95))
+    """Countries are seen if a master of an even key is in them; others go by house numbers, which every address here has."""
+    s, r = entities(spark, d)
+    pairs = blocking.block(s, r)
+    p = pairs.select("country", "ri", "si").join(with_p(pairs), ["ri", "si"])
+    p = p.join(r.select(F.col("id").alias("ri"), F.col("name").alias("rn"), F.col("addr").alias("ra")), "ri").join(s.select(F.col("id").alias("si"), F.col("name").alias("sn"), F.col("addr").alias("sa")), "si")
+    gate = decide.house_number_gate(text.digits(F.col("ra")), text.digits(F.col("sa")), F.col("rn"), F.col("sn"), 0.95, 0.65, 0.95)
+    return views.route(p.select("country", "ri", "si", "p"), p, s.filter("id % 2 = 0").select("country").distinct(), 0.75, gate)

@@ -70,6 +70,18 @@ def fingerprint(**parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small settings file (a decision, a run's parameters) on any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    out.close()
+
+
+def read_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 class StaleArtifact(Exception):
     """A table is there, but was made from other inputs."""
 
@@ -79,14 +91,12 @@ def step(spark: SparkSession, path: str, make, mark: str) -> DataFrame:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path + ".meta.json")
     files = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if files.exists(fs_path):
-        had = json.loads(spark.read.text(path + ".meta.json", wholetext=True).first()[0])["fingerprint"]
+        had = read_json(spark, path + ".meta.json")["fingerprint"]
         if had != mark:
             raise StaleArtifact(path)
         return spark.read.parquet(path)
     make().write.mode("overwrite").parquet(path)
-    out = files.create(fs_path, True)
-    out.write(bytearray(json.dumps({"fingerprint": mark}).encode()))
-    out.close()
+    write_json(spark, path + ".meta.json", {"fingerprint": mark})
     return spark.read.parquet(path)
 
 
