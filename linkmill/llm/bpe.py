@@ -23,6 +23,8 @@ from .common import resident
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most chunks that a worker remembers; beyond it the memory is emptied, never the result. Chunks of over LONG characters are not remembered.
 REMEMBER, LONG = 900_000, 48
+#: Most pairs of tokens whose merge a worker remembers.
+PAIRS = 800_000
 #: Most texts, and characters of several texts, that are worked on at a time.
 TEXTS, CHARACTERS = 512, 1 << 22
 
@@ -63,7 +65,7 @@ class Replay:
         self.single, self.known = single, Known(pair)
 
     def run(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.known) > 3_000_000:
+        if len(self.known) > PAIRS:
             self.known.clear()
         known, single = self.known, self.single
         token: list[int] = []
