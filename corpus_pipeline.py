@@ -12,7 +12,7 @@ from linkmill.llm.common import materialise
 #: None: the first stage is a trained classifier, which SQL cannot express.
 ORACLE_SQL = None
 #: Chunks that a worker of the last stage remembers: the other stages' tasks share its executor's memory.
-REMEMBER = 400_000
+REMEMBER = 150_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
