@@ -10,7 +10,6 @@ from linkmill.sources.tables import written
 
 #: Rarest grams by which a record gets its first bound, and the slack of bounds, more than what rounding to six digits moves.
 SEEDS, SLACK = 4, 2e-6
-BLOCKER_COLUMNS = ("name", "addr")
 BLOCKERS = {"both": lambda: F.concat("name", F.lit(" | "), "addr"), "name": lambda: F.col("name")}
 
 
@@ -75,7 +74,7 @@ def candidates(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
     Only a record's grams that are not skipped meet the masters' postings, and a row is made only if
     the pair's other weights could still lift it to the record's bound.
     """
-    probe = written(bounds(q, s, k), "block-bounds").filter("not skip").select("country", F.col("id").alias("ri"), "gram", F.col("w").alias("qw"), "low", "rest")
+    probe = bounds(q, s, k).filter("not skip").select("country", F.col("id").alias("ri"), "gram", F.col("w").alias("qw"), "low", "rest")
     reach = F.col("qw") * F.col("sw") + F.sqrt((1 - F.col("qw") * F.col("qw")) * F.greatest(1 - F.col("sw") * F.col("sw"), F.lit(0.0)))
     post = s.select(F.col("country").alias("c"), F.col("gram").alias("g"), F.col("id").alias("si"), F.col("w").alias("sw"))
     met = probe.join(post, (F.col("country") == F.col("c")) & (F.col("gram") == F.col("g")) & (reach >= F.col("low") - SLACK))
@@ -91,8 +90,7 @@ def top_k(pairs: DataFrame, k: int = 10) -> DataFrame:
 def gram_weights(s1: DataFrame, recs: DataFrame, blocker: str, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
     """The weights of records and of masters, written once: every later step reads them."""
     vocab = vocabulary(s1, blocker, min_df)
-    side = lambda d, q: d.select("country", "id", *BLOCKER_COLUMNS, F.lit(q).alias("q"))
-    both = weights(side(recs, True), vocab, blocker).withColumn("q", F.lit(True)).unionByName(weights(side(s1, False), vocab, blocker).withColumn("q", F.lit(False)))
+    both = weights(recs, vocab, blocker).withColumn("q", F.lit(True)).unionByName(weights(s1, vocab, blocker).withColumn("q", F.lit(False)))
     both = written(both, f"block-{blocker}")
     return both.filter("q").drop("q"), both.filter("not q").drop("q")
 

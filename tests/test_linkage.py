@@ -266,3 +266,50 @@ def test_gbt_queries_learn_from_all_features_with_the_defaults(spark, monkeypatc
         got = catalogue.QUERIES[name](spark, d)
         assert set(matcher.feature_columns(got)) == want and {"n_tset", "a_cov_s", "hn_rel", "o_nins", "cos_both"} <= want
     assert [x[1:] for x in seen] == [((), {})] * 2
+
+
+def test_saved_models_rules_and_maps(spark, tmp_path):
+    from linkmill.operators import matcher
+    from linkmill.plans import linkage
+
+    r = random.Random(2)
+    rows = [(i, i // 3, int(i % 3 == 0), (i % 3 == 0) * 1.0 + r.random() / 4, r.random()) for i in range(240)]
+    f = spark.createDataFrame(rows, "ri long, si long, y int, good double, noise double")
+    models = matcher.fit_folds(f, 2, rounds=2, depth=2)
+    weight = {x.feature: x.weight for x in matcher.importance(models, f).collect()}
+    assert set(weight) == {"good", "noise"} and weight["good"] > weight["noise"]
+    mapping = spark.createDataFrame([("Мир", "mir", 4)], "tok string, latin string, n long")
+    linkage.save(spark, f"{tmp_path}/m", models, {"rule": "hybrid", "p_min": 0.1, "gate": 0.6}, mapping)
+    again, rule, tokens = linkage.load(spark, f"{tmp_path}/m")
+    assert rule == {"rule": "hybrid", "p_min": 0.1, "gate": 0.6} and tokens.collect() == mapping.collect()
+    same = lambda m: {(x.ri, x.si): x.p for x in matcher.predict(f, m).collect()}
+    assert same(again) == same(models)
+
+
+def test_best_rule_of_both_sweeps(spark):
+    t = spark.createDataFrame([(0.5, None, 0.7), (0.6, None, 0.8), (0.7, None, 0.8)], "t double, country string, f05 double")
+    h = lambda f: spark.createDataFrame([(0.02, 0.5, 0.1), (0.3, 0.9, f), (0.3, 0.8, f)], "p_min double, gate double, f05 double")
+    assert decide.best_rule(t, h(0.8)) == {"rule": "threshold", "t": 0.6}
+    assert decide.best_rule(t, h(0.9)) == {"rule": "hybrid", "p_min": 0.3, "gate": 0.8}
+
+
+def test_id_lists_and_truth_are_written_and_read(spark, tmp_path):
+    s1 = spark.createDataFrame([(2, "m8"), (0, "m7"), (1, "m9")], "position long, s1 string")
+    lists = spark.createDataFrame([("m7", ["v2", "v1", "v2"]), ("m8", [])], "s1 string, ids array<string>")
+    tables.write_id_lists(s1, lists, f"{tmp_path}/out")
+    rows = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()[1:]]
+    assert rows == ['m7\tv2,v1', "m9\t", "m8\t"] or [x.replace('"', "") for x in rows] == ["m7\tv2,v1", "m9\t", "m8\t"]
+    (tmp_path / "g.tsv").write_text("source1_entity_id\tmatched_entity_ids\nm7\tv2, v1\nm9\t\n")
+    got = tables.truth_pairs(tables.read_ground_truth(spark, f"{tmp_path}/g.tsv")).collect()
+    assert sorted(map(tuple, got)) == [("m7", "v1"), ("m7", "v2")]
+
+
+def test_top_pairs_with_many_twins_and_single_grams(spark):
+    """Ties of more masters than k go to the smallest ids, also where only a frequent gram is shared."""
+    s = spark.createDataFrame([(i, "c", "mill house" if i % 2 else "quay", "") for i in range(100)], "id long, country string, name string, addr string")
+    r = spark.createDataFrame([(1000, "c", "mill", ""), (1001, "c", "quay", ""), (1002, "c", "", ""), (1003, "d", "mill", "")], s.schema)
+    got = {}
+    for x in blocking.top_pairs(s, r, "both").collect():
+        got.setdefault(x.ri, []).append((x.rank, x.si))
+    assert [i for _, i in sorted(got[1000])] == list(range(1, 20, 2)) and [i for _, i in sorted(got[1001])] == list(range(0, 20, 2))
+    assert len(got[1002]) == 10 and 1003 not in got
