@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, licences, line_dedup, media, mixing, quality, simhash, toxicity
+from pyspark.sql import functions as F
+
+from . import bpe, exact_dedup, lexical, licences, line_dedup, media, mixing, quality, sentence_pieces, simhash, toxicity, vector_codes
 from .common import documents
 
 
@@ -48,5 +50,19 @@ def op10_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_byte_bpe, op4_toxicity, op5_token_counts, op6_exact_dedup, op7_mix_sources, op8_line_dedup, op9_media_columns, op10_quality)}
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.encoding_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    rows, books = vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_byte_bpe, op4_toxicity, op5_token_counts, op6_exact_dedup, op7_mix_sources, op8_line_dedup, op9_media_columns, op10_quality,
+                                  op11_lexical_search, op12_sentence_pieces, op13_vector_codes)}
+ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
