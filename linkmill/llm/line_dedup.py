@@ -20,37 +20,37 @@ def bound(value: str, name: str, body: str) -> str:
 
 
 def window_minima(values: str, width: int) -> str:
-    """SQL: the smallest of each window of `width` values, by doubling: O(log width) for a value."""
+    """SQL: for each value the smallest of the `width` values from it on (fewer at the end), by doubling: O(log width) for a value."""
     step, out = 1, values
     while step < width:
         hop = min(step, width - step)
         m = f"m{step}"
-        out = bound(out, m, f"if(size({m}) <= {hop}, cast(array() as array<bigint>), transform(sequence(0, size({m}) - {hop + 1}), i -> least(get({m}, i), get({m}, i + {hop}))))")
+        out = bound(out, m, f"zip_with({m}, slice({m}, {hop + 1}, size({m})), (a, b) -> least(a, b))")  # beyond the end b is null, which least() passes over
         step += hop
     return out
 
 
 def word_table(text: str = "coalesce(text, '')") -> str:
-    """SQL: struct of h, the words' hashes, and s, the places of the words that begin a line."""
-    # Single blanks between words, and a line break before the first word of a line; linear in the text.
-    flat = f"regexp_replace(regexp_replace({text}, '[\\\\x20\\\\x09\\\\x0B-\\\\x0D]+', ' '), ' ?\\n[ \\n]*', ' \\n')"
-    tokens = f"filter(split({flat}, ' ', -1), t -> t <> '' and t <> '\\n')"
-    return bound(tokens, "ts", """struct(
-        transform(ts, t -> xxhash64(if(startswith(t, '\\n'), substr(t, 2), t))) as h,
-        filter(transform(ts, (t, i) -> if(i = 0 or startswith(t, '\\n'), i, -1)), i -> i >= 0) as s)""")
+    """SQL: struct of t, the words, and s, the places of the words that begin a line; linear in the text."""
+    other = " or ".join(f"contains(x, '{c}')" for c in ("\\t", "\\u000B", "\\u000C", "\\r"))
+    plain = bound(text, "x", f"if({other}, translate(x, '\\t\\u000B\\u000C\\r', '    '), x)")
+    # A blank and one line break before the first word of each line; most texts need no pattern for it.
+    broken = bound(plain, "x", "if(contains(x, '\\n ') or contains(x, '\\n\\n'), regexp_replace(x, ' ?\\n[ \\n]*', ' \\n'), replace(x, '\\n', ' \\n'))")
+    starts = bound("array_remove(array_remove(split(x, ' ', -1), ''), '\\n')", "ws", "if(size(ws) = 0, cast(array() as array<int>), filter(sequence(0, size(ws) - 1), i -> i = 0 or startswith(get(ws, i), '\\n')))")
+    return bound(broken, "x", f"struct(array_remove(split(replace(x, '\\n', ''), ' ', -1), '') as t, {starts} as s)")
 
 
 _ROW = "array<struct<start:int,span:bigint,f:bigint,k:bigint>>"
 
 
-def line_rows(h: str, s: str, run: int, few: int) -> str:
+def line_rows(t: str, s: str, run: int, few: int) -> str:
     """SQL: start, span (words, negative), f and k of each run of lines that is looked for.
 
     A line of `few` words is a run. Of `run` lines with a shorter one among them, winnowing takes
     the smallest line of each window; its row is the window's.
     """
-    lines = f"transform({s}, (b, j) -> struct(b as b, coalesce(get({s}, j + 1), size({h})) - b as n))"
-    keyed = bound(lines, "ls", f"transform(ls, l -> struct(l.b as b, l.n as n, xxhash64(slice({h}, l.b + 1, l.n)) as g, xxhash64(7, slice({h}, l.b + 1, l.n)) as q))")
+    lines = f"zip_with({s}, slice({s}, 2, size({s})), (b, e) -> struct(b as b, coalesce(e, size({t})) - b as n))"
+    keyed = bound(lines, "ls", f"transform(ls, l -> struct(l.b as b, l.n as n, xxhash64(slice({t}, l.b + 1, l.n)) as g, xxhash64(7, slice({t}, l.b + 1, l.n)) as q))")
     single = "transform(filter(ks, x -> x.n >= {few}), x -> struct(x.b as start, cast(-x.n as bigint) as span, xxhash64(1, x.g) as f, xxhash64(1, x.q) as k))".format(few=few)
     window = f"slice(ks, i + 1, {run})"
     several = f"""if(size(ks) < {run}, cast(array() as {_ROW}), transform(
@@ -60,7 +60,7 @@ def line_rows(h: str, s: str, run: int, few: int) -> str:
     return bound(keyed, "ks", f"concat(cast({single} as {_ROW}), cast({several} as {_ROW}))")
 
 
-def passage_rows(h: str, size: int, gram: int) -> str:
+def passage_rows(t: str, size: int, gram: int) -> str:
     """SQL: start, span, f and k of each block of passages.
 
     Each passage of `size` words selects the smallest word hash among those where a run of `gram`
@@ -68,25 +68,28 @@ def passage_rows(h: str, size: int, gram: int) -> str:
     are a block. f is the hash of the selected run, the guaranteed fingerprint; k that of all words
     of the block. span: words * 256 + passages beyond the first.
     """
-    coded = f"transform({h}, (x, i) -> (x & {~_LOW}L) | i)"
-    chosen = bound(window_minima(coded, size - gram + 1), "ms", f"transform(slice(ms, 1, size({h}) - {size - 1}), m -> cast(m & {_LOW}L as int))")
-    starts = "filter(transform(ps, (p, i) -> if(i = 0 or p <> get(ps, i - 1), i, -1)), i -> i >= 0)"
-    blocks = bound(starts, "bs", f"transform(bs, (b, j) -> struct(b as b, coalesce(get(bs, j + 1), size(ps)) - 1 - b as more, get(ps, b) as p))")
-    rows = bound(blocks, "ks", f"""transform(ks, x -> struct(x.b as start, cast((x.more + {size}) * 256 + x.more as bigint) as span,
-        xxhash64(slice({h}, x.p + 1, {gram})) as f, xxhash64(slice({h}, x.b + 1, x.more + {size})) as k))""")
-    return f"if(size({h}) < {size}, cast(array() as {_ROW}), cast({bound(chosen, 'ps', rows)} as {_ROW}))"
+    width = size - gram + 1
+    coded = f"transform({t}, (x, i) -> (xxhash64(x) & {~_LOW}L) | i)"
+    # A word that a window has lost never comes back: the distinct minima are the selected words in order.
+    chosen = bound(window_minima(coded, width), "ms", f"array_distinct(slice(ms, 1, size({t}) - {size - 1}))")
+    # A block begins where its word comes into the window, if that is smaller than the one before, or else where the one before goes.
+    begin = lambda j: f"if(get(cs, {j}) < get(cs, {j} - 1), cast(get(cs, {j}) & {_LOW}L as int) - {width - 1}, cast(get(cs, {j} - 1) & {_LOW}L as int) + 1)"
+    blocks = f"transform(cs, (c, j) -> struct(if(j = 0, 0, {begin('j')}) as b, if(j + 1 = size(cs), size({t}) - {size - 1}, {begin('(j + 1)')}) as e, cast(c & {_LOW}L as int) as p))"
+    rows = bound(bound(chosen, "cs", blocks), "ks", f"""transform(ks, x -> struct(x.b as start, cast((x.e - 1 - x.b + {size}) * 256 + (x.e - 1 - x.b) as bigint) as span,
+        xxhash64(slice({t}, x.p + 1, {gram})) as f, xxhash64(slice({t}, x.b + 1, x.e - 1 - x.b + {size})) as k))""")
+    return f"if(size({t}) < {size}, cast(array() as {_ROW}), cast({rows} as {_ROW}))"
 
 
 def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> DataFrame:
-    """id, at, span, f, k of all runs of lines and all blocks of passages: one scan, one row for each.
+    """id, x, start, span, f, k of all runs of lines and all blocks of passages: one scan, one row for each.
 
-    at: a hash of the text above, the first word's place below; with id it orders places.
+    x: a hash of the text; with id and the first word's place it orders places.
     """
-    table = bound(word_table(), "w", f"concat({line_rows('w.h', 'w.s', run, few)}, {passage_rows('w.h', size, gram)})")
+    table = bound(word_table(), "w", f"concat({line_rows('w.t', 'w.s', run, few)}, {passage_rows('w.t', size, gram)})")
     # The text must not go through the explode, which would copy it for each row.
-    texts = docs.select(F.col("doc_id").alias("id"), F.expr("shiftleft(xxhash64(text), 32)").alias("x"), F.expr(table).alias("rs"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.expr("hash(text)").alias("x"), F.expr(table).alias("rs"))
     rows = texts.select("id", "x", F.explode_outer("rs").alias("r"))
-    return rows.filter("r is not null").select("id", F.expr("x | r.start").alias("at"), "r.span", "r.f", "r.k")
+    return rows.filter("r is not null").select("id", "x", "r.start", "r.span", "r.f", "r.k")
 
 
 def _start(at: str = "at") -> str:
@@ -101,18 +104,22 @@ def _apart(size: int) -> str:
 def later_blocks(rows: DataFrame, size: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """Two tables: later places (id, at, words), and the blocks (id, at, more) left to look at passage by passage.
 
-    Every key's first place is found by partial minima, and its other places meet it in a salted
-    join. A block whose fingerprint also stands in another block may share some passages with it:
-    only the first place of each distinct block has to be looked at again.
+    Most fingerprints stand once: they are counted first, by hash, and only rows of the others go on.
+    Of these, every key's first place is found by partial minima and its other places meet it. A key has one
+    row on the side that a join builds on, so a key of very many rows can be split. A block whose
+    fingerprint also stands in another block may share some passages with it: only the first
+    place of each distinct block has to be looked at again.
     """
     place = F.struct("id", "at")
-    groups = rows.groupBy("f", "k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("span").alias("span"))
-    groups = work.keep(groups, "line-groups")
-    met = salted_lookup(rows, groups.filter("n > 1").select("f", "k", "first"), ["f", "k"], "id").filter(place > F.col("first"))
+    often = work.keep(rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "line-often")
+    rows = work.keep(rows.join(often.hint("shuffle_hash"), "f", "left_semi").select("id", F.expr("shiftleft(cast(x as bigint), 32) | start").alias("at"), "span", "f", "k"), "line-rows")
+    work.drop("line-prints", "line-often")
+    groups = work.keep(rows.groupBy("f", "k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("span").alias("span")), "line-groups")
+    met = rows.join(groups.filter("n > 1").select("f", "k", "first").hint("shuffle_hash"), ["f", "k"]).filter(place > F.col("first"))
     met = work.keep(met.select("id", "at", "span", F.expr(f"span < 0 or ({_apart(size)})").alias("apart")), "line-later")
     blocks = groups.filter("span > 0")
     shared = blocks.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    open_ = salted_lookup(blocks, shared, ["f"], "k").filter("kinds > 1").select("first.id", "first.at", F.expr("cast(span & 255 as int)").alias("more"))
+    open_ = blocks.join(shared.hint("shuffle_hash"), "f", "left_semi").select("first.id", "first.at", F.expr("cast(span & 255 as int)").alias("more"))
     own = met.filter("not apart").select("id", "at", F.expr("cast(span & 255 as int)").alias("more"))
     words = F.expr("cast(if(span < 0, -span, shiftright(span, 8)) as int)").alias("words")
     return met.filter("apart").select("id", "at", words), open_.unionByName(own)
@@ -120,13 +127,14 @@ def later_blocks(rows: DataFrame, size: int, work: Scratch) -> tuple[DataFrame,
 
 def later_passages(docs: DataFrame, blocks: DataFrame, size: int, work: Scratch) -> DataFrame:
     """id, at, words of the single passages of `blocks` that stand at an earlier place too."""
-    marks = blocks.groupBy("id", F.expr("shiftrightunsigned(at, 32)").alias("x")).agg(F.collect_list(F.struct(F.expr(_start()).alias("start"), "more")).alias("bs"))
-    texts = docs.select("doc_id", "text", F.expr("shiftrightunsigned(shiftleft(xxhash64(text), 32), 32)").alias("tx"))
+    marks = blocks.groupBy("id", F.expr("cast(shiftright(at, 32) as int)").alias("x")).agg(F.collect_list(F.struct(F.expr(_start()).alias("start"), "more")).alias("bs"))
+    texts = docs.select("doc_id", "text", F.expr("hash(text)").alias("tx"))
     met = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("x")))
     starts = "flatten(transform(bs, b -> sequence(b.start, b.start + b.more)))"
-    found = bound(word_table(), "w", f"transform({starts}, s -> struct(s as s, xxhash64(slice(w.h, s + 1, {size})) as f, xxhash64(7, slice(w.h, s + 1, {size})) as k))")
+    hashed = f"transform(({word_table()}).t, t -> xxhash64(t))"
+    found = bound(hashed, "h", f"transform({starts}, s -> struct(s as s, xxhash64(slice(h, s + 1, {size})) as f, xxhash64(7, slice(h, s + 1, {size})) as k))")
     # Repeated rows give a passage twice at one place: none is later than itself.
-    held = work.keep(met.select("id", "x", F.expr(found).alias("ps")).select("id", "x", F.explode_outer("ps").alias("p")).filter("p is not null").select("id", F.expr("shiftleft(x, 32) | p.s").alias("at"), "p.f", "p.k"), "passages")
+    held = work.keep(met.select("id", "x", F.expr(found).alias("ps")).select("id", "x", F.explode_outer("ps").alias("p")).filter("p is not null").select("id", F.expr("shiftleft(cast(x as bigint), 32) | p.s").alias("at"), "p.f", "p.k"), "passages")
     place = F.struct("id", "at")
     first = held.groupBy("f", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     met = salted_lookup(held, first, ["f", "k"], "id").filter(place > F.col("first")).filter(_apart(size))
@@ -140,10 +148,10 @@ def repeated_ranges(docs: DataFrame, run: int = RUN, few: int = FEW, size: int =
         later, blocks = later_blocks(rows, size, work)
         later = work.keep(later.select("id", "at", "words"), "line-ranges")
         blocks = work.keep(blocks, "line-blocks")
-        work.drop("line-prints", "line-groups", "line-later")
+        work.drop("line-rows", "line-groups", "line-later")
         every = later.unionByName(work.keep(later_passages(docs, blocks, size, work), "passage-ranges"))
         work.drop("passages", "line-blocks")
-        ends = every.select("id", F.expr("shiftrightunsigned(at, 32)").alias("x"), F.expr(_start()).alias("b"), F.expr(f"{_start()} + words").alias("e"))
+        ends = every.select("id", F.expr("cast(shiftright(at, 32) as int)").alias("x"), F.expr(_start()).alias("b"), F.expr(f"{_start()} + words").alias("e"))
         one = Window.partitionBy("id", "x").orderBy("b", "e")
         new = ends.withColumn("new", F.coalesce(F.col("b") > F.max("e").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
         islands = new.withColumn("i", F.sum("new").over(one)).groupBy("id", "x", "i").agg(F.min("b").alias("b"), F.max("e").alias("e"))
@@ -169,18 +177,20 @@ def line_dedup(docs: DataFrame, run: int = RUN, few: int = FEW, size: int = PASS
     table: empty result. A column of docs named n_removed is replaced; others pass through.
     """
     cols = [c for c in docs.columns if c != "n_removed"]
-    ranges = repeated_ranges(docs, run, few, size, gram).withColumnsRenamed({"id": "__id", "x": "__x", "gone": "__gone", "n_removed": "__n"})
-    met = docs.select(*cols, F.expr("shiftrightunsigned(shiftleft(xxhash64(text), 32), 32)").alias("__k")).join(ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__x")), "left")
-    body = f"trim(TRAILING '{_BLANKS}' FROM text)"
+    ranges = repeated_ranges(docs, run, few, size, gram)
+    # The columns of docs go as one, so that none can clash with the ranges'. Texts need no sort: a document has one row of ranges.
+    held = docs.select(F.struct(*cols).alias("d"), F.col("doc_id").alias("did"), F.expr("hash(text)").alias("k"))
+    met = held.join(ranges.hint("shuffle_hash"), F.col("did").eqNullSafe(F.col("id")) & (F.col("k") == F.col("x")), "left")
+    body = f"trim(TRAILING '{_BLANKS}' FROM d.text)"
     lead = lambda p: f"regexp_extract({p}, '^[\\\\x20\\\\x09-\\\\x0D]*', 0)"
     before = "get(w, get(g, j - 1).b)"
     first = f"if(get(g, j - 1).b = 0 or contains({lead(before)}, '\\n'), concat({lead(before)}, trim(LEADING '{_BLANKS}' FROM get(w, get(g, j - 1).e))), get(w, get(g, j - 1).e))"
     upto = "if(j = size(g), size(w), get(g, j).b)"
     part = f"if(j = 0, array_join(slice(w, 1, {upto}), ''), if({upto} <= get(g, j - 1).e, '', concat({first}, array_join(slice(w, get(g, j - 1).e + 2, {upto} - get(g, j - 1).e - 1), ''))))"
     words = f"regexp_extract_all({body}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
-    whole = bound(words, "w", bound("__gone", "g", f"if(size(g) = 1 and get(g, 0).b = 0 and get(g, 0).e = size(w), '', concat(array_join(transform(sequence(0, size(g)), j -> {part}), ''), substr(text, length({body}) + 1)))"))
-    return met.select(*[F.when(F.col("__gone").isNotNull(), F.expr(whole)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
-                      F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"))
+    whole = bound(words, "w", bound("gone", "g", f"if(size(g) = 1 and get(g, 0).b = 0 and get(g, 0).e = size(w), '', concat(array_join(transform(sequence(0, size(g)), j -> {part}), ''), substr(d.text, length({body}) + 1)))"))
+    return met.select(*[F.when(F.col("gone").isNotNull(), F.expr(whole)).otherwise(F.col("d.text")).alias("text") if c == "text" else F.col("d")[c].alias(c) for c in cols],
+                      F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 _B = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
