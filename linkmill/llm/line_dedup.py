@@ -36,7 +36,7 @@ def word_table(text: str = "coalesce(text, '')") -> str:
     plain = bound(text, "x", f"if({other}, translate(x, '\\t\\u000B\\u000C\\r', '    '), x)")
     # A blank and one line break before the first word of each line; most texts need no pattern for it.
     broken = bound(plain, "x", "if(contains(x, '\\n ') or contains(x, '\\n\\n'), regexp_replace(x, ' ?\\n[ \\n]*', ' \\n'), replace(x, '\\n', ' \\n'))")
-    starts = bound("array_remove(array_remove(split(x, ' ', -1), ''), '\\n')", "ws", "if(size(ws) = 0, cast(array() as array<int>), filter(sequence(0, size(ws) - 1), i -> i = 0 or startswith(get(ws, i), '\\n')))")
+    starts = "array_remove(transform(array_remove(array_remove(split(x, ' ', -1), ''), '\\n'), (w, i) -> if(i = 0 or startswith(w, '\\n'), i, -1)), -1)"
     return bound(broken, "x", f"struct(array_remove(split(replace(x, '\\n', ''), ' ', -1), '') as t, {starts} as s)")
 
 
