@@ -2,106 +2,213 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkmill.functions.text import word_grams
-from linkmill.sources.tables import written
-
-#: Rarest grams by which a record gets its first bound, and the slack of bounds, more than what rounding to six digits moves.
-SEEDS, SLACK = 4, 2e-6
+from linkmill.sources.tables import Scratch, written
+
+#: Rarest grams by which a record gets its first bound, the heaviest blocks of each that it looks at, and the blocks that it then meets.
+SEEDS, HEAVY, FIRST = 4, 8, 4
+#: Most promising blocks, by all grams, that a record meets before its bound is set anew.
+WAVE = 8
+#: Slack of bounds, more than what rounding to six digits moves.
+SLACK = 2e-6
+#: Master texts of a block, and most records that meet it in one task's group.
+BLOCK, GROUP = 4, 2048
 BLOCKERS = {"both": lambda: F.concat("name", F.lit(" | "), "addr"), "name": lambda: F.col("name")}
 
 
-def gram_counts(entities: DataFrame, blocker: str) -> DataFrame:
-    """country, id, gram, tf."""
-    return entities.select("country", "id", F.explode(word_grams(BLOCKERS[blocker]())).alias("gram")).groupBy("country", "id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass
+class Side:
+    """Masters or records by their distinct texts. texts: country, text, form, n; of: country, id, form; vectors: country, form, g, w (arrays by gram number)."""
 
-
-def vocabulary(s1: DataFrame, blocker: str, min_df: int = 2) -> DataFrame:
-    """country, gram, df, idf of the master's grams; a country without any gram of min_df keeps all."""
-    n = s1.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    df = gram_counts(s1, blocker).groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
-    top = df.groupBy("country").agg(F.max("df").alias("top"))
-    return df.join(top, "country").join(n, "country").filter((F.col("df") >= min_df) | (F.col("top") < min_df)).select(
-        "country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    texts: DataFrame
+    of: DataFrame
+    vectors: DataFrame | None = None
 
 
-def weights(entities: DataFrame, vocab: DataFrame, blocker: str) -> DataFrame:
-    """country, id, gram, w: sublinear tf times idf, of length one over known grams."""
-    raw = gram_counts(entities, blocker).join(vocab, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("country", "id")))).select("country", "id", "gram", "w")
+def side(entities: DataFrame, blocker: str, work: Scratch, name: str) -> Side:
+    """Entities of one country and text have the same neighbours: all that follows is done once for each text."""
+    keys = entities.select("country", "id", F.coalesce(BLOCKERS[blocker](), F.lit("")).alias("text"))
+    texts = work.keep(keys.groupBy("country", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("form", F.monotonically_increasing_id()), f"{name}-texts")
+    return Side(texts, work.keep(keys.join(texts.drop("n"), ["country", "text"]).select("country", "id", "form"), f"{name}-forms"))
 
 
-def vectors(w: DataFrame, key: str, name: str) -> DataFrame:
-    """country, `key`, `name`: each entity's weights as a map, in the order of grams."""
-    return w.groupBy("country", F.col("id").alias(key)).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("gram", "w")))).alias(name))
+def vocabulary(masters: Side, min_df: int = 2) -> DataFrame:
+    """country, gram, g, df, idf of the masters' grams, numbered over all countries; a country without any gram of min_df keeps all."""
+    n = masters.texts.groupBy("country").agg(F.sum("n").alias("n"))
+    grams = masters.texts.select("country", "n", F.explode(F.array_distinct(word_grams(F.col("text")))).alias("gram"))
+    df = grams.groupBy("country", "gram").agg(F.sum("n").alias("df"))
+    top = df.groupBy("country").agg(F.max("df").alias("top"))
+    return df.join(top, "country").join(n, "country").filter((F.col("df") >= min_df) | (F.col("top") < min_df)).select(
+        "country", "gram", F.monotonically_increasing_id().alias("g"), "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def exact(pairs: DataFrame, q: DataFrame, s: DataFrame) -> DataFrame:
-    """The pairs (country, ri, si) with cos, their product over all grams; 0 where they share none."""
-    met = pairs.join(vectors(q, "ri", "__q"), ["country", "ri"], "left").join(vectors(s, "si", "__s"), ["country", "si"], "left")
-    terms = F.transform(F.map_entries("__q"), lambda e: e["value"] * F.coalesce(F.try_element_at("__s", e["key"]), F.lit(0.0)))
-    return met.withColumn("cos", F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))).drop("__q", "__s")
+def vectors(own: Side, vocab: DataFrame) -> DataFrame:
+    """country, form, g, w: sublinear tf times idf, of length one over known grams, in the order of gram numbers."""
+    tf = own.texts.select("country", "form", F.explode(word_grams(F.col("text"))).alias("gram")).groupBy("country", "form", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    raw = tf.join(vocab, ["country", "gram"]).select("country", "form", F.struct("g", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("x"))
+    v = raw.groupBy("country", "form").agg(F.sort_array(F.collect_list("x")).alias("v")).withColumn("l", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
+    return v.select("country", "form", F.transform("v", lambda x: x["g"]).alias("g"), F.transform("v", lambda x: x["w"] / F.col("l")).alias("w"))
 
 
-def bounds(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    """q with low and skip: a cosine that k masters reach (0 if not known), and whether the gram may be skipped.
+def in_blocks(masters: Side) -> DataFrame:
+    """b, forms, at, g, w: the masters' texts in order, BLOCK of a country at a time; at: where each text's grams begin in g and w."""
+    def run(batches):
+        made, held, last = 0, [], None
 
-    A record first meets the k heaviest masters of each of its SEEDS rarest grams; the k-th best of
-    these is a bound that the true top k reaches. From the most frequent gram on, grams are skipped
-    as long as all skipped ones together cannot give that bound, by the masters' largest
-    weights or by the record's own length: a master that shares nothing else is out.
-    """
-    heavy = Window.partitionBy("country", "gram").orderBy(F.desc("w"), "id")
-    best = s.withColumn("o", F.row_number().over(heavy)).filter(F.col("o") <= k).select("country", "gram", F.col("id").alias("si"), F.col("w").alias("sw"))
-    grams = s.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
-    rare = Window.partitionBy("country", "id").orderBy("df", "gram")
-    own = q.join(grams, ["country", "gram"])
-    first = own.withColumn("o", F.row_number().over(rare)).filter(F.col("o") <= SEEDS).select("country", F.col("id").alias("ri"), "gram", "w").join(best, ["country", "gram"])
-    seen = first.groupBy("country", "ri", "si").agg(F.sum(F.col("w") * F.col("sw")).alias("part"))
-    few = seen.withColumn("o", F.row_number().over(Window.partitionBy("country", "ri").orderBy(F.desc("part"), "si"))).filter(F.col("o") <= k).select("country", "ri", "si")
-    low = exact(few, q, s).groupBy("country", F.col("ri").alias("id")).agg(F.min("cos").alias("low"), F.count(F.lit(1)).alias("n")).select("country", "id", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("low"))
-    often = Window.partitionBy("country", "id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    most = F.least(F.sum(F.col("w") * F.col("top")).over(often), F.sqrt(F.sum(F.col("w") * F.col("w")).over(often)))
-    return own.join(low, ["country", "id"], "left").withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("most", most).withColumn("skip", F.col("most") < F.col("low") - SLACK).select(
-        "country", "id", "gram", "w", "low", "skip", F.coalesce(F.max(F.when(F.col("skip"), F.col("most"))).over(Window.partitionBy("country", "id")), F.lit(0.0)).alias("rest"))
+        def block():
+            at = np.cumsum([0, *[len(g) for _, g, _ in held]])
+            cols = [[(TaskContext.get().partitionId() << 33) + made], [[f for f, _, _ in held]], [at.tolist()], [np.concatenate([g for _, g, _ in held])], [np.concatenate([w for _, _, w in held])]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["b", "forms", "at", "g", "w"])
 
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        for batch in batches:
+            for country, form, g, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and (country != last or len(held) == BLOCK):
+                    yield block()
+                    made, held = made + 1, []
+                held.append((form, g, w))
+                last = country
+        if held:
+            yield block()
 
-def candidates(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    """country, ri, si of all pairs that can be in a record's top k, and few others.
+    dealt = masters.vectors.join(masters.texts.select("form", "text"), "form").repartitionByRange("country", "text", "form").sortWithinPartitions("country", "text", "form")
+    return dealt.select("country", "form", "g", "w").mapInArrow(run, "b long, forms array<long>, at array<int>, g array<long>, w array<double>")
 
-    Only a record's grams that are not skipped meet the masters' postings, and a row is made only if
-    the pair's other weights could still lift it to the record's bound.
-    """
-    probe = bounds(q, s, k).filter("not skip").select("country", F.col("id").alias("ri"), "gram", F.col("w").alias("qw"), "low", "rest")
-    reach = F.col("qw") * F.col("sw") + F.sqrt((1 - F.col("qw") * F.col("qw")) * F.greatest(1 - F.col("sw") * F.col("sw"), F.lit(0.0)))
-    post = s.select(F.col("country").alias("c"), F.col("gram").alias("g"), F.col("id").alias("si"), F.col("w").alias("sw"))
-    met = probe.join(post, (F.col("country") == F.col("c")) & (F.col("gram") == F.col("g")) & (reach >= F.col("low") - SLACK))
-    part = met.groupBy("country", "ri", "si").agg(F.sum(F.col("qw") * F.col("sw")).alias("part"), F.first("low").alias("low"), F.first("rest").alias("rest"))
-    return part.filter(F.col("part") + F.col("rest") >= F.col("low") - SLACK).select("country", "ri", "si")
 
+def rows_of(v: DataFrame, key: str) -> DataFrame:
+    """`key`, g, w: one row for each entry."""
+    return v.select(key, F.explode(F.arrays_zip("g", "w")).alias("x")).select(key, "x.g", "x.w")
 
-def top_k(pairs: DataFrame, k: int = 10) -> DataFrame:
-    order = Window.partitionBy("ri").orderBy(F.desc("cos"), "si")
-    return pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < k)
 
+def scored(cells: DataFrame, records: Side, blocks: DataFrame, k: int) -> DataFrame:
+    """form, s, cos of the pairs in `cells` (form, b, low) that can be among a record's best k.
 
-def gram_weights(s1: DataFrame, recs: DataFrame, blocker: str, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The weights of records and of masters, written once: every later step reads them."""
-    vocab = vocabulary(s1, blocker, min_df)
-    both = weights(recs, vocab, blocker).withColumn("q", F.lit(True)).unionByName(weights(s1, vocab, blocker).withColumn("q", F.lit(False)))
-    both = written(both, f"block-{blocker}")
-    return both.filter("q").drop("q"), both.filter("not q").drop("q")
+    The records that meet a block are dealt into groups of about GROUP; a group and its block are one
+    dense product. Of each record only what reaches `low` and the k-th best of the block is passed on.
+    """
+    many = cells.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    left = cells.join(many.hint("shuffle_hash"), "b").join(records.vectors.drop("country"), "form").withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
+    right = blocks.join(many, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def product(q: pa.Table, s: pa.Table) -> pa.Table:
+        q, s = q.combine_chunks(), s.combine_chunks()
+        forms, at, g, w = (s[c].chunk(0)[0].values.to_numpy() for c in ("forms", "at", "g", "w"))
+        cols, place = np.unique(g, return_inverse=True)
+        own = np.zeros((len(cols), len(forms)))
+        own[place, np.repeat(np.arange(len(forms)), np.diff(at))] = w
+        qg, qw = q["g"].chunk(0), q["w"].chunk(0)
+        rows = np.repeat(np.arange(q.num_rows), np.diff(qg.offsets.to_numpy()))
+        g, w = qg.flatten().to_numpy(), qw.flatten().to_numpy()
+        where = np.minimum(np.searchsorted(cols, g), len(cols) - 1)
+        known = cols[where] == g
+        ask = np.zeros((q.num_rows, len(cols)))
+        ask[rows[known], where[known]] = w[known]
+        cos = ask @ own
+        least = np.maximum(q["low"].to_numpy(), 1e-9)
+        if len(forms) > k:
+            least = np.maximum(least, np.partition(cos, len(forms) - k, axis=1)[:, len(forms) - k])
+        i, j = np.nonzero(cos >= np.maximum(least - SLACK, 1e-9)[:, None])
+        return pa.table({"form": q["form"].to_numpy()[i], "s": forms[j], "cos": cos[i, j]})
+
+    return left.select("b", "part", "form", "low", "g", "w").groupBy("b", "part").cogroup(right.select("b", "part", "forms", "at", "g", "w").groupBy("b", "part")).applyInArrow(product, "form long, s long, cos double")
+
+
+def kth(found: DataFrame, few: DataFrame, k: int) -> DataFrame:
+    """form, low: the cosine that k masters of a record in `found` (form, s, cos) reach; records with fewer have none."""
+    upto = Window.partitionBy("form").orderBy(F.desc("cos"), "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = found.join(few.select("s", F.size("ids").alias("m")), "s").withColumn("c", F.sum("m").over(upto))
+    return seen.filter(F.col("c") >= k).groupBy("form").agg(F.max("cos").alias("low"))
+
+
+def promising(records: Side, tops: DataFrame, blocks: DataFrame, few: DataFrame, k: int, work: Scratch) -> DataFrame:
+    """form, b, most, low: the blocks that can hold one of a record's best k, the most that a master in it can reach, and a cosine that k masters reach (0 if not known).
+
+    tops: g, b, top, the largest weight of each gram in each block, so a posting is as long as its blocks are many.
+    A record first meets the blocks that promise most by its rarest grams; the k-th best cosine
+    there is a bound. From the most frequent gram on, grams are skipped as long as all skipped ones
+    together cannot reach it, by the largest weights or by the record's own length; the others meet the
+    postings, and a block stays if its maxima and the skipped rest could reach the bound.
+    """
+    grams = tops.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.max("top").alias("top"))
+    own = work.keep(rows_of(records.vectors, "form").join(grams, "g"), "record-grams")
+    rare, best = Window.partitionBy("form").orderBy("df", "g"), Window.partitionBy("form").orderBy(F.desc("most"), "b")
+    heavy = tops.withColumn("o", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("top"), "b"))).filter(F.col("o") <= HEAVY).select("g", "b", F.col("top").alias("high"))
+    seeds = own.withColumn("o", F.row_number().over(rare)).filter(F.col("o") <= SEEDS).join(heavy, "g").groupBy("form", "b").agg(F.sum(F.col("w") * F.col("high")).alias("most"))
+    first = seeds.withColumn("o", F.row_number().over(best)).filter(F.col("o") <= FIRST).select("form", "b", F.lit(0.0).alias("low"))
+    low = kth(scored(first, records, blocks, k), few, k)
+    often = Window.partitionBy("form").orderBy(F.desc("df"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    most = F.least(F.sum(F.col("w") * F.col("top")).over(often), F.sqrt(F.sum(F.col("w") * F.col("w")).over(often)))
+    known = own.join(low, "form", "left").withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("most", most).withColumn("skip", F.col("most") < F.col("low") - SLACK)
+    probe = known.withColumn("rest", F.coalesce(F.max(F.when(F.col("skip"), F.col("most"))).over(Window.partitionBy("form")), F.lit(0.0))).filter("not skip").select("form", "g", "w", "low", "rest")
+    met = probe.join(tops, "g").groupBy("form", "b").agg(F.sum(F.col("w") * F.col("top")).alias("most"), F.first("low").alias("low"), F.first("rest").alias("rest"))
+    return met.withColumn("most", F.col("most") + F.col("rest")).filter(F.col("most") >= F.col("low") - SLACK).select("form", "b", "most", "low")
+
+
+def top_forms(records: Side, masters: Side, k: int, work: Scratch, name: str) -> DataFrame:
+    """country, ri, si, cos, rank of one blocker."""
+    mine = Window.partitionBy("form").orderBy("id")
+    # Masters of one text tie: only the k smallest ids can be among the best k.
+    few = masters.of.withColumn("o", F.row_number().over(mine)).filter(F.col("o") <= k).groupBy(F.col("form").alias("s")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = work.keep(few, f"{name}-few")
+    blocks = work.keep(in_blocks(masters), f"{name}-blocks")
+    tops = work.keep(rows_of(blocks, "b").groupBy("g", "b").agg(F.max("w").alias("top")), f"{name}-tops")
+    cells = promising(records, tops, blocks, few, k, work).withColumn("o", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("most"), "b")))
+    cells = work.keep(cells, f"{name}-cells")
+    wave = work.keep(scored(cells.filter(F.col("o") <= WAVE), records, blocks, k), f"{name}-wave")
+    rest = cells.filter(F.col("o") > WAVE).withColumnRenamed("low", "before").join(kth(wave, few, k), "form", "left").withColumn("low", F.greatest("before", F.coalesce("low", F.lit(0.0))))
+    pairs = wave.unionByName(scored(rest.filter(F.col("most") >= F.col("low") - SLACK).select("form", "b", "low"), records, blocks, k))
+    met = rounded(pairs).filter("cos > 0").join(few, "s").select("form", "cos", F.explode("ids").alias("si"))
+    order = Window.partitionBy("form").orderBy(F.desc("cos"), "si")
+    best = met.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < k)
+    return records.of.join(best, "form").select("country", F.col("id").alias("ri"), "si", "cos", "rank")
+
+
+def exact(pairs: DataFrame, records: Side, masters: Side) -> DataFrame:
+    """The pairs (country, ri, si) with cos, worked out once for each pair of texts; 0 where they share no gram."""
+    mine = lambda o, key, form: o.select("country", F.col("id").alias(key), F.col("form").alias(form))
+    met = pairs.join(mine(records.of, "ri", "r"), ["country", "ri"]).join(mine(masters.of, "si", "s"), ["country", "si"])
+    vec = lambda v, form, g, w: v.select(F.col("form").alias(form), F.col("g").alias(g), F.col("w").alias(w))
+    both = met.select("r", "s").distinct().join(vec(records.vectors, "r", "rg", "rw"), "r").join(vec(masters.vectors, "s", "sg", "sw"), "s")
+
+    def run(batches):
+        for b in batches:
+            sides = []
+            for g, w in ((2, 3), (4, 5)):
+                g, w = b.column(g), b.column(w)
+                sides.append((np.repeat(np.arange(b.num_rows), np.diff(g.offsets.to_numpy())), g.flatten().to_numpy(), w.flatten().to_numpy()))
+            (i, g, w), (j, h, u) = sides
+            kinds, code = np.unique(np.concatenate([g, h]), return_inverse=True)
+            a, c = i * len(kinds) + code[: len(g)], j * len(kinds) + code[len(g) :]  # both ascend: pair, then gram
+            at = np.minimum(np.searchsorted(c, a), max(0, len(c) - 1))
+            hit = c[at] == a if len(c) else np.zeros(len(a), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(i[hit], w[hit] * u[at[hit]], b.num_rows))], ["r", "s", "cos"])
+
+    cos = both.select("r", "s", "rg", "rw", "sg", "sw").mapInArrow(run, "r long, s long, cos double")
+    return met.join(cos, ["r", "s"], "left").select("country", "ri", "si", F.coalesce("cos", F.lit(0.0)).alias("cos"))
+
+
+def both_sides(s1: DataFrame, recs: DataFrame, blocker: str, min_df: int, work: Scratch) -> tuple[Side, Side]:
+    """Masters and records with their vectors, written once."""
+    masters, records = side(s1, blocker, work, f"{blocker}-s"), side(recs, blocker, work, f"{blocker}-r")
+    vocab = work.keep(vocabulary(masters, min_df), f"{blocker}-grams")
+    for own, name in ((masters, "s"), (records, "r")):
+        own.vectors = work.keep(vectors(own, vocab), f"{blocker}-{name}-vectors")
+    return masters, records
 
 
 def top_pairs(s1: DataFrame, recs: DataFrame, blocker: str, k: int = 10, min_df: int = 2) -> DataFrame:
-    """country, ri, si, cos, rank: the exact top k of each record; ties by si."""
-    return _top(*gram_weights(s1, recs, blocker, min_df), k)
-
-
-def _top(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    return top_k(rounded(exact(candidates(q, s, k), q, s)).filter("cos > 0"), k)
+    """country, ri, si, cos, rank: the exact top k of each record; ties by si. Written once."""
+    with Scratch(s1.sparkSession) as work:
+        masters, records = both_sides(s1, recs, blocker, min_df, work)
+        return written(top_forms(records, masters, k, work, blocker), f"block-top-{blocker}")
 
 
 def rounded(pairs: DataFrame) -> DataFrame:
@@ -112,15 +219,20 @@ def block(s1: DataFrame, recs: DataFrame, k: int = 10, min_df: int = 2) -> DataF
     """country, ri, si, cos_both, cos_name, rank_both, rank_name: the union of both blockers' top k.
 
     The cosines are exact for every pair, also where only one blocker found it. The pairs are
-    written once.
+    written once, all that leads to them is removed.
     """
-    ids, tables = ["country", "ri", "si"], {b: gram_weights(s1, recs, b, min_df) for b in BLOCKERS}
-    found = {b: written(_top(*t, k), f"block-top-{b}") for b, t in tables.items()}
-    out = found["both"].select(*ids, F.col("cos").alias("cos_both"), F.col("rank").alias("rank_both")).join(found["name"].select(*ids, F.col("cos").alias("cos_name"), F.col("rank").alias("rank_name")), ids, "full_outer")
-    for b in BLOCKERS:  # the other blocker's cosine of pairs that one alone found
-        lone = rounded(exact(out.filter(F.col(f"cos_{b}").isNull()).select(*ids), *tables[b])).withColumnRenamed("cos", "__cos")
-        out = out.join(lone, ids, "left").withColumn(f"cos_{b}", F.coalesce(f"cos_{b}", "__cos", F.lit(0.0))).drop("__cos")
-    return written(out.select(*ids, "cos_both", "cos_name", F.coalesce("rank_both", F.lit(k)).cast("long").alias("rank_both"), F.coalesce("rank_name", F.lit(k)).cast("long").alias("rank_name")), "block-pairs")
+    with Scratch(s1.sparkSession) as work:
+        ids, found, sides = ["country", "ri", "si"], {}, {}
+        for b in BLOCKERS:
+            masters, records = both_sides(s1, recs, b, min_df, work)
+            sides[b] = records, masters
+            found[b] = work.keep(top_forms(records, masters, k, work, b), f"block-top-{b}")
+        out = found["both"].select(*ids, F.col("cos").alias("cos_both"), F.col("rank").alias("rank_both")).join(found["name"].select(*ids, F.col("cos").alias("cos_name"), F.col("rank").alias("rank_name")), ids, "full_outer")
+        out = work.keep(out, "block-union")
+        for b in BLOCKERS:  # the other blocker's cosine of pairs that one alone found
+            lone = rounded(exact(out.filter(F.col(f"cos_{b}").isNull()).select(*ids), *sides[b])).withColumnRenamed("cos", "__cos")
+            out = out.join(lone, ids, "left").withColumn(f"cos_{b}", F.coalesce(f"cos_{b}", "__cos", F.lit(0.0))).drop("__cos")
+        return written(out.select(*ids, "cos_both", "cos_name", F.coalesce("rank_both", F.lit(k)).cast("long").alias("rank_both"), F.coalesce("rank_name", F.lit(k)).cast("long").alias("rank_name")), "block-pairs")
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 512) -> DataFrame:

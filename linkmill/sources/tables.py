@@ -100,14 +100,38 @@ def step(spark: SparkSession, path: str, make, mark: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the folder of spark.checkpoint.dir and read back; only a local master may go without one and get a temporary folder."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local master may go without one and gets one temporary folder."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("linkmill.tables.dir", None)
+    if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        folder = "file://" + tempfile.mkdtemp(prefix="linkmill-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = "file://" + tempfile.mkdtemp(prefix="linkmill-")
+        spark.conf.set("linkmill.tables.dir", path)
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder that only the steps of one job read; they are removed at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
