@@ -1,11 +1,15 @@
-"""Line and passage dedup by winnowing over hashes of lines and of words, in DataFrame functions only."""
+"""Line and passage dedup by winnowing over hashes of lines and of words."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_lookup
+from .bpe import blocks
+from .common import Scratch, resident, salted_lookup
 
 #: Lines of a run, words of a line that is a run by itself, words of a passage, words of a passage's fingerprint.
 RUN, FEW, PASSAGE, GRAM = 2, 3, 50, 10
@@ -19,65 +23,105 @@ def bound(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def window_minima(values: str, width: int) -> str:
-    """SQL: for each value the smallest of the `width` values from it on (fewer at the end), by doubling: O(log width) for a value."""
-    step, out = 1, values
-    while step < width:
-        hop = min(step, width - step)
-        m = f"m{step}"
-        out = bound(out, m, f"zip_with({m}, slice({m}, {hop + 1}, size({m})), (a, b) -> least(a, b))")  # beyond the end b is null, which least() passes over
-        step += hop
-    return out
+#: Multipliers of the two range hashes, odd, and the constants that mix their bits.
+_C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+#: Most words whose hashes a worker remembers; rows that a worker gathers before it passes them on.
+REMEMBER, ROWS = 400_000, 100_000
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    for c in _MIX:
+        x = (x ^ (x >> np.uint64(33))) * c
+    return x ^ (x >> np.uint64(33))
+
+
+class Words(dict):
+    """The hash of each word, worked out once."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
+        got = xxhash.xxh64_intdigest(word)
+        if len(word) < 64:
+            self[word] = got
+        return got
 
-def word_table(text: str = "coalesce(text, '')") -> str:
-    """SQL: struct of t, the words, and s, the places of the words that begin a line; linear in the text."""
-    other = " or ".join(f"contains(x, '{c}')" for c in ("\\t", "\\u000B", "\\u000C", "\\r"))
-    plain = bound(text, "x", f"if({other}, translate(x, '\\t\\u000B\\u000C\\r', '    '), x)")
-    # A blank and one line break before the first word of each line; most texts need no pattern for it.
-    broken = bound(plain, "x", "if(contains(x, '\\n ') or contains(x, '\\n\\n'), regexp_replace(x, ' ?\\n[ \\n]*', ' \\n'), replace(x, '\\n', ' \\n'))")
-    starts = "array_remove(transform(array_remove(array_remove(split(x, ' ', -1), ''), '\\n'), (w, i) -> if(i = 0 or startswith(w, '\\n'), i, -1)), -1)"
-    return bound(broken, "x", f"struct(array_remove(split(replace(x, '\\n', ''), ' ', -1), '') as t, {starts} as s)")
 
+class Ranges:
+    """Two 64-bit hashes of any range of a row of words, in constant time: polynomials whose running sums are subtracted."""
 
-_ROW = "array<struct<start:int,span:bigint,f:bigint,k:bigint>>"
+    def __init__(self, h: np.ndarray):
+        own = (h, mixed(h ^ _MIX[1]))
+        up = [np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(h), c, np.uint64))]) for c in _C]
+        down = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h), pow(int(c), -1, 1 << 64), np.uint64)])) for c in _C]
+        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(x * u[:-1], dtype=np.uint64)]) for x, u in zip(own, up)]
+        self.down = down
 
+    def of(self, start: np.ndarray, words: np.ndarray, which: int) -> np.ndarray:
+        s = self.sums[which]
+        return mixed((s[start + words] - s[start]) * self.down[which][start] + words.astype(np.uint64) * _C[1 - which])
 
-def line_rows(t: str, s: str, run: int, few: int) -> str:
-    """SQL: start, span (words, negative), f and k of each run of lines that is looked for.
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each window of `width` values, by doubling."""
+    step = 1
+    while step < width:
+        hop = min(step, width - step)
+        values = np.minimum(values[: len(values) - hop], values[hop:]) if len(values) > hop else values[:0]
+        step += hop
+    return values
+
+
+def line_rows(r: Ranges, at: np.ndarray, n: np.ndarray, doc: np.ndarray, run: int, few: int):
+    """start, span (words, negative), f and k of each run of lines that is looked for. at, n, doc: the lines' first words, words and documents.
 
     A line of `few` words is a run. Of `run` lines with a shorter one among them, winnowing takes
     the smallest line of each window; its row is the window's.
     """
-    lines = f"zip_with({s}, slice({s}, 2, size({s})), (b, e) -> struct(b as b, coalesce(e, size({t})) - b as n))"
-    keyed = bound(lines, "ls", f"transform(ls, l -> struct(l.b as b, l.n as n, xxhash64(slice({t}, l.b + 1, l.n)) as g, xxhash64(7, slice({t}, l.b + 1, l.n)) as q))")
-    single = "transform(filter(ks, x -> x.n >= {few}), x -> struct(x.b as start, cast(-x.n as bigint) as span, xxhash64(1, x.g) as f, xxhash64(1, x.q) as k))".format(few=few)
-    window = f"slice(ks, i + 1, {run})"
-    several = f"""if(size(ks) < {run}, cast(array() as {_ROW}), transform(
-        filter(sequence(0, size(ks) - {run}), i -> exists({window}, x -> x.n < {few})),
-        i -> struct(get(ks, i).b as start, cast(get(ks, i).b - (get(ks, i + {run - 1}).b + get(ks, i + {run - 1}).n) as bigint) as span,
-                    xxhash64(2, transform({window}, x -> x.g)) as f, xxhash64(2, transform({window}, x -> x.q)) as k)))"""
-    return bound(keyed, "ks", f"concat(cast({single} as {_ROW}), cast({several} as {_ROW}))")
+    g = [r.of(at, n, i) for i in (0, 1)]
+    long = n >= few
+    yield at[long], -n[long], *(x[long] for x in g)
+    first = np.arange(max(0, len(n) - run + 1))
+    first = first[(doc[first] == doc[first + run - 1]) & np.logical_or.reduce([~long[first + j] for j in range(run)])] if len(first) else first
+    keys = [np.full(len(first), 2, np.uint64) for _ in g]
+    for j in range(run):
+        keys = [mixed(k * c + x[first + j]) for k, x, c in zip(keys, g, _C)]
+    end = first + run - 1
+    yield at[first], at[first] - at[end] - n[end], *keys
 
 
-def passage_rows(t: str, size: int, gram: int) -> str:
-    """SQL: start, span, f and k of each block of passages.
+def passage_rows(h: np.ndarray, r: Ranges, end: np.ndarray, size: int, gram: int):
+    """start, span, f and k of each block of passages. end: of each word, where its document's words end.
 
     Each passage of `size` words selects the smallest word hash among those where a run of `gram`
     words fits, the first one among equals. Passages that select one word follow one another; they
     are a block. f is the hash of the selected run, the guaranteed fingerprint; k that of all words
     of the block. span: words * 256 + passages beyond the first.
     """
-    width = size - gram + 1
-    coded = f"transform({t}, (x, i) -> (xxhash64(x) & {~_LOW}L) | i)"
-    # A word that a window has lost never comes back: the distinct minima are the selected words in order.
-    chosen = bound(window_minima(coded, width), "ms", f"array_distinct(slice(ms, 1, size({t}) - {size - 1}))")
-    # A block begins where its word comes into the window, if that is smaller than the one before, or else where the one before goes.
-    begin = lambda j: f"if(get(cs, {j}) < get(cs, {j} - 1), cast(get(cs, {j}) & {_LOW}L as int) - {width - 1}, cast(get(cs, {j} - 1) & {_LOW}L as int) + 1)"
-    blocks = f"transform(cs, (c, j) -> struct(if(j = 0, 0, {begin('j')}) as b, if(j + 1 = size(cs), size({t}) - {size - 1}, {begin('(j + 1)')}) as e, cast(c & {_LOW}L as int) as p))"
-    rows = bound(bound(chosen, "cs", blocks), "ks", f"""transform(ks, x -> struct(x.b as start, cast((x.e - 1 - x.b + {size}) * 256 + (x.e - 1 - x.b) as bigint) as span,
-        xxhash64(slice({t}, x.p + 1, {gram})) as f, xxhash64(slice({t}, x.b + 1, x.e - 1 - x.b + {size})) as k))""")
-    return f"if(size({t}) < {size}, cast(array() as {_ROW}), cast({rows} as {_ROW}))"
+    place = np.arange(len(h))
+    least = window_minima((h & ~np.uint64(_LOW)) | place.astype(np.uint64), size - gram + 1)
+    start = np.flatnonzero(place[: len(least)] + size <= end[: len(least)])
+    if not len(start):
+        return start, start, start.astype(np.uint64), start.astype(np.uint64)
+    p = (least[start] & np.uint64(_LOW)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)])
+    more = np.diff(np.r_[first, len(start)]) - 1
+    return start[first], (more + size) * 256 + more, r.of(p[first], np.full(len(first), gram), 0), r.of(start[first], more + size, 1)
+
+
+def hashed(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts: the hashes of their words, the words of each line that has any, the document of each such line, and the words of each text."""
+    words, lines, doc, sizes = [], [], [], []
+    for i, t in enumerate(texts):
+        before = len(words)
+        for line in t.split(b"\n"):
+            if own := line.split():  # for bytes: the six ASCII white-space characters
+                words += own
+                lines.append(len(own))
+                doc.append(i)
+        sizes.append(len(words) - before)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(lines, np.int64), np.array(doc, np.int64), np.array(sizes, np.int64)
 
 
 def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> DataFrame:
@@ -85,11 +129,24 @@ def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> D
 
     x: a hash of the text; with id and the first word's place it orders places.
     """
-    table = bound(word_table(), "w", f"concat({line_rows('w.t', 'w.s', run, few)}, {passage_rows('w.t', size, gram)})")
-    # The text must not go through the explode, which would copy it for each row.
-    texts = docs.select(F.col("doc_id").alias("id"), F.expr("hash(text)").alias("x"), F.expr(table).alias("rs"))
-    rows = texts.select("id", "x", F.explode_outer("rs").alias("r"))
-    return rows.filter("r is not null").select("id", "x", "r.start", "r.span", "r.f", "r.k")
+    def rows(batches):
+        known = resident(("line-words",), Words)
+        for b in batches:
+            at = 0
+            for texts in blocks(b.column(2).to_pylist()):
+                h, lines, doc, sizes = hashed(texts, known)
+                begin, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+                r = Ranges(h)
+                of = np.repeat(np.arange(len(texts)), sizes)
+                parts = [*line_rows(r, np.cumsum(lines) - lines, lines, doc, run, few), passage_rows(h, r, end[of], size, gram)]
+                start, span, f, k = (np.concatenate(x) for x in zip(*parts))
+                d = of[start]
+                row = pa.array(d + at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array((start - begin[d]).astype(np.int32)), pa.array(span.astype(np.int64)), pa.array(f.view(np.int64)), pa.array(k.view(np.int64))], ["id", "x", "start", "span", "f", "k"])
+                at += len(texts)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select(F.col("doc_id").alias("id"), F.expr("hash(text)").alias("x"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(rows, f"id {kind}, x int, start int, span long, f long, k long")
 
 
 def _start(at: str = "at") -> str:
@@ -130,11 +187,27 @@ def later_passages(docs: DataFrame, blocks: DataFrame, size: int, work: Scratch)
     marks = blocks.groupBy("id", F.expr("cast(shiftright(at, 32) as int)").alias("x")).agg(F.collect_list(F.struct(F.expr(_start()).alias("start"), "more")).alias("bs"))
     texts = docs.select("doc_id", "text", F.expr("hash(text)").alias("tx"))
     met = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("x")))
-    starts = "flatten(transform(bs, b -> sequence(b.start, b.start + b.more)))"
-    hashed = f"transform(({word_table()}).t, t -> xxhash64(t))"
-    found = bound(hashed, "h", f"transform({starts}, s -> struct(s as s, xxhash64(slice(h, s + 1, {size})) as f, xxhash64(7, slice(h, s + 1, {size})) as k))")
+
+    def passages(batches):
+        known, held, n = resident(("line-words",), Words), [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                r = Ranges(hashed([b.column(2)[i].as_py()], known)[0])
+                start, more = (b.column(c)[i].values.to_numpy() for c in (3, 4))
+                s = np.repeat(start - np.cumsum(more + 1) + more + 1, more + 1) + np.arange((more + 1).sum())
+                row = pa.array(np.zeros(len(s), np.int32))
+                held.append([*(b.column(c).slice(i, 1).take(row) for c in (0, 1)), pa.array(s.astype(np.int32)), *(pa.array(r.of(s, np.full(len(s), size), j).view(np.int64)) for j in (0, 1))])
+                n += len(s)
+                if n > ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], ["id", "x", "s", "f", "k"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], ["id", "x", "s", "f", "k"])
+
+    found = met.select("id", "x", F.col("text").cast("binary").alias("t"), F.expr("transform(bs, b -> b.start)").alias("start"), F.expr("transform(bs, b -> b.more)").alias("more"))
+    found = found.mapInArrow(passages, f"id {dict(docs.dtypes)['doc_id']}, x int, s int, f long, k long")
     # Repeated rows give a passage twice at one place: none is later than itself.
-    held = work.keep(met.select("id", "x", F.expr(found).alias("ps")).select("id", "x", F.explode_outer("ps").alias("p")).filter("p is not null").select("id", F.expr("shiftleft(cast(x as bigint), 32) | p.s").alias("at"), "p.f", "p.k"), "passages")
+    held = work.keep(found.select("id", F.expr("shiftleft(cast(x as bigint), 32) | s").alias("at"), "f", "k"), "passages")
     place = F.struct("id", "at")
     first = held.groupBy("f", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     met = salted_lookup(held, first, ["f", "k"], "id").filter(place > F.col("first")).filter(_apart(size))
