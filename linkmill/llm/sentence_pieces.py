@@ -17,7 +17,8 @@ from .bpe import Replay, blocks, worker
 BLANK = "▁"
 #: Most words that a worker remembers, and the longest of them in characters.
 REMEMBER, LONG = 600_000, 48
-
+#: Letters of a word whose agenda is a plain row; bits of a symbol; rank of pairs that make no piece; most pairs that a worker remembers.
+SHORT, WIDE, NEVER, PAIRS = 64, 21, 1 << 40, 800_000
 #: What a control id decodes to until the text is whole: bytes on both sides of it are no letter together.
 CONTROL = "\ud800"
 
@@ -62,6 +63,53 @@ class Vocabulary:
         return [i for s in symbols for i in ((s,) if s < self.size else [self.bytes[b] for b in chr(s - self.size).encode()])]
 
 
+class Pairs(dict):
+    """The rank of each pair of symbols (left << WIDE | right), worked out once; `made` has what a pair makes."""
+
+    def __init__(self, pair):
+        self.pair, self.made = pair, {}
+
+    def __missing__(self, key: int) -> int:
+        got = self.pair(key >> WIDE, key & ((1 << WIDE) - 1))
+        rank = self[key] = NEVER if got is None else got[0]
+        if got is not None:
+            self.made[key] = got[1]
+        return rank
+
+
+class Agenda:
+    """Joins adjacent symbols by score: the best pair first, the leftmost among equals, and only the joined symbol's two neighbours are looked at anew.
+
+    A word's agenda is the row of its pairs' ranks, of which the best is taken; that of a word of over SHORT letters is a heap.
+    """
+
+    def __init__(self, pair, letters):
+        self.pairs, self.letters, self.heap = Pairs(pair), letters, Replay(pair, letters)
+
+    def run(self, words: list[str]) -> list[list[int]]:
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+            self.pairs.made.clear()
+        pairs, made, letter = self.pairs, self.pairs.made, self.letters.__getitem__
+        out = []
+        for w in words:
+            if len(w) > SHORT:
+                out += self.heap.run([w])
+                continue
+            ids = list(map(letter, w))
+            agenda = [pairs[a << WIDE | b] for a, b in zip(ids, ids[1:])]
+            while agenda and (best := min(agenda)) != NEVER:
+                i = agenda.index(best)
+                t = ids[i] = made[ids[i] << WIDE | ids.pop(i + 1)]
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = pairs[ids[i - 1] << WIDE | t]
+                if i < len(agenda):
+                    agenda[i] = pairs[t << WIDE | ids[i + 1]]
+            out.append(ids)
+        return out
+
+
 class Letters(dict):
     """The symbol of each letter: its piece, or a number beyond all pieces."""
 
@@ -87,15 +135,13 @@ def words(text: str, runs=re.compile(r" +[^ ]+| +$").findall) -> list[str]:
 class Encoder:
     """Encodes texts word by word; remembers the ids of at most `remember` words, as decimal numbers.
 
-    The agenda holds all adjacent pairs of symbols that make a piece, by their score; the best
-    is joined first, the leftmost among equals, and only the joined symbol's two neighbours are put on
-    the agenda anew. It works on all new words of a block at once. Every word's ids are compared
-    with those of the library.
+    Every new word goes through the agenda, and its ids are compared with those of the library, a block
+    of new words at a time.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
         self.vocabulary = v = Vocabulary(path)
-        self.agenda, self.remember = Replay(v.pair, Letters(v)), remember
+        self.agenda, self.remember = Agenda(v.pair, Letters(v)), remember
         self.done: dict[str, str] = {}
         self.decimal = {str(i): self.as_text(i) for i in range(v.size)}
 
