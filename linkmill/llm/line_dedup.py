@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import blocks
-from .common import Scratch, resident, salted_lookup
+from .common import Scratch
 
 #: Lines of a run, words of a line that is a run by itself, words of a passage, words of a passage's fingerprint.
 RUN, FEW, PASSAGE, GRAM = 2, 3, 50, 10
@@ -26,8 +27,10 @@ def bound(value: str, name: str, body: str) -> str:
 #: Multipliers of the two range hashes, odd, and the constants that mix their bits.
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-#: Most words whose hashes a worker remembers; rows that a worker gathers before it passes them on.
-REMEMBER, ROWS = 400_000, 100_000
+#: Bytes that are hashed at a time, bytes of several texts that are, and words of more bytes than are hashed by polynomials.
+SEGMENT, BYTES, LONG = 1 << 19, 1 << 20, 256
+#: The six ASCII white-space characters.
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,27 +39,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Words(dict):
-    """The hash of each word, worked out once."""
+@lru_cache(8)
+def powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The first powers of each multiplier and of its inverse."""
+    up = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, c, np.uint64)]) for c in _C]
+    down = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, pow(int(c), -1, 1 << 64), np.uint64)]) for c in _C]
+    return list(zip(up, down))
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        got = xxhash.xxh64_intdigest(word)
-        if len(word) < 64:
-            self[word] = got
-        return got
+def sums(x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of x times powers, from 0 on, and the inverse powers."""
+    up, down = powers(1 << max(12, len(x).bit_length()))[which]
+    return np.r_[np.uint64(0), np.cumsum(x * up[: len(x)], dtype=np.uint64)], down
 
 
 class Ranges:
     """Two 64-bit hashes of any range of a row of words, in constant time: polynomials whose running sums are subtracted."""
 
     def __init__(self, h: np.ndarray):
-        own = (h, mixed(h ^ _MIX[1]))
-        up = [np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(h), c, np.uint64))]) for c in _C]
-        down = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h), pow(int(c), -1, 1 << 64), np.uint64)])) for c in _C]
-        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(x * u[:-1], dtype=np.uint64)]) for x, u in zip(own, up)]
-        self.down = down
+        (a, i), (b, j) = sums(h, 0), sums(mixed(h ^ _MIX[1]), 1)
+        self.sums, self.down = (a, b), (i, j)
 
     def of(self, start: np.ndarray, words: np.ndarray, which: int) -> np.ndarray:
         s = self.sums[which]
@@ -110,18 +112,52 @@ def passage_rows(h: np.ndarray, r: Ranges, end: np.ndarray, size: int, gram: int
     return start[first], (more + size) * 256 + more, r.of(p[first], np.full(len(first), gram), 0), r.of(start[first], more + size, 1)
 
 
-def hashed(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts: the hashes of their words, the words of each line that has any, the document of each such line, and the words of each text."""
-    words, lines, doc, sizes = [], [], [], []
+def segments(data: np.ndarray):
+    """Borders of parts of about SEGMENT bytes that no word crosses."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + SEGMENT)
+        while b < len(data) and not _BLANK[data[b - 1]]:
+            blank = np.flatnonzero(_BLANK[data[b : b + SEGMENT]])
+            b = b + int(blank[0]) + 1 if len(blank) else min(len(data), b + SEGMENT)
+        yield a, b
+        a = b
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts: the hashes of their words, the words of each line that has any, the text of each such line, and the words of each text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    h, at, line, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for a, b in segments(data):
+        part = data[a:b]
+        edge = np.diff(np.r_[True, _BLANK[part], True].astype(np.int8))
+        s, e = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        total, down = sums(part.astype(np.uint64), 0)
+        own = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _C[1])
+        for i in np.flatnonzero(e - s > LONG).tolist():
+            own[i] = xxhash.xxh64_intdigest(part[s[i] : e[i]].tobytes())
+        breaks = np.cumsum(part == 10)
+        h.append(own)
+        at.append(s + a)
+        line.append(breaks[s] + lines)
+        lines += int(breaks[-1])
+    h, at, line = map(np.concatenate, (h, at, line))
+    text = np.searchsorted(begin, at, "right") - 1
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else line
+    return h, np.diff(np.r_[first, len(line)]), text[first], np.bincount(text, minlength=len(texts))
+
+
+def by_bytes(texts: list[bytes]):
+    """Runs of neighbouring texts of about BYTES; a longer text is by itself."""
+    start = size = 0
     for i, t in enumerate(texts):
-        before = len(words)
-        for line in t.split(b"\n"):
-            if own := line.split():  # for bytes: the six ASCII white-space characters
-                words += own
-                lines.append(len(own))
-                doc.append(i)
-        sizes.append(len(words) - before)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(lines, np.int64), np.array(doc, np.int64), np.array(sizes, np.int64)
+        if i > start and size + len(t) > BYTES:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield start, texts[start:]
 
 
 def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> DataFrame:
@@ -130,20 +166,16 @@ def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> D
     x: a hash of the text; with id and the first word's place it orders places.
     """
     def rows(batches):
-        known = resident(("line-words",), Words)
         for b in batches:
-            at = 0
-            for texts in blocks(b.column(2).to_pylist()):
-                h, lines, doc, sizes = hashed(texts, known)
+            for at, texts in by_bytes(b.column(2).to_pylist()):
+                h, lines, doc, sizes = hashed(texts)
                 begin, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
-                r = Ranges(h)
-                of = np.repeat(np.arange(len(texts)), sizes)
+                r, of = Ranges(h), np.repeat(np.arange(len(texts)), sizes)
                 parts = [*line_rows(r, np.cumsum(lines) - lines, lines, doc, run, few), passage_rows(h, r, end[of], size, gram)]
                 start, span, f, k = (np.concatenate(x) for x in zip(*parts))
                 d = of[start]
                 row = pa.array(d + at)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array((start - begin[d]).astype(np.int32)), pa.array(span.astype(np.int64)), pa.array(f.view(np.int64)), pa.array(k.view(np.int64))], ["id", "x", "start", "span", "f", "k"])
-                at += len(texts)
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select(F.col("doc_id").alias("id"), F.expr("hash(text)").alias("x"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(rows, f"id {kind}, x int, start int, span long, f long, k long")
@@ -189,28 +221,27 @@ def later_passages(docs: DataFrame, blocks: DataFrame, size: int, work: Scratch)
     met = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("x")))
 
     def passages(batches):
-        known, held, n = resident(("line-words",), Words), [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                r = Ranges(hashed([b.column(2)[i].as_py()], known)[0])
-                start, more = (b.column(c)[i].values.to_numpy() for c in (3, 4))
-                s = np.repeat(start - np.cumsum(more + 1) + more + 1, more + 1) + np.arange((more + 1).sum())
-                row = pa.array(np.zeros(len(s), np.int32))
-                held.append([*(b.column(c).slice(i, 1).take(row) for c in (0, 1)), pa.array(s.astype(np.int32)), *(pa.array(r.of(s, np.full(len(s), size), j).view(np.int64)) for j in (0, 1))])
-                n += len(s)
-                if n > ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], ["id", "x", "s", "f", "k"])
-                    held, n = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], ["id", "x", "s", "f", "k"])
+            for at, texts in by_bytes(b.column(2).to_pylist()):
+                h, _, _, sizes = hashed(texts)
+                marks = [b.column(c).slice(at, len(texts)) for c in (3, 4)]
+                d = np.repeat(np.arange(len(texts)), np.diff(marks[0].offsets.to_numpy()))
+                start, more = (m.flatten().to_numpy().astype(np.int64) for m in marks)
+                d, s = np.repeat(d, more + 1), np.repeat(start - np.cumsum(more + 1) + more + 1, more + 1) + np.arange((more + 1).sum())
+                r, place, n = Ranges(h), (np.cumsum(sizes) - sizes)[d] + s, np.full(len(s), size)
+                row = pa.array(d + at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(s.astype(np.int32)), *(pa.array(r.of(place, n, j).view(np.int64)) for j in (0, 1))], ["id", "x", "s", "f", "k"])
 
     found = met.select("id", "x", F.col("text").cast("binary").alias("t"), F.expr("transform(bs, b -> b.start)").alias("start"), F.expr("transform(bs, b -> b.more)").alias("more"))
     found = found.mapInArrow(passages, f"id {dict(docs.dtypes)['doc_id']}, x int, s int, f long, k long")
-    # Repeated rows give a passage twice at one place: none is later than itself.
     held = work.keep(found.select("id", F.expr("shiftleft(cast(x as bigint), 32) | s").alias("at"), "f", "k"), "passages")
+    often = work.keep(held.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "passages-often")
+    held = work.keep(held.join(often.hint("shuffle_hash"), "f", "left_semi"), "passages-rows")
+    work.drop("passages", "passages-often")
     place = F.struct("id", "at")
+    # Repeated rows give a passage twice at one place: none is later than itself.
     first = held.groupBy("f", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
-    met = salted_lookup(held, first, ["f", "k"], "id").filter(place > F.col("first")).filter(_apart(size))
+    met = held.join(first.hint("shuffle_hash"), ["f", "k"]).filter(place > F.col("first")).filter(_apart(size))
     return met.select("id", "at", F.lit(size).alias("words"))
 
 
@@ -223,7 +254,7 @@ def repeated_ranges(docs: DataFrame, run: int = RUN, few: int = FEW, size: int =
         blocks = work.keep(blocks, "line-blocks")
         work.drop("line-rows", "line-groups", "line-later")
         every = later.unionByName(work.keep(later_passages(docs, blocks, size, work), "passage-ranges"))
-        work.drop("passages", "line-blocks")
+        work.drop("passages-rows", "line-blocks")
         ends = every.select("id", F.expr("cast(shiftright(at, 32) as int)").alias("x"), F.expr(_start()).alias("b"), F.expr(f"{_start()} + words").alias("e"))
         one = Window.partitionBy("id", "x").orderBy("b", "e")
         new = ends.withColumn("new", F.coalesce(F.col("b") > F.max("e").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
