@@ -22,12 +22,14 @@ from .quality import is_held_out, labelled
 REACH, DECAY = 3, 0.7
 #: Letters of a piece: longer words are cut, and every two neighbouring pieces are looked at together.
 PIECE = 20
-#: Classes of letters: a to z, and folded classes for all other letters.
-CLASSES = 48
+#: Classes of letters: the border before a piece, a to z, and folded classes for all other letters.
+CLASSES, BORDER = 48, 0
 #: Landmarks; labelled rows that the fit gathers at most; pieces of clean rows in the first round and those added in each further one.
-LANDMARKS, MAX_ROWS, PLAIN, HARD = 48, 4000, 8000, 2000
+LANDMARKS, MAX_ROWS, PLAIN, HARD = 64, 4000, 8000, 4000
 #: A toxic piece stands in this many toxic rows at least, and in this many times as many of them as of clean rows; two landmarks agree less than UNLIKE.
 SEEN, TIMES, UNLIKE = 2, 20, 0.6
+#: Landmarks of clean words that come nearest, and how much two of all landmarks may agree then.
+CLEAN, CLOSE = 48, 0.9
 #: Rounds of the fit, steps of the SVM in each, its ridge, and the value from which a piece counts as evidence besides the worst one.
 ROUNDS, STEPS, RIDGE, HALF = 3, 500, 1e-4, 0.0
 #: A missed toxic row counts as much as this many clean rows taken for toxic.
@@ -52,7 +54,8 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Classes of a text's letters, the number of the piece and of the sentence that each is of, and its place in the text.
 
     A sentence ends at a line break, or at . ! ? before white space. Marks and digits are left out, so a
-    marked word is whole again; single letters in a row are one piece. Letters beyond the plane count as none.
+    marked word is whole again; single letters in a row are one piece. A piece begins with BORDER, a
+    letter of its own: subsequences that hold it tell how words begin. Letters beyond the plane count as none.
     """
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(c):
@@ -69,7 +72,9 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     size = np.diff(np.r_[first, len(kind)])
     single = (size == 1) & np.r_[False, (size[:-1] == 1) & (at[first[1:]] == at[first[:-1]])]
     within = np.arange(len(kind)) - np.repeat(np.maximum.accumulate(np.where(single, 0, first)), size)
-    return kind, np.cumsum(within % PIECE == 0) - 1, at, place
+    begin = np.flatnonzero(within % PIECE == 0)
+    border = lambda x, new: np.insert(x, begin, new)
+    return border(kind, BORDER), border(np.cumsum(within % PIECE == 0) - 1, np.arange(len(begin))), border(at, at[begin]), border(place, place[begin])
 
 
 def chains(kind: np.ndarray, gap: int):
@@ -137,7 +142,7 @@ def in_pieces(kind: np.ndarray, word: np.ndarray, at: np.ndarray, weigh) -> tupl
     joined = own[:-1] + own[1:] + over[1:]
     joined[at[first[1:]] != at[first[:-1]]] = 0
     total = np.concatenate([own, joined])
-    norm = np.maximum(scales(2 * PIECE)[np.r_[size, size[:-1] + size[1:]]], 1e-6)
+    norm = np.maximum(scales(2 * PIECE + 2)[np.r_[size, size[:-1] + size[1:]]], 1e-6)
     return total / norm.reshape(-1, *[1] * (total.ndim - 1)), first
 
 
@@ -153,17 +158,51 @@ def parts(texts: list[str]):
         yield i, t[start:]
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+
+
+class Sentences:
+    """The sentences of labelled rows as bags of words: all distinct words, each sentence's words, and each row's sentences."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.of, sizes, rows = [], [], []
+        for i, t in enumerate(texts):
+            for s in _SENTENCE.split(t.lower()):
+                if own := {w[j : j + PIECE] for w in _WORD.findall(s) for j in range(0, len(w), PIECE)}:
+                    self.of += sorted(number.setdefault(w, len(number)) for w in own)
+                    sizes.append(len(own))
+                    rows.append(i)
+        self.words, self.of, self.rows = list(number), np.array(self.of, np.int64), np.array(rows, np.int64)
+        self.first = np.cumsum([0, *sizes])[:-1].astype(np.int64)
+
+    def in_rows(self, keep: np.ndarray) -> np.ndarray:
+        """In how many of the rows `keep` each word stands."""
+        sizes = np.diff(np.r_[self.first, len(self.of)])
+        row = np.repeat(self.rows, sizes)
+        pairs = np.unique(row[keep[row]] * len(self.words) + self.of[keep[row]])
+        return np.bincount(pairs % max(1, len(self.words)), minlength=len(self.words))
+
+    def worst(self, value: np.ndarray) -> np.ndarray:
+        """The word of the largest value in each sentence, the first among equals."""
+        own = value[self.of]
+        top = np.maximum.reduceat(own, self.first)
+        hit = np.flatnonzero(own == np.repeat(top, np.diff(np.r_[self.first, len(own)])))
+        sentence = np.searchsorted(self.first, hit, "right") - 1
+        return self.of[hit[np.unique(sentence, return_index=True)[1]]]
+
+
 class Model:
     """Scores a text by its worst pieces; the machine's weights of all landmarks are summed for each subsequence."""
 
     def __init__(self):
         self.marks: list[str] = []
         self.table = np.zeros(CLASSES**3, np.float32)
-        self.bias, self.trust = -1.0, np.array([1.0, 0.0, 0.0, -2.0])
+        self.bias, self.trust = -1.0, np.array([1.0, 0.0, 0.0, 0.0, -2.0])
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Of each whole text: its worst piece's value, how far its pieces exceed HALF altogether, and that for a piece."""
-        best, more, n = np.full(len(texts), self.bias), np.zeros(len(texts)), np.zeros(len(texts))
+        """Of each whole text: the values of its worst piece and of its worst two neighbours joined, how far its pieces exceed HALF altogether, and that for a piece."""
+        best, pair_best, more, n = np.full(len(texts), self.bias), np.full(len(texts), self.bias), np.zeros(len(texts)), np.zeros(len(texts))
         held, size = [], 0
         for part in [*parts(texts), None]:
             if held and (part is None or size + len(part[1]) > BLOCK):
@@ -173,71 +212,91 @@ class Model:
                     ends = np.cumsum([len(s.lower()) + 1 for _, s in held])
                     of = np.array([i for i, _ in held])[np.searchsorted(ends, place[first], "right")]
                     pair = at[first[1:]] == at[first[:-1]]
-                    of, value = np.concatenate([of, of[1:][pair]]), np.concatenate([value[: len(first)], value[len(first) :][pair]]) + self.bias
-                    np.maximum.at(best, of, value)
-                    more += np.bincount(of, np.maximum(0, value - HALF), len(texts))
+                    own, joined = value[: len(first)] + self.bias, value[len(first) :][pair] + self.bias
+                    np.maximum.at(best, of, own)
+                    np.maximum.at(pair_best, of[1:][pair], joined)
+                    more += np.bincount(of, np.maximum(0, own - HALF), len(texts))
                     n += np.bincount(of, minlength=len(texts))
                 held, size = [], 0
             if part is not None:
                 held.append(part)
                 size += len(part[1])
-        return np.c_[best, np.log1p(more), 100 * more / (n + 50)]
+        return np.c_[best, pair_best, np.log1p(more), 100 * more / (n + 50)]
 
-    def fit(self, texts: list[str], y: list[int]) -> Model:
-        y = np.array(y, bool)
-        # Sentences with their rows' labels; the pieces that each class's rows have.
-        bad, good = Counter(), Counter()
-        for t, label in zip(texts, y):
-            (bad if label else good).update({w[i : i + PIECE] for w in _WORD.findall(t.lower()) for i in range(0, len(w), PIECE)})
-        seeds = [w for w, n in sorted(bad.items(), key=lambda p: (-p[1], p[0])) if n >= SEEN and n >= TIMES * good[w] and phi(w)]
-        if not seeds or not good:
-            return self
-        chosen: list[tuple[str, dict]] = []
-        for w in seeds:
-            if len(chosen) < LANDMARKS and all(agree(phi(w), o) < UNLIKE for _, o in chosen):
-                chosen.append((w, phi(w)))
-        maps = [m for _, m in chosen]
-        norm = [math.sqrt(dot(m, m)) for m in maps]
-        codes = sorted({c for m in maps for c in m})
+    def space(self, chosen: list[dict], words: list[str]) -> np.ndarray:
+        """The words in the Nystroem space of the landmarks; a word without letters is at its origin."""
+        norm = [math.sqrt(dot(m, m)) for m in chosen]
+        codes = sorted({c for m in chosen for c in m})
         row = np.zeros(CLASSES**3, np.int32)
         row[codes] = np.arange(1, len(codes) + 1)
-        weight = np.zeros((len(codes) + 1, len(maps)))
-        for j, m in enumerate(maps):
+        weight = np.zeros((len(codes) + 1, len(chosen)), np.float32)
+        for j, m in enumerate(chosen):
             for c, v in m.items():
                 weight[row[c], j] = v / norm[j]
-        e, u = np.linalg.eigh(np.array([[agree(a, b) for b in maps] for a in maps]))
+        e, u = np.linalg.eigh(np.array([[agree(a, b) for b in chosen] for a in chosen]))
         keep = e > 1e-3
-        nystroem = u[:, keep] / np.sqrt(e[keep])
-
-        def features(words):
-            out = [np.zeros((0, nystroem.shape[1]))]
-            for i in range(0, len(words), 2000):
-                kind, word, at, _ = letters("\n".join(words[i : i + 2000]))
-                value, first = in_pieces(kind, word, at, lambda c: weight[row[c]])
-                out.append(value[: len(first)] @ nystroem)
-            return np.vstack(out)
-
-        known = [w for w in good if 2 < len(w) and w.isalpha()]
-        rank = sorted(known, key=lambda w: (-good[w], w))[: PLAIN // 2]
-        rank += sorted(set(known) - set(rank), key=lambda w: zlib.crc32(w.encode()))[: PLAIN // 2]
-        pos, neg = features(seeds), features(rank)
-        every = features(known)
-        cost_of = np.sqrt([bad[w] for w in seeds])
-        v = np.zeros(pos.shape[1])
-        for _ in range(ROUNDS):
-            x, t = np.vstack([pos, neg]), np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-            cost = np.r_[cost_of / cost_of.sum() / 2, np.full(len(neg), 1 / max(1, len(neg)))]
+        nystroem = (u[:, keep] / np.sqrt(e[keep])).astype(np.float32)
+        self.maps = weight, nystroem, row
+        x = np.zeros((len(words), nystroem.shape[1]), np.float32)
+        known = np.array([i for i, w in enumerate(words) if any(ord(c) < 1 << 16 and classes()[ord(c)] for c in w)])
+        for i in range(0, len(known), 2000):
+            kind, word, at, _ = letters("\n".join(words[j] for j in known[i : i + 2000]))
+            value, first = in_pieces(kind, word, at, lambda c: weight[row[c]])
+            x[known[i : i + 2000]] = value[: len(first)] @ nystroem
+        return x
+
+    def fit(self, texts: list[str], y: list[int]) -> Model:
+        """Multiple instances: of a toxic row the worst sentence is toxic, of a clean row all sentences are clean; a sentence is as bad as its worst word."""
+        y = np.array(y, bool)
+        if not y.any() or y.all():
+            return self
+        data = Sentences(texts)
+        bad, good = data.in_rows(y), data.in_rows(~y)
+        odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((~y).sum() + 1))
+        seeds = [i for i in np.lexsort((np.array(data.words), -bad)) if bad[i] >= SEEN and bad[i] >= TIMES * good[i]] if data.words else []
+        chosen: list[dict] = []
+        for i in seeds:
+            m = phi(data.words[i])
+            if m and len(chosen) < LANDMARKS and all(agree(m, o) < UNLIKE for o in chosen):
+                chosen.append(m)
+                self.marks.append(data.words[i])
+        if not chosen:
+            return self
+        x = self.space(chosen, data.words)
+        plain = np.array(sorted(np.flatnonzero(good > 0), key=lambda i: zlib.crc32(data.words[i].encode()))[:PLAIN])
+        toxic, v = y[data.rows], np.zeros(x.shape[1])
+        value = np.where((bad >= SEEN) & (bad >= TIMES * good), odds, -np.inf)
+        for turn in range(ROUNDS):
+            # The machine so far, at first the words' odds, says which sentence of a toxic row is meant and which clean sentences come near.
+            worst = data.worst(value)
+            order = np.lexsort((-value[worst[toxic]], data.rows[toxic]))
+            pos = worst[toxic][order[np.unique(data.rows[toxic][order], return_index=True)[1]]]
+            pos = pos[value[pos] > (-np.inf if turn else 0)]
+            near = np.unique(worst[~toxic])
+            neg = np.concatenate([plain, near[np.argsort(-value[near], kind="stable")[:HARD]]])
+            s = np.concatenate([x[pos], x[neg]]).astype(np.float64)
+            t = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
+            cost = np.r_[np.full(len(pos), 0.5 / max(1, len(pos))), np.full(len(plain), 0.5 / max(1, len(plain))), np.full(len(neg) - len(plain), 0.5 / max(1, len(neg) - len(plain)))]
             m, q = np.zeros_like(v), np.zeros_like(v)
             for step in range(1, STEPS + 1):  # squared hinge, Adam
-                d = -2 * (cost * t * np.maximum(0, 1 - t * (x @ v + self.bias))) @ x + 2 * RIDGE * v
+                d = -2 * (cost * t * np.maximum(0, 1 - t * (s @ v + self.bias))) @ s + 2 * RIDGE * v
                 m, q = 0.9 * m + 0.1 * d, 0.999 * q + 0.001 * d * d
                 v = v - 0.05 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(q) + 1e-8)
-            neg = np.vstack([neg, every[np.argsort(-(every @ v), kind="stable")[:HARD]]])
-        self.marks = [w for w, _ in chosen]
+            value = x @ v
+            if turn == 0:  # clean words that come near are landmarks too
+                near = [phi(data.words[i]) for i in near[np.argsort(-value[near], kind="stable")[: 8 * CLEAN]]]
+                before = len(chosen)
+                for m in near:
+                    if m and len(chosen) < before + CLEAN and all(agree(m, o) < CLOSE for o in chosen):
+                        chosen.append(m)
+                x = self.space(chosen, data.words)
+                v = np.zeros(x.shape[1])
+        weight, nystroem, row = self.maps
         self.table = np.r_[0.0, weight[1:] @ (nystroem @ v)].astype(np.float32)[row]
+        del self.maps
         # All gathered rows set how much the evidence counts and where one half lies.
         x = np.c_[self.evidence(texts), np.ones(len(texts))]
-        c, g, share = np.zeros(4), np.zeros(4), np.where(y, WEIGHT, 1.0)
+        c, g, share = np.zeros(5), np.zeros(5), np.where(y, WEIGHT, 1.0)
         for _ in range(3000):  # logistic, Adagrad
             d = (share * (1 / (1 + np.exp(-np.clip(x @ c, -30, 30))) - y)) @ x / share.sum()
             g += d * d
@@ -246,8 +305,8 @@ class Model:
         return self
 
     def scores(self, texts: list[str]) -> list[float]:
-        x = self.evidence(texts) if self.marks else np.tile([self.bias, 0.0, 0.0], (len(texts), 1))
-        return (1 / (1 + np.exp(-np.clip(x @ self.trust[:3] + self.trust[3], -30, 30)))).tolist()
+        x = self.evidence(texts) if self.marks else np.tile([self.bias, self.bias, 0.0, 0.0], (len(texts), 1))
+        return (1 / (1 + np.exp(-np.clip(x @ self.trust[:4] + self.trust[4], -30, 30)))).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
@@ -258,12 +317,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
-    A whole text is cut into sentences, sentences into pieces (words without
-    their marks, and every two neighbours joined, so that a split word is whole again), and a text has the
-    score of its worst piece and of how many others are like it. The kernel of every piece with every landmark
-    is exact: its subsequences have bounded steps, so each letter ends nine of them, and the machine's
-    value is a sum of one table's entries. The model has a fixed size and learns from at most MAX_ROWS labelled
-    rows, each sentence with its row's label.
+    The machine learns from sentences: every sentence of a clean row is clean, of a toxic row the worst one is
+    toxic, which the machine itself chooses anew in each round; a sentence is as bad as its worst word. A whole
+    text is scored by its worst piece, its worst two neighbours joined (so that a split word is whole again), and how
+    many pieces are like it. The kernel of every piece with every landmark is exact: its subsequences have
+    bounded steps, so each letter ends nine of them, and the machine's value is a sum of one table's
+    entries. Landmarks are words of toxic rows and the clean words that come nearest to them. The model has a
+    fixed size and learns from at most MAX_ROWS labelled rows.
 
     Null or empty text has no sentence and the score of no resemblance, a low one; without labels of
     both kinds every score is that. Very long texts are worked on in blocks. Ties

@@ -275,16 +275,17 @@ def test_kernel_of_pieces_against_brute_force():
         kind, word, at, _ = toxicity.letters(" ".join(words))
         got, first = toxicity.in_pieces(kind, word, at, table.__getitem__)
         assert len(first) == len(words)
-        for k, x in zip(got, words + [a + b for a, b in zip(words, words[1:])]):
-            want = sum(v * slow(mark).get(u, 0) for u, v in slow(x).items())
+        for k, x in zip(got, [f"^{a}" for a in words] + [f"^{a}^{b}" for a, b in zip(words, words[1:])]):
+            want = sum(v * slow(f"^{mark}").get(u, 0) for u, v in slow(x).items())
             assert abs(k - (want / squares(len(x)) ** 0.5 if len(x) > 2 else 0)) < 1e-4, (x, mark)
 
 
 def test_letters_and_parts():
     kind, word, at, _ = toxicity.letters("I d.i o-t 12!\nÉ ab")
-    assert "".join(chr(96 + k) for k in kind) == "idioteab"
-    assert word.tolist() == [0, 1, 1, 2, 2, 3, 4, 4] or word.tolist()[-3:] == [word[-3], word[-2], word[-2]]
-    assert at.tolist() == [0] * 5 + [at[5]] * 3 and at[5] > 0
+    assert "".join("^" if k == toxicity.BORDER else chr(96 + k) for k in kind) == "^i^di^ot^e^ab"
+    assert word.tolist() == [0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 4, 4, 4]
+    assert at.tolist() == [0] * 8 + [at[8]] * 5 and at[8] > 0
+    assert "".join("^" if k == toxicity.BORDER else chr(96 + k) for k in toxicity.letters("an i d i o t")[0]) == "^an^idiot"
     long = " ".join(f"w{i}" for i in range(30_000))
     cut = [s for _, s in toxicity.parts([long])]
     assert len(cut) > 2 and all(len(s) <= toxicity.BLOCK for s in cut)
@@ -312,7 +313,7 @@ def test_toxicity_held_out(spark, held_out_rows):
     got = toxicity.toxicity(df, labels).join(labels, "doc_id").join(df.select("doc_id", "text"), "doc_id").filter("held_out").collect()
     assert all(zlib.crc32(str(x.doc_id).encode()) % 5 == 0 for x in got)
     bad, fine = [x for x in got if x.toxic == 1], [x for x in got if x.toxic == 0]
-    assert sum(x.predicted for x in bad) / len(bad) >= 0.6 and sum(x.predicted for x in fine) / len(fine) <= 0.02
+    assert sum(x.predicted for x in bad) / len(bad) >= 0.88 and sum(x.predicted for x in fine) / len(fine) <= 0.02
     insulting = [x for x in bad if re.search("idiot|moron|stupid|trash", x.text.lower())]
     assert len(insulting) > 30 and all(x.predicted for x in insulting)
 
@@ -328,6 +329,14 @@ def test_classifiers_of_odd_rows(spark, held_out_rows):
         assert f(odd.limit(0), labels).count() == 0
 
 
+def test_sentences_of_labelled_rows():
+    data = toxicity.Sentences(["Ab cd. Ab ef!\ngh", "", "cd 12 cd", "..."])
+    assert data.words == ["ab", "cd", "ef", "gh"] and data.rows.tolist() == [0, 0, 0, 2]
+    assert data.in_rows(np.array([True, True, False, True])).tolist() == [1, 1, 1, 1] and data.in_rows(np.array([False, False, True, False])).tolist() == [0, 1, 0, 0]
+    value = np.array([0.0, 1.0, 2.0, -5.0])
+    assert [data.words[i] for i in data.worst(value)] == ["cd", "ef", "gh", "cd"]
+
+
 def test_split_and_marked_insults_are_toxic():
     bad = ["you idiot here", "what a stupid loser", "moron and idiot", "stupid moron", "idiot loser"] * 6
     fine = ["the quick brown fox went home", "some plain words about weather today", "reading about editions and patios"] * 12
