@@ -45,8 +45,8 @@ def sampling_key(text):
     return -F.log(unit) / quality_weight(text)
 
 
-def mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row.
+def mix(docs: DataFrame, buckets: int = BUCKETS, with_hash: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row; with_hash: and text_hash.
 
     A source first gives whole epochs (each document once), then documents in the order of
     their key -ln(u) / weight until the budget is filled; the last one counts in part. u is a
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", F.col("source").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        sampling_key(text).alias("__key"),
+        sampling_key(text).alias("__key"), F.xxhash64("text").alias("text_hash"),
     # At rate LEAST no bucket holds more than 1 / LEAST times its share of a source, whatever the weights.
     ).withColumn("__b", F.floor((1 - F.exp(-F.col("__key") * LEAST)) * buckets).cast("int"))
     rows = materialise(rows, "mix")  # texts are read once
@@ -79,4 +79,17 @@ def mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     whole = got.filter("__how <> 2").withColumn("__part", F.when(F.col("__how") == 1, F.col("size")).otherwise(F.lit(0)))
     return whole.unionByName(edge).select(
         "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("__epochs") * F.col("size") + F.col("__part")).cast("long").alias("taken"))
+        (F.col("__epochs") * F.col("size") + F.col("__part")).cast("long").alias("taken"), *["text_hash"] * with_hash)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them: once for each whole epoch, and a part counts from one half on.
+
+    Rows that repeat doc_id, source and text share their copies evenly, rounded. Null texts and texts
+    without words are not taken; very long ones count whole. A null doc_id or source is one like any other. Empty table: empty result.
+    """
+    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))
+    taken = mix(docs, with_hash=True).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), "text_hash").agg(F.round(F.avg(times)).cast("int").alias("times")).filter("times > 0")
+    held = docs.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").alias("did"), F.col("source").alias("src"), F.xxhash64("text").alias("h"))
+    met = held.join(taken.hint("shuffle_hash"), F.col("did").eqNullSafe(F.col("id")) & F.col("src").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text_hash")))
+    return met.withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select([F.col("d")[c].alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, salted_lookup
@@ -38,13 +38,13 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long). Null text has no word."""
+    """doc_id, xx (a hash of the text), fp (the 64 bits as a signed long). Null text has no word."""
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], ["doc_id", "xx", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.xxhash64("text").alias("xx")).mapInArrow(run, "doc_id long, xx long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -95,6 +95,14 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and fp, low, root: the smallest doc_id of each fingerprint and the smallest fingerprint that it reaches."""
+    rows = materialise(fingerprints(docs), "simhash")
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(links(first.select("fp")))
+    return rows, first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row.
 
@@ -104,10 +112,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     as often as they come; an empty table gives an empty result;
     a null doc_id never names a component while another is there. Other columns are not read.
     """
-    rows = materialise(fingerprints(docs), "simhash")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(first.select("fp")))
-    named = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rows, named = classes(docs)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     table = salted_lookup(named.select("fp", "root"), lowest, "root", "fp").select("fp", "component_id")
     return salted_lookup(rows, table, "fp", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs of each group of near copies, with all its columns: that of the smallest doc_id (null is the largest), of the smallest text hash then; of rows that repeat both any one.
+
+    The rest as near_dedup has it: null and empty texts are one group, very long ones are read whole, an empty table gives no row.
+    """
+    rows, named = classes(docs)
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xx")).alias("row"))
+    chosen = named.select("fp", "root").join(least, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("id"), F.col("row.xx").alias("xx"))
+    held = docs.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").alias("did"), F.xxhash64("text").alias("h"))
+    met = held.join(chosen.hint("shuffle_hash"), F.col("did").eqNullSafe(F.col("id")) & (F.col("h") == F.col("xx")))
+    one = Window.partitionBy("did", "h").orderBy("h")  # takes the first row that comes, before rows are sent
+    return met.withColumn("o", F.row_number().over(one)).filter("o = 1").select([F.col("d")[c].alias(c) for c in docs.columns])

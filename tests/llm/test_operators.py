@@ -363,7 +363,41 @@ def test_pipeline_stages(spark):
             docs_ = out.cache()
             assert 0 < docs_.count() <= 2 * source.count()
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns) and out.count() == docs_.count()
-    assert p.STAGES[0][1](spark, source.limit(0), d).count() == 0
+    for _, stage in p.STAGES:
+        assert stage(spark, source.limit(0), d).count() == 0
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    import corpus_pipeline as p
+
+    d, stages = "/root/testdata/sf0.001", dict(p.STAGES)
+    good = spark.read.parquet(f"{d}/documents.parquet").filter("n_chars > 2000").first().text
+    rows = [(1, good), (1, good), (2, good), (None, good), (None, good), (None, None), (7, None), (8, ""), (9, " \n "), (10, "w " * 60_000), (11, good[::-1])]
+    odd = spark.createDataFrame([(i, t, None, s, 0, "x", "y", "z", "k", 1) for (i, t), s in zip(rows, ["a", "a", "a", None, None, "b", "b", "b", None, "a", "b"])],
+                                "doc_id long, text string, lang string, source string, n_chars long, fp string, times string, id string, __k string, copy int").repartition(3)
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, odd, d)
+        assert out.columns == odd.columns and out.count() >= 0, name
+    one = stages["SimHash near-dedup"](spark, odd, d).collect()
+    assert sorted(x.doc_id for x in one if x.text == good) == [1] and sum(not (x.text or "").strip() for x in one) == 1 and len(one) == 4
+    mixed = stages["mixing sources to target weights"](spark, odd, d).collect()
+    assert all((x.text or "").strip() for x in mixed) and max(sum(y == x for y in mixed) for x in mixed) <= 4
+    two = spark.createDataFrame([(1, "a b c", "s"), (1, "d " * 500, "s"), (2, "e " * 30, "t")], "doc_id long, text string, source string")
+    taken = {x.text_hash: x.taken for x in __import__("linkmill.llm.mixing", fromlist=["mix"]).mix(two, with_hash=True).collect()}
+    assert len(taken) == 3  # rows that share a doc_id keep their own counts
+
+
+def test_pipeline_runs_over_a_small_table(spark, tmp_path):
+    import shutil
+
+    import corpus_pipeline as p
+
+    d = str(tmp_path / "sf")
+    shutil.copytree("/root/testdata/sf0.001", d)
+    out = p.run(spark, d).toPandas()
+    source = spark.read.parquet(f"{d}/documents.parquet")
+    assert list(out.columns) == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < len(out) <= 2 * source.count()
+    assert set(out.doc_id) <= {x.doc_id for x in source.select("doc_id").collect()} and out.n_tokens.min() > 0
 
 
 def test_worker_keeps_one_state_and_restores_collection():
