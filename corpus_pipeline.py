@@ -16,7 +16,11 @@ REMEMBER = 150_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null text is scored as the empty one, very long texts are read whole, repeated rows fare alike, a null doc_id
+    makes no difference. Empty table: no rows. Columns of any name pass through.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,19 +31,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest doc_id; a row without doc_id stays."""
-    same = simhash.near_dedup(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(same, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near copies stays, as simhash.keep_one has it for every case; rows that repeat a doc_id, or have none, are copies like others."""
+    return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands once for every epoch of it that the mix takes; a part counts from one half on."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(docs.columns)
+    """Each row stands once for every epoch of it that the mix takes, as mixing.repeated has it for every case."""
+    return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix, as encoding_digests has it for every case."""
     return bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remember=REMEMBER)
 
 
