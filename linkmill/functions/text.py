@@ -81,18 +81,6 @@ def raw_tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"[\s,.;:()\[\]{}\"'|/\\-]+"), lambda t: t != "")
 
 
-def apply_token_map(c: Column, mapping: Column) -> Column:
-    mapped = F.array_join(F.transform(raw_tokens(c), lambda t: F.coalesce(F.element_at(mapping, t), t)), " ")
-    return F.when(has_non_latin(c) & (F.cardinality(mapping) > 0), mapped).otherwise(c)
-
-
-def map_coverage(c: Column, mapping: Column) -> Column:
-    """Share of a name's non-Latin tokens that the map knows; NULL for Latin names."""
-    foreign = F.filter(raw_tokens(c), has_non_latin)
-    known = F.filter(foreign, lambda t: F.map_contains_key(mapping, t))
-    return F.when(F.size(foreign) > 0, F.size(known) / F.size(foreign))
-
-
 def token_count(c: Column) -> Column:
     return F.when(c == "", 0).otherwise(F.size(F.split(c, " "))).cast("long")
 

@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from .decide import best_per_record
 
 
-def leave_one_out(pairs: DataFrame) -> DataFrame:
-    """The pairs once for each country held out, as view; train marks the rows of the other countries."""
-    views = pairs.select(F.col("country").alias("view")).distinct()
-    return pairs.join(F.broadcast(views)).withColumn("train", F.col("country") != F.col("view"))
+def leave_one_out(pairs: DataFrame) -> dict:
+    """For each country its view of the pairs, with train: the rows of the other countries. The views are filters over one table, nothing is copied."""
+    held = [r.country for r in pairs.select("country").distinct().orderBy("country").collect()]  # a row for each country
+    return {c: pairs.withColumn("train", ~F.col("country").eqNullSafe(F.lit(c))) for c in held}
+
+
+def view_sizes(pairs: DataFrame) -> DataFrame:
+    """view, n, train of all views, from one count by country."""
+    n = pairs.groupBy(F.col("country").alias("view")).agg(F.count(F.lit(1)).alias("own"))
+    every = n.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("n"))  # one row
+    return n.join(F.broadcast(every)).select("view", "n", (F.col("n") - F.col("own")).alias("train"))
+
+
+def drop_masters(pairs: DataFrame, share: float = 0.19) -> DataFrame:
+    """The pairs of the masters that stay when a hash takes away `share` of them: their records become ones without a master."""
+    return pairs.filter(F.pmod(F.col("si") * F.lit(2246822519), F.lit(1 << 32)) % 1_000_000 >= int(share * 1e6))
 
 
 def clones(best: DataFrame, truth: DataFrame, share: float, shift: int, p_min: float = 0.5) -> DataFrame:

@@ -177,6 +177,18 @@ def token_map_votes(spark, d):
     return tokenstats.token_votes(p, purity=0.1, foreign=lambda c: F.lit(True))
 
 
+MAPPED = """p AS (SELECT p_partkey AS id, string_split(p_brand || ' ' || p_type || ' ' || p_name, ' ') AS l FROM part), r AS (SELECT id, unnest(l) AS tok, generate_subscripts(l, 1) AS place FROM p),
+m AS (SELECT lower(w) AS latin, w AS tok FROM (SELECT DISTINCT p_brand AS w FROM part WHERE p_partkey % 2 = 0))"""
+
+
+@query(f"WITH {MAPPED} SELECT id, string_agg(coalesce(latin, r.tok), ' ' ORDER BY place) AS name, round(count(latin) / count(*), 6) AS map_cov FROM r LEFT JOIN m ON r.tok = m.tok GROUP BY 1")
+def token_map_applied(spark, d):
+    p = table(spark, d, "part")
+    names = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("name"))
+    mapping = p.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("tok"), F.lower("p_brand").alias("latin")).distinct()
+    return tokenstats.mapped_names(names, mapping, foreign=lambda c: F.lit(True)).withColumn("map_cov", F.round("map_cov", 6))
+
+
 # --- blocking
 
 @query(f"WITH {ENT}, {NAME} SELECT ri, si, cos, rank FROM n_top")
@@ -400,15 +412,15 @@ def clone_density(spark, d):
     return views.clones(decide.best_per_record(scores(spark, d)), truth(spark, d).select("ri"), 0.9, 10_000_000)
 
 
-P_MINS, GATES = (0.02, 0.3), (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+P_MINS, GATES = (0.3, 0.5), (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 F_OF = "CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END"
 HYBRIDS = f"""{SCORES}, {BEST}, {TRUTH}, mass AS (SELECT si, sum(p) AS n_hat FROM pr GROUP BY si),
-e1 AS (SELECT best.*, x.p_min, n_hat, row_number() OVER w AS m, sum(p) OVER w AS cs FROM best JOIN mass USING (si), (SELECT unnest([0.02::DOUBLE, 0.3::DOUBLE]) AS p_min) x WHERE p >= x.p_min WINDOW w AS (PARTITION BY x.p_min, si ORDER BY p DESC, ri ROWS UNBOUNDED PRECEDING)),
+e1 AS (SELECT best.*, x.p_min, n_hat, row_number() OVER w AS m, sum(p) OVER w AS cs FROM best JOIN mass USING (si), (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE]) AS p_min) x WHERE p >= x.p_min WINDOW w AS (PARTITION BY x.p_min, si ORDER BY p DESC, ri ROWS UNBOUNDED PRECEDING)),
 e2 AS (SELECT *, 1.25 * cs / (m + 0.25 * greatest(n_hat, cs)) AS ef FROM e1), e3 AS (SELECT *, max(ef) OVER (PARTITION BY p_min, si) AS top FROM e2),
 e4 AS (SELECT *, min(m) FILTER (WHERE ef >= top - 1e-12) OVER (PARTITION BY p_min, si) AS star FROM e3),
 kept AS (SELECT e4.ri, e4.si, p_min, max(p) OVER (PARTITION BY p_min, e4.si) AS lead, t.si IS NOT NULL AS hit FROM e4 LEFT JOIN truth t ON t.ri = e4.ri AND t.si = e4.si WHERE m <= star),
 counts AS (SELECT p_min, gate, si, count(*) AS n_pred, count(*) FILTER (WHERE hit) AS tp FROM kept, (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in GATES)}]) AS gate) WHERE lead >= gate GROUP BY 1, 2, 3),
-grid AS (SELECT p_min, gate FROM (SELECT unnest([0.02::DOUBLE, 0.3::DOUBLE]) AS p_min), (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in GATES)}]) AS gate)),
+grid AS (SELECT p_min, gate FROM (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE]) AS p_min), (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in GATES)}]) AS gate)),
 cells AS (SELECT g.p_min, g.gate, e.id AS si, (SELECT count(*) FROM truth x WHERE x.si = e.id) AS n_true, coalesce(c.n_pred, 0) AS n_pred, coalesce(c.tp, 0) AS tp FROM ent e CROSS JOIN grid g LEFT JOIN counts c ON c.si = e.id AND c.p_min = g.p_min AND c.gate = g.gate WHERE e.m),
 hybrids AS (SELECT p_min, gate, round(avg({F_OF}), 6) AS f05 FROM cells GROUP BY 1, 2)"""
 
@@ -435,11 +447,12 @@ def weighted_f05(spark, d):
     return decide.weighted_f05(_confusion(spark, d), n)
 
 
-LOGITS = f"{CANDS}, z AS (SELECT ri, si, round(8 * cos_name - 3, 6) AS z FROM cands WHERE cos_name > 0.2), zf AS (SELECT c.ri, c.si, z, coalesce(z, -20) AS zz FROM cands c LEFT JOIN z ON c.ri = z.ri AND c.si = z.si)"
+LOGITS = f"{CANDS}, z AS (SELECT ri, si, round(8 * cos_name - 3, 6) AS z FROM cands WHERE cos_name > 0.2)"
 
 
-@query(f"""WITH {LOGITS} SELECT ri, si, round(1 / (1 + exp(-z)), 6) AS ce_p, round(z - CASE WHEN row_number() OVER w = 1 THEN nth_value(zz, 2) OVER u ELSE first_value(zz) OVER u END, 6) AS ce_gap, row_number() OVER w - 1 AS ce_rank FROM zf
-WINDOW w AS (PARTITION BY ri ORDER BY zz DESC, si), u AS (PARTITION BY ri ORDER BY zz DESC, si ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+@query(f"""WITH {LOGITS}, g AS (SELECT ri, si, z, row_number() OVER w AS o, nth_value(z, 2) OVER u AS second, first_value(z) OVER u AS first FROM z
+WINDOW w AS (PARTITION BY ri ORDER BY z DESC, si), u AS (PARTITION BY ri ORDER BY z DESC, si ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT c.ri, c.si, round(1 / (1 + exp(-z)), 6) AS ce_p, round(z - coalesce(CASE WHEN o = 1 THEN second ELSE first END, -20), 6) AS ce_gap, o - 1 AS ce_rank FROM cands c LEFT JOIN g ON c.ri = g.ri AND c.si = g.si""")
 def logit_features(spark, d):
     c = candidates(spark, d)
     z = c.filter("cos_name > 0.2").select("ri", "si", F.round(8 * F.col("cos_name") - 3, 6).alias("z"))
@@ -482,7 +495,13 @@ def context_subset(spark, d):
 @query("SELECT v.view, count(*) AS n, count(*) FILTER (WHERE lang <> v.view) AS train FROM documents, (SELECT DISTINCT lang AS view FROM documents) v GROUP BY 1")
 def loco_split(spark, d):
     p = table(spark, d, "documents").select(F.col("lang").alias("country"))
-    return views.leave_one_out(p).groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("train"), 1)).alias("train"))
+    return views.view_sizes(p)
+
+
+@query("SELECT l_orderkey AS ri, l_partkey AS si, count(*) AS n FROM lineitem WHERE (l_partkey * 2246822519) % 4294967296 % 1000000 >= 190000 GROUP BY 1, 2")
+def drop_view(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("ri"), F.col("l_partkey").cast("long").alias("si"))
+    return views.drop_masters(p).groupBy("ri", "si").agg(F.count(F.lit(1)).alias("n"))
 
 
 ROUTED = "CASE WHEN list_has_any(list_transform(regexp_extract_all(r.addr, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')), list_transform(regexp_extract_all(s.addr, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0'))) THEN 0.65 ELSE 0.95 END"

@@ -7,20 +7,105 @@ import json
 import tempfile
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["entity_id", "business_name", "business_address", "country"]
 
 
+def quoted_after(line: str, inside: bool, sep: str = "\t", quote: str = '"') -> bool:
+    """Whether a quoted field is open at the end of a line that began with one open or not. Only a field that begins with the quote is quoted; a doubled quote inside one is a letter."""
+    at, n = 0, len(line)
+    while True:
+        if not inside:
+            while not line.startswith(quote, at):  # on to the next field
+                at = line.find(sep, at) + 1
+                if not at:
+                    return False
+            at += 1
+        inside = True
+        while True:
+            at = line.find(quote, at)
+            if at < 0:
+                return True
+            if line.startswith(quote, at + 1):
+                at += 2
+                continue
+            break
+        at = line.find(sep, at + 1) + 1
+        inside = False
+        if not at or at > n:
+            return False
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split (where it starts), i (in order within a split), line."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (of the record in its file, from 0), record: the text of each record, whose quoted fields may hold line breaks.
+
+    One large file is read by many tasks. A split does not know whether it begins inside a quoted field, so
+    it is looked at for both cases: how it ends and how many records begin in it. These few numbers of
+    each split, chained in the order of splits, say which case holds and how many records come before.
+    A record of one line needs no shuffle; only lines of the others are gathered.
+    """
+    def walk(batches, emit):
+        now, state, begun = None, [False, True], [0, 0]
+        for b in batches:
+            out = []
+            for file, split, i, line in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, split) != now:
+                    if now is not None and not emit:
+                        out.append((*now, *state, *begun))
+                    now, state, begun = (file, split), [False, True], [0, 0]
+                begun = [n + (not s) for n, s in zip(begun, state)]
+                before = state
+                state = [quoted_after(line, s) for s in state] if '"' in line else state
+                if emit:
+                    out.append((file, split, i, line, *before, *state, *begun))
+            if out:
+                yield out
+        if now is not None and not emit:
+            yield [(*now, *state, *begun)]
+
+    def both(emit, schema, names):
+        def run(batches):
+            for out in walk(batches, emit):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+        return _lines(spark, path).mapInArrow(run, schema)
+
+    ends = both(False, "file string, split long, e0 boolean, e1 boolean, n0 long, n1 long", ["file", "split", "e0", "e1", "n0", "n1"])
+
+    def chain(part):
+        inside, base, rows = False, 0, []
+        for x in part.sort_values("split").itertuples():
+            rows.append((x.file, x.split, inside, base))
+            inside, base = (x.e1, base + x.n1) if inside else (x.e0, base + x.n0)
+        return pd.DataFrame(rows, columns=["file", "split", "inside", "base"])
+
+    starts = written(ends.groupBy("file").applyInPandas(chain, "file string, split long, inside boolean, base long"), "splits")  # a row for each split
+    every = both(True, "file string, split long, i long, line string, b0 boolean, b1 boolean, a0 boolean, a1 boolean, n0 long, n1 long", ["file", "split", "i", "line", "b0", "b1", "a0", "a1", "n0", "n1"])
+    pick = lambda x: F.when(F.col("inside"), F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
+    met = every.join(starts.withColumnsRenamed({"file": "f", "split": "s"}), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).select(
+        "file", "split", "i", "line", (F.col("base") + pick("n") - 1).alias("n"), (~pick("b") & ~pick("a")).alias("whole"))
+    many = met.filter("not whole").groupBy("file", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "i", "line"))), lambda x: x["line"]), "\n").alias("record"))
+    return met.filter("whole").select("file", "n", F.col("line").alias("record")).unionByName(many)
+
+
 def _tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    opts = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
-    found = spark.read.options(**opts).csv(path).columns
-    if found != columns:
-        raise ValueError(f"{path}: columns {found}, expected {columns}")
+    opts = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\u0001"}
+    rows = records(spark, path).filter("record not in ('', '\r')").withColumn("record", F.regexp_replace("record", "\r$", ""))
     schema = ", ".join(f"{c} string" for c in columns)
-    df = spark.read.schema(schema).options(**opts).csv(path)
-    return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+    parsed = rows.select("n", F.from_csv("record", schema, opts).alias("c")).select("n", "c.*")
+    head = parsed.filter("n = 0").select(columns).distinct().limit(2).collect()
+    if [list(h) for h in head] != [columns]:
+        raise ValueError(f"{path}: columns {[list(h) for h in head]}, expected {columns}")
+    return parsed.filter("n > 0").select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +172,7 @@ class StaleArtifact(Exception):
 
 
 def step(spark: SparkSession, path: str, make, mark: str) -> DataFrame:
-    """A table kept at `path`: made and written if missing, read if its mark agrees, refused otherwise."""
+    """A table kept at `path`: made and written if missing, read if its mark agrees, refused otherwise, also if it has no mark."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path + ".meta.json")
     files = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if files.exists(fs_path):
@@ -95,7 +180,9 @@ def step(spark: SparkSession, path: str, make, mark: str) -> DataFrame:
         if had != mark:
             raise StaleArtifact(path)
         return spark.read.parquet(path)
-    make().write.mode("overwrite").parquet(path)
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        raise StaleArtifact(f"{path}: no mark tells what this was made from")
+    make().write.parquet(path)
     write_json(spark, path + ".meta.json", {"fingerprint": mark})
     return spark.read.parquet(path)
 

@@ -160,7 +160,7 @@ def test_edit_operations_against_brute_force(spark):
 
 def test_gap_against_brute_force(spark):
     r = random.Random(1)
-    rows = [(i, r.randrange(50), float(r.randrange(20))) for i in range(3000)]
+    rows = [(i, r.randrange(37), float(r.randrange(11))) for i in range(1234)]
     gap, rank, n = windows.gap_to_best_other(F.col("v"), "k", "i")
     got = spark.createDataFrame(rows, "i long, k long, v double").repartition(7).select("i", gap.alias("g"), rank.alias("r"), n.alias("n")).collect()
     by = {i: (k, v) for i, k, v in rows}
@@ -172,11 +172,11 @@ def test_gap_against_brute_force(spark):
 
 
 def test_decisions(spark):
-    p = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.6), (1, 0, 0.8), (2, 1, 0.2)], "ri long, si long, p double")
-    assert decide.best_per_record(p).count() == 3
-    assert {r.si for r in decide.apply_decision(p, {"rule": "hybrid", "p_min": 0.1, "gate": 0.75}).collect()} == {0}
-    ties = spark.createDataFrame([(0, 3, 0.9), (0, 1, 0.9), (1, 2, 0.7), (1, 0, 0.7)], "ri long, si long, p double")
-    assert {(r.ri, r.si) for r in decide.best_per_record(ties.repartition(3)).collect()} == {(0, 1), (1, 0)}
+    p = spark.createDataFrame([(41, 7, 0.31), (41, 9, 0.88), (42, 9, 0.97), (43, 7, 0.44), (44, 8, 0.12)], "ri long, si long, p double")
+    assert decide.best_per_record(p).count() == 4
+    assert {r.si for r in decide.apply_decision(p, {"rule": "hybrid", "p_min": 0.2, "gate": 0.66}).collect()} == {9}
+    ties = spark.createDataFrame([(5, s, 0.55) for s in (61, 60, 77)] + [(6, s, 0.21) for s in (99, 12)], "ri long, si long, p double")
+    assert {(r.ri, r.si) for r in decide.best_per_record(ties.repartition(3)).collect()} == {(5, 60), (6, 12)}
     for rule in ({"rule": "threshold", "t": 0.5}, {"rule": "expected"}, {"rule": "hybrid", "p_min": 0.3, "gate": 0.5}):
         assert decide.apply_decision(p.limit(0), rule).count() == 0
     with pytest.raises(ValueError):
@@ -216,6 +216,10 @@ def test_step_refuses_stale(spark, tmp_path):
     assert tables.step(spark, path, make, "m1").count() == tables.step(spark, path, make, "m1").count() == 3
     with pytest.raises(tables.StaleArtifact):
         tables.step(spark, path, make, "m2")
+    spark.range(5).write.parquet(f"{tmp_path}/bare")
+    with pytest.raises(tables.StaleArtifact):
+        tables.step(spark, f"{tmp_path}/bare", make, "m1")
+    assert spark.read.parquet(f"{tmp_path}/bare").count() == 5
     a = spark.createDataFrame([(1, 1, 5)], "ri long, si long, x long")
     assert tables.aligned(a, a.withColumnRenamed("x", "y")).count() == 1
     with pytest.raises(ValueError):
@@ -284,6 +288,17 @@ def test_saved_models_rules_and_maps(spark, tmp_path):
     assert rule == {"rule": "hybrid", "p_min": 0.1, "gate": 0.6} and tokens.collect() == mapping.collect()
     same = lambda m: {(x.ri, x.si): x.p for x in matcher.predict(f, m).collect()}
     assert same(again) == same(models)
+    import shutil
+
+    for folds, columns in ((3, None), (1, None)):
+        with pytest.raises(tables.StaleArtifact):
+            matcher.load_models(f"{tmp_path}/m/models", folds, columns)
+    matcher.save_models(models, f"{tmp_path}/n", ["good", "noise"])
+    with pytest.raises(tables.StaleArtifact):
+        matcher.load_models(f"{tmp_path}/n", 2, ["good"])
+    shutil.rmtree(f"{tmp_path}/n/fold-1")
+    with pytest.raises(tables.StaleArtifact):
+        matcher.load_models(f"{tmp_path}/n", 2)
 
 
 def test_best_rule_of_both_sweeps(spark):
@@ -313,3 +328,74 @@ def test_top_pairs_with_many_twins_and_single_grams(spark):
         got.setdefault(x.ri, []).append((x.rank, x.si))
     assert [i for _, i in sorted(got[1000])] == list(range(1, 20, 2)) and [i for _, i in sorted(got[1001])] == list(range(0, 20, 2))
     assert len(got[1002]) == 10 and 1003 not in got
+
+
+def test_one_file_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Records with quoted line breaks, tabs and quotes, cut anywhere by the splits."""
+    r = random.Random(12)
+    pieces = ["x", "word ", "\n", "\n\n", "\t", '"', "é", "\r\n", ",", "ends\\n"]
+    rows = [(f"k{i}", "".join(r.choices(pieces, k=r.randrange(12))), r.choice(["", "plain", '5" pipe', "a\nb"]), r.choice(["no", "is"])) for i in range(700)]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in "\n\r\t") or v[:1] == '"' or r.random() < 0.2 else v
+    text_ = "\t".join(tables.COLUMNS) + "\n" + "".join("\t".join(map(quoted, row)) + "\n" for row in rows)
+    (tmp_path / "s.tsv").write_text(text_, newline="")
+    want = sorted(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert tables._lines(spark, str(tmp_path / "s.tsv")).rdd.getNumPartitions() > 20
+        got = sorted(tuple(x) for x in tables.read_source(spark, str(tmp_path / "s.tsv")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+    assert sorted(tuple(x) for x in tables.read_source(spark, str(tmp_path / "s.tsv")).collect()) == want
+
+
+@pytest.mark.parametrize("line, inside, after", [("a\tb", False, False), ('a\t"b', False, True), ('b"\tc', True, False), ('b""', True, True), ('5" x\ty', False, False), ('"a""b"\t"', False, True), ('""', False, False), ('"', True, False), ('"x"y"\tz', False, False)])
+def test_quoted_after(line, inside, after):
+    assert tables.quoted_after(line, inside) is after
+
+
+def test_group_ranks_in_many_ranges(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, 1.5, float(r.randrange(60)), r.random()])) for i in range(2000)] + [(9999, "alone", 3.0), (9998, "none", None)]
+    df = spark.createDataFrame(rows, "i long, g string, v double").repartition(6)
+    got = {x.i: x.q for x in windows.quantile_rank(df, "g", "v", "q").collect()}
+    assert len(got) == len(rows)
+    by = {}
+    for _, g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    for i, g, v in rows:
+        own = by.get(g, [])
+        want = None if v is None else (sum(x < v for x in own) + (own.count(v) - 1) / 2) / max(1, len(own) - 1)
+        assert near(got[i], want), (g, v)
+    plan = windows.quantile_rank(df, "g", "v", "q")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__range" in plan
+
+
+def test_mapped_names_with_a_large_mapping(spark):
+    mapping = spark.range(300_000).select(F.concat(F.lit("т"), "id").alias("tok"), F.concat(F.lit("t"), "id").alias("latin")).unionByName(spark.createDataFrame([("Мир", "mir")], "tok string, latin string"))
+    names = spark.createDataFrame([(1, "Мир т299999, Кафе Bar"), (2, "plain Bar"), (3, "Кафе"), (4, ""), (5, None), (6, "т7 т7")], "id long, name string")
+    got = {x.id: (x.name, x.map_cov) for x in tokenstats.mapped_names(names, mapping).collect()}
+    assert got == {1: ("mir t299999 Кафе Bar", 2 / 3), 3: ("Кафе", 0.0), 6: ("t7 t7", 1.0)}
+
+
+def test_normalise_joins_the_map_and_refuses_a_second(spark):
+    from linkmill.plans import linkage
+
+    source = spark.createDataFrame([("1", "Мир Bakery", "1 quay", "no"), ("2", "Kelp", "2 quay", "no"), ("3", None, None, "no")], "entity_id string, business_name string, business_address string, country string")
+    mapping = spark.createDataFrame([("Мир", "mir", 4)], "tok string, latin string, n long")
+    once = linkage.normalise(source, mapping)
+    got = {x.id: (x.name, x.name_nonlatin, x.name_mapped, x.map_cov) for x in once.collect()}
+    assert got == {"1": ("mir bakery", True, True, 1.0), "2": ("kelp", False, False, None), "3": ("", False, False, None)}
+    again = source.join(once.select(F.col("id").alias("entity_id"), "name_mapped"), "entity_id")
+    with pytest.raises(ValueError):
+        linkage.normalise(again, mapping)
+
+
+def test_logits_are_ranked_among_pairs_that_have_one(spark):
+    pairs = spark.createDataFrame([(1, s) for s in range(4)] + [(2, 0)], "ri long, si long")
+    z = spark.createDataFrame([(1, 1, -25.0), (1, 3, 2.0), (2, 0, 0.5), (7, 7, 1.0)], "ri long, si long, z double")
+    got = {(x.ri, x.si): (x.ce_rank, x.ce_gap) for x in windows.logit_features(pairs, z).collect()}
+    assert got == {(1, 0): (None, None), (1, 2): (None, None), (1, 1): (1, -27.0), (1, 3): (0, 27.0), (2, 0): (0, 20.5)}
