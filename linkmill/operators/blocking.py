@@ -189,7 +189,7 @@ def exact(pairs: DataFrame, records: Side, masters: Side) -> DataFrame:
             a, c = i * len(kinds) + code[: len(g)], j * len(kinds) + code[len(g) :]  # both ascend: pair, then gram
             at = np.minimum(np.searchsorted(c, a), max(0, len(c) - 1))
             hit = c[at] == a if len(c) else np.zeros(len(a), bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(i[hit], w[hit] * u[at[hit]], b.num_rows))], ["r", "s", "cos"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(i[hit], w[hit] * u[at[hit]], b.num_rows).astype(np.float64))], ["r", "s", "cos"])
 
     cos = both.select("r", "s", "rg", "rw", "sg", "sw").mapInArrow(run, "r long, s long, cos double")
     return met.join(cos, ["r", "s"], "left").select("country", "ri", "si", F.coalesce("cos", F.lit(0.0)).alias("cos"))
@@ -238,9 +238,9 @@ def block(s1: DataFrame, recs: DataFrame, k: int = 10, min_df: int = 2) -> DataF
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 512) -> DataFrame:
     """qi, vi, rank, cos: exact cosine top k of a stated query set against all vectors; zero vectors have cosine 0.
 
-    The queries are dealt into blocks of about block_rows, each of which meets all vectors in blocks:
-    a task holds one block of queries and one batch of vectors and keeps its own k best, and the
-    partial results are merged by a window.
+    The queries are dealt into blocks of about block_rows, each of which meets all vectors in cells. Both the
+    block and the cell are the key, so few queries are not few tasks: a task holds one block of queries and one
+    cell of vectors and keeps its own k best, and the partial results are merged by a window.
     """
     import numpy as np
     import pandas as pd
@@ -250,7 +250,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows:
     held = deal(queries, "b", n).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("qs"))
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cells = deal(vectors, "p", 4 * parts).groupBy("p", F.pmod(F.xxhash64("v"), F.lit(64)).alias("o")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
-    met = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(held, "b")
+    met = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(held.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(4 * parts - 1)))), ["b", "p"])
 
     def unit(rows):
         m = np.array([r["v"] for r in rows], np.float64)

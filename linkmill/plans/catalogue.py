@@ -480,6 +480,14 @@ def gbt_predict(spark, d):
     return matcher.predict(f, matcher.fit_folds(f))
 
 
+@query()
+def boosted_scores(spark, d):
+    """ri, si, y, p out of fold: second-order trees over the blocked pairs' cosines, ranks and context; a higher cosine never lowers p."""
+    f = windows.add_context(candidates(spark, d).drop("country")).join(truth(spark, d).withColumn("y", F.lit(1)), ["ri", "si"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    f = linkage.written(f, "boosted")
+    return matcher.out_of_fold(f, matcher.fit_boosted(f, 2, rounds=6, depth=4, step=0.3, monotone={"cos_both": 1, "cos_name": 1}))
+
+
 # --- views and routing
 
 @query("""WITH w AS (SELECT event_id, user_id, value, row_number() OVER o - 1 AS rank, first_value(value) OVER f AS v1, nth_value(value, 2) OVER f AS v2 FROM events WHERE event_type IN ('view', 'click')
