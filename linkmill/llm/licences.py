@@ -50,7 +50,8 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     Neighbouring diagonals of a notice merge into one span (words put in or left out), which
     counts if it holds COVER of the notice's k-grams. score is the best span's share.
 
-    Null text is empty: no words, labels empty strings, score 0, first and last null. A text of
+    Null text is empty: no words, labels empty strings, score 0, first and last null. Very long texts are
+    scanned whole. A text of
     fewer than K words has no hit. Repeated rows with one doc_id and text give one row.
     Empty table: empty result. Other columns are not read.
     """

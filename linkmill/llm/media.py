@@ -135,7 +135,7 @@ def by_range(manifest: DataFrame, folder: str, whole: bool) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and the place of each row's image.
 
-    Null text is empty and gives one row of blanks. Equal texts (and texts that differ only in
+    Null text is empty and gives one row of blanks; a very long text is one image, held whole in its task. Equal texts (and texts that differ only in
     trailing blanks up to the padding) share one image in a shard, and all values but n_bytes
     depend on the payload alone. Repeated rows are returned as often as they come. The manifest
     is written before it is read back. Empty table: empty result. Other columns are not read.

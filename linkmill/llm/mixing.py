@@ -53,8 +53,9 @@ def mix(docs: DataFrame, buckets: int = BUCKETS, with_hash: bool = False) -> Dat
     hash of doc_id and the text, so reruns agree. The key's buckets are summed first, and only
     the rows of the bucket in which the budget ends are sorted: no task sorts a source.
 
-    Null text has size 0 and takes 0. A null source is a source of its own, last. Equal keys
-    (repeated rows) are taken in any order with equal sums. Empty table: empty result.
+    Null text has size 0 and takes 0; very long texts are counted whole. A null source is a source of its own, last; a
+    null doc_id is one like any other. Equal keys (repeated rows) are taken in any order with equal
+    sums. Empty table: empty result. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
