@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .romanise import let, plain, romanised
+
 #: Address components that mean "missing".
 MISSING = ("null", "none", "n/a", "na", "nil", "-")
 #: Digits that stand for letters, and the letters.
@@ -17,39 +16,31 @@ SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d",
 
 
 def _accents() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, from Unicode's decompositions."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
+    """Accented small Latin letters and their base letters, from Unicode's decompositions."""
+    pairs = [(chr(c), plain(chr(c))) for c in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and b.isascii() and b.islower()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 ACCENTED, PLAIN = _accents()
 
 
-def _romanised(s: pd.Series) -> pd.Series:
-    """Letters beyond Latin: compatibility form, base letters, and else the name's last word as a spelling."""
-    def one(c: str) -> str:
-        if c.isascii():
-            return c
-        if unicodedata.category(c)[0] in "PSZ":
-            return " "
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())
-        if base or unicodedata.category(c)[0] == "M":
-            return base
-        return "".join(x for x in unicodedata.name(c, "").rsplit(" ", 1)[-1].lower() if x.isascii() and x.isalnum())
-
-    return s.map(lambda t: "".join(map(one, unicodedata.normalize("NFKC", t))), na_action="ignore")
-
-
 def latin(c: Column) -> Column:
-    """Lower-case Latin spelling; only texts with letters beyond extended Latin are sent to Python."""
+    """Lower-case Latin spelling. ASCII texts are lowered only; those with letters beyond extended Latin are romanised by tables, also in the JVM."""
     low = F.lower(c)
     for a, b in SPELLED.items():
         low = F.replace(low, F.lit(a), F.lit(b))
-    easy = F.translate(F.regexp_replace(low, r"[\p{P}\p{S}&&[^\x00-\x7F]]", " "), ACCENTED.lower(), PLAIN.lower())
-    # A Python function sees every row whatever stands around it, so the others are sent as NULL.
-    far = F.when(easy.rlike(r"[^\x00-\x7F]"), easy)
-    return F.coalesce(F.lower(F.pandas_udf(_romanised, "string")(far)), easy)
+    easy = F.translate(F.regexp_replace(low, r"[\p{P}\p{S}&&[^\x00-\x7F\u2116\u2120-\u2122\u213B]]", " "), ACCENTED, PLAIN)
+    far = let(easy, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.lower(romanised(t))).otherwise(t))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), far).otherwise(F.lower(c))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility form, by the ICU library that Spark brings along. NULL stays NULL.
+
+    Spark takes calls by name as not deterministic, so filters are not pushed below a column made by it.
+    """
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))).otherwise(c)
 
 
 def clean_tokens(c: Column) -> Column:
@@ -78,7 +69,8 @@ def tokens(c: Column) -> Column:
 
 
 def raw_tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"[\s,.;:()\[\]{}\"'|/\\-]+"), lambda t: t != "")
+    """Parts of the compatibility form between blanks and marks."""
+    return F.filter(F.split(nfkc(c), r"[\s,.;:()\[\]{}\"'|/\\-]+"), lambda t: t != "")
 
 
 def token_count(c: Column) -> Column:

@@ -189,6 +189,61 @@ def token_map_applied(spark, d):
     return tokenstats.mapped_names(names, mapping, foreign=lambda c: F.lit(True)).withColumn("map_cov", F.round("map_cov", 6))
 
 
+#: Latin letters of the tables' names and the Cyrillic and Greek ones that are spelled by them.
+FOREIGN = (("abvgdeziyklmnoprstuf", "абвгдезийклмнопрстуф"), ("abgdeziklmnxoprstu", "αβγδεζικλμνξοπρστυ"))
+WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+ASCII = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def foreign_sql(x: str) -> str:
+    return f"translate({x}, '{FOREIGN[0][0]}', '{FOREIGN[0][1]}')"
+
+
+@query("SELECT p_partkey, lower(p_name) AS cyrillic, lower(p_name) AS greek, lower(p_name) AS wide, true AS foreign FROM part")
+def romanised_names(spark, d):
+    """Names written in Cyrillic, Greek and full-width letters come back in Latin ones."""
+    p = table(spark, d, "part").select("p_partkey", *[F.translate(F.lower("p_name"), *pair).alias(k) for k, pair in zip(("cyrillic", "greek", "wide"), (*FOREIGN, (ASCII, WIDE)))])
+    return p.select("p_partkey", *[text.norm_name(F.col(c)).alias(c) for c in ("cyrillic", "greek", "wide")], (text.has_non_latin(F.col("cyrillic")) & text.has_non_latin(F.col("greek"))).alias("foreign"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_type || ' ' || p_name || '/' || p_brand, '[ /]'), lambda t: t <> ''), '|') AS toks, len(list_filter(regexp_split_to_array(p_type || ' ' || p_name || '/' || p_brand, '[ /]'), lambda t: t <> '')) AS n FROM part")
+def raw_name_tokens(spark, d):
+    """Full-width names, slash and blank in their full-width forms as well, in parts of their compatibility form."""
+    p = table(spark, d, "part").select("p_partkey", F.translate(F.concat_ws(" ", "p_type", F.concat_ws("/", "p_name", "p_brand")), ASCII + " ", WIDE + "\u3000").alias("w"))
+    t = p.select("p_partkey", text.raw_tokens(F.col("w")).alias("t"))
+    return t.select("p_partkey", F.array_join("t", "|").alias("toks"), F.size("t").cast("long").alias("n"))
+
+
+# Every second word's first two letters in Cyrillic stand for it: words of one beginning share their votes.
+VOTES = f"""p AS (SELECT p_partkey AS entity, list_filter(string_split({NORM.format(x='p_name')}, ' '), lambda t: t <> '') AS a FROM part),
+w AS (SELECT entity, unnest(a) AS latin, generate_subscripts(a, 1) AS place FROM p),
+v AS (SELECT entity, latin, {foreign_sql('left(latin, 2)')} AS tok FROM w WHERE place % 2 = 0),
+n AS (SELECT tok, latin, count(*) AS n, count(DISTINCT entity) AS e FROM v WHERE regexp_matches(tok, '[\\p{{Cyrillic}}]') GROUP BY 1, 2),
+votes AS (SELECT tok, latin, n FROM (SELECT *, sum(n) OVER (PARTITION BY tok) AS s FROM n) WHERE n >= 3 AND n / s >= 0.6 AND e >= 3)"""
+
+
+def foreign_pairs(spark, d) -> DataFrame:
+    """entity, s1_name, rec_name."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("s1_name"))
+    words = F.transform(F.split(F.lower("s1_name"), " "), lambda w, i: F.when(i % 2 == 1, F.translate(F.substring(w, 1, 2), *FOREIGN[0])).otherwise(w))
+    return p.withColumn("rec_name", F.array_join(words, " "))
+
+
+@query(f"WITH {VOTES} SELECT tok, latin, n FROM votes")
+def foreign_token_votes(spark, d):
+    return tokenstats.token_votes(foreign_pairs(spark, d))
+
+
+@query(f"""WITH {VOTES}, r AS (SELECT entity AS id, place, CASE WHEN place % 2 = 0 THEN {foreign_sql('left(latin, 2)')} ELSE latin END AS tok FROM w)
+SELECT id, string_agg(coalesce(latin, r.tok), ' ' ORDER BY place) AS name, round(count(latin) / count(*) FILTER (WHERE regexp_matches(r.tok, '[\\p{{Cyrillic}}]')), 6) AS map_cov
+FROM r LEFT JOIN votes ON r.tok = votes.tok GROUP BY 1 HAVING count(*) FILTER (WHERE regexp_matches(r.tok, '[\\p{{Cyrillic}}]')) > 0""")
+def foreign_names_mapped(spark, d):
+    """The learned map applied to the foreign names that it was learned from."""
+    p = foreign_pairs(spark, d)
+    got = tokenstats.mapped_names(p.select(F.col("entity").alias("id"), F.col("rec_name").alias("name")), tokenstats.token_votes(p))
+    return got.withColumn("map_cov", F.round("map_cov", 6))
+
+
 # --- blocking
 
 @query(f"WITH {ENT}, {NAME} SELECT ri, si, cos, rank FROM n_top")
