@@ -1,8 +1,8 @@
 """Romanisation in column functions: letters are spelled by tables that Unicode's own names give, nothing leaves the JVM.
 
-A spelling is a head of one character and a tail. Tails are put behind their letters first, one pass for all
-letters of the same tail; then one `translate` turns every letter into its head. What depends on neighbours
-(inherent vowels, doubled consonants, small kana, nasals) is a pattern before or after that.
+A text is taken apart into characters and each is looked up by its code in one table of pages. What depends on
+neighbours (inherent vowels, doubled consonants, small kana, nasals) is left as a control character in the
+spelling, and a few patterns over these settle it; texts without them are done after the look-up.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Cyrillic letters and their spellings; the other alphabets are spelled by the names of their letters.
-CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёђѓєѕіїјљњћќўџґ", "a b v g d e zh z i y k l m n o p r s t u f kh ts ch sh shch _ y _ e yu ya yo dj gj ye dz i yi j lj nj c kj u dz g".split()))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёђѓєѕіїјљњћќўџґ", "a b v g d e zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya yo dj gj ye dz i yi j lj nj c kj u dz g".split()))
 #: Armenian letters whose names do not begin with their sound.
 ARMENIAN = {"ո": "o", "ւ": "v"}
 #: Alphabets whose letters have names that begin with their sound.
@@ -27,9 +27,15 @@ SILENT = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI")
 NASAL = ("ANUSVARA", "CANDRABINDU", "BINDI", "TIPPI")
 #: Kana whose usual spelling is not their name.
 KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji", "du": "zu"}
-#: Blocks of compatibility characters that stand for several: fractions and Latin digraphs, letter-like signs and numerals, ligatures.
-SEVERAL = (range(0xBC, 0x250), range(0x587, 0x588), range(0x2100, 0x2180), range(0xFB00, 0xFB18), range(0xFEF5, 0xFEFD))
-HANGUL, MARK = 0xAC00, r"[\p{L}\p{M}]"
+HANGUL, PAGE = 0xAC00, 64
+#: Control characters in spellings: an inherent vowel (the first kind silent at a word's end), a vowel sign or virama, a nukta, a nasal, the marks of voiced and half-voiced kana, a small kana, a doubled consonant, nothing.
+SILENT_VOWEL, VOWEL, SIGN, NUKTA, NASAL_SIGN, VOICED, HALF, SMALL, DOUBLE, NOTHING = map(chr, range(0x0E, 0x18))
+#: Patterns and what they are replaced with, in order.
+RULES = (
+    (NUKTA, ""), (f"[{SILENT_VOWEL}{VOWEL}]{SIGN}", ""), (VOWEL, "a"), (f"{SILENT_VOWEL}(?=[a-z{NASAL_SIGN}])", "a"),
+    (f"(?<![a-z])([bcdf-hj-np-tv-z]+){SILENT_VOWEL}", "$1a"), (f"{NASAL_SIGN}(?=[pbm])", "m"), (NASAL_SIGN, "n"),
+    (f"(?:sh|ch)i{VOICED}", "ji"), (f"k([aiueo]){VOICED}", "g$1"), (f"t?s([aiueo]){VOICED}", "z$1"), (f"t([aiueo]){VOICED}", "d$1"), (f"[fh]([aiueo]){VOICED}", "b$1"), (f"u{VOICED}", "vu"), (f"[fh]([aiueo]){HALF}", "p$1"),
+    (f"(sh|ch|j)i{SMALL}y", "$1"), (f"i{SMALL}y", "y"), (f"[aiueo]{SMALL}([aiueo])", "$1"), (f"{DOUBLE}([b-df-hj-np-tv-z])", "$1$1"), ("[\\x0E-\\x17]", ""))
 
 
 def plain(c: str) -> str:
@@ -45,64 +51,56 @@ def spelled_consonant(stem: str) -> str:
 
 
 @cache
-def letters() -> tuple[dict[str, str], dict[str, str]]:
-    """Spellings of letters and signs; kinds of the Brahmic ones: consonant, silent (a consonant whose vowel is silent at a word's end), sign, virama, nukta."""
-    spelled, kinds = dict(CYRILLIC), {}
+def letters() -> dict[str, str]:
+    """Spellings of letters and signs."""
+    spelled = {c: NOTHING if s == "-" else s for c, s in CYRILLIC.items()} | {"ー": NOTHING, "\u3099": VOICED, "ﾞ": VOICED, "\u309a": HALF, "ﾟ": HALF}
     for code in range(0x370, 0x10000):
         c = chr(code)
         words = unicodedata.name(c, "").split()
         own = next((w for w in words[:2] if w in ALPHABETS + BRAHMIC + ("HIRAGANA", "KATAKANA")), None)
-        last = words[-1].lower() if words else ""
         if own is None or c.lower() != c:
             continue
-        if own in BRAHMIC and words[-1] in NASAL:
-            spelled[c] = "~"
-        elif own in BRAHMIC and last == "visarga":
-            spelled[c] = "h"
-        elif own in BRAHMIC and last in ("virama", "nukta"):
-            kinds[c] = last
-        elif own in BRAHMIC and ("LETTER" in words or "VOWEL" in words):
-            sign = "VOWEL" in words
-            if len(last) > 4:
-                continue
-            if last[0] in "aeiou" or "VOCALIC" in words:
-                spelled[c] = last[0] + "i" if "VOCALIC" in words else re.sub(r"(.)\1", r"\1", last)
-            else:
-                spelled[c] = spelled_consonant(last.removesuffix("a"))
-            if sign or last[0] not in "aeiou" and "VOCALIC" not in words and last.endswith("a"):
-                kinds[c] = "sign" if sign else "silent" if own in SILENT else "consonant"
-        elif own in ("HIRAGANA", "KATAKANA") and "LETTER" in words:
-            small = "SMALL" in words
-            spelled[c] = "!" if small and last == "tu" else "^" * small + KANA.get(last, last)
+        last = words[-1].lower()
+        if own in BRAHMIC:
+            vowel = last[0] in "aeiou" or "VOCALIC" in words
+            if words[-1] in NASAL:
+                spelled[c] = NASAL_SIGN
+            elif last in ("visarga", "virama", "nukta"):
+                spelled[c] = {"visarga": "h", "virama": SIGN, "nukta": NUKTA}[last]
+            elif ("LETTER" in words or "VOWEL" in words) and len(last) < 5:
+                sound = last[0] + "i" if "VOCALIC" in words else re.sub(r"(.)\1", r"\1", last) if vowel else spelled_consonant(last.removesuffix("a"))
+                if not vowel and last.endswith("a"):
+                    sound += SILENT_VOWEL if own in SILENT else VOWEL
+                spelled[c] = SIGN * ("VOWEL" in words) + sound
         elif own in ALPHABETS and "LETTER" in words and unicodedata.normalize("NFKD", c) == c:
             name = next(w for w in words[words.index("LETTER") + 1 :] + [""] if w not in ("SMALL", "FINAL")).lower()
             sound = re.match("[aeiou]|[^aeiou]+", name)
             if sound and len(sound[0]) < 4:
                 spelled[c] = {"rh": "r", "tch": "ch"}.get(sound[0], sound[0])
-    spelled |= ARMENIAN
-    for block in SEVERAL:
-        for c in map(chr, block):
-            parts = "".join(spelled.get(x, x) for x in plain(c)).replace("\u2044", " ").lower()  # the slash of fractions
-            if len(parts) > 1 and parts.isascii() and parts.replace(" ", "").isalnum():
-                spelled[c.lower()] = parts
-    return spelled, kinds
+        elif own in ("HIRAGANA", "KATAKANA") and "LETTER" in words:
+            small = "SMALL" in words
+            spelled[c] = DOUBLE if small and last == "tu" else SMALL * small + KANA.get(last, last)
+    return spelled | ARMENIAN
 
 
 @cache
-def single() -> tuple[str, str]:
-    """Characters that stand for one other character: compatibility forms, accented letters, digits of all scripts."""
-    spelled, kinds = letters()
-    got = {}
+def table() -> tuple[str, str]:
+    """Pages of PAGE characters: the number of each (0: none), and the cells of all, empty where a character has no spelling."""
+    spelled, cells = letters(), {}
     for code in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)):
         c = chr(code)
-        low = plain(c).lower()
-        if c in spelled or c in kinds or c.lower() in spelled or unicodedata.category(c)[0] == "M" or HANGUL <= code < HANGUL + 11172:
-            continue
-        if unicodedata.category(c) == "Nd":
-            got[c] = str(unicodedata.digit(c))
-        elif len(low) == 1 and low != c and (low.isalnum() or low in spelled):
-            got[c] = low
-    return "".join(got), "".join(got.values())
+        parts = plain(c).replace("\u2044", " ").lower()  # the slash of fractions
+        got = spelled.get(c.lower(), "")
+        if not got and unicodedata.category(c) == "Nd":
+            got = str(unicodedata.digit(c))
+        elif not got and unicodedata.category(c)[0] != "M" and not HANGUL <= code < HANGUL + 11172 and (unicodedata.decomposition(c) or parts != c):
+            own = [x if x == " " or x.isascii() and x.isalnum() else spelled.get(x, "") for x in parts]
+            got = "".join(own) if all(own) else ""
+        if got:
+            cells[code] = got
+    pages = sorted({code // PAGE for code in cells})
+    numbers = {page: i + 1 for i, page in enumerate(pages)}
+    return ",".join(str(numbers.get(i, 0)) for i in range(pages[-1] + 1)), ",".join(cells.get(PAGE * page + i, "") for page in pages for i in range(PAGE))
 
 
 @cache
@@ -112,24 +110,25 @@ def hangul() -> tuple[list[str], list[str], list[str]]:
     return [name(588 * i)[:-1] for i in range(19)], [name(588 * 11 + 28 * i) for i in range(21)], [name(588 * 11 + i)[1:] for i in range(28)]
 
 
-def one_of(chars) -> str:
-    return "[" + "".join(sorted(chars)) + "]"
-
-
 def let(value: Column, then) -> Column:
     """then(value), with the value worked out once however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def others(c: Column) -> Column:
-    """Hangul syllables by their parts; letters without a table by their codes, each a word; marks vanish; all else is a blank."""
-    def one(ch: Column) -> Column:
-        code = F.ascii(ch) - HANGUL
-        first, middle, end = (F.array(*map(F.lit, part)) for part in hangul())
-        syllable = F.concat(F.get(first, F.floor(code / 588).cast("int")), F.get(middle, F.floor(code % 588 / 28).cast("int")), F.get(end, code % 28))
-        return F.when(code < 128 - HANGUL, ch).when(code.between(0, 11171), syllable).when(ch.rlike(r"\p{L}"), F.concat(F.lit(" u"), F.lower(F.hex(code + HANGUL)), F.lit(" "))).when(ch.rlike(r"\p{M}"), "").otherwise(" ")
+def looked_up(c: Column) -> Column:
+    """Characters by the table; Hangul syllables by their parts; letters without a spelling by their codes, each a word; marks vanish; all else is a blank."""
+    numbers, cells = (F.split(F.lit(x), ",") for x in table())
+    first, middle, end = (F.split(F.lit(",".join(part)), ",") for part in hangul())
+
+    def one(ch: Column, code: Column) -> Column:
+        i = code - HANGUL
+        syllable = F.concat(F.get(first, F.floor(i / 588).cast("int")), F.get(middle, F.floor(i % 588 / 28).cast("int")), F.get(end, i % 28))
+        page = F.get(numbers, F.shiftright(code, 6)).cast("int")
+        cell = F.when(page > 0, F.nullif(F.get(cells, (page - 1) * PAGE + code.bitwiseAND(PAGE - 1)), F.lit("")))
+        rest = F.when(ch.rlike(r"\p{L}"), F.concat(F.lit(" u"), F.lower(F.hex(code)), F.lit(" "))).when(ch.rlike(r"\p{M}"), "").otherwise(" ")
+        return F.when(code.between(32, 127), ch).when(code < 32, " ").when(i.between(0, 11171), syllable).otherwise(F.coalesce(cell, rest))
 
-    return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(t, ""), one), "")).otherwise(t))
+    return F.array_join(F.transform(F.split(c, ""), lambda ch: one(ch, F.ascii(ch))), "")
 
 
 def romanised(c: Column) -> Column:
@@ -139,28 +138,15 @@ def romanised(c: Column) -> Column:
     A consonant with an inherent vowel gets an `a` where no vowel sign or virama follows it, in northern scripts
     not at the end of a word. Letters of other scripts are their codes, an ideograph one word. NULL stays NULL.
     """
-    spelled, kinds = letters()
-    of = lambda kind: one_of(c for c, k in kinds.items() if k == kind)
-    t = F.regexp_replace(F.translate(c, *single()), of("nukta"), "")
+    t = F.replace(c, F.lit("ու"), F.lit("u"))
     for letter in CYRILLIC:  # letters with marks of their own
         apart = unicodedata.normalize("NFD", letter)
         if apart != letter:
             t = F.replace(t, F.lit(apart), F.lit(letter))
-    t = F.replace(t, F.lit("ու"), F.lit("u"))
-    voiced, half = "゙ﾞ", "゚ﾟ"
-    t = F.regexp_replace(F.regexp_replace(t, rf"(\p{{IsHiragana}}|\p{{IsKatakana}}|[ｦ-ﾝ])[{voiced}]", "<$1"), rf"(\p{{IsHiragana}}|\p{{IsKatakana}}|[ｦ-ﾝ])[{half}]", ">$1")
-    bound = one_of(c for c, k in kinds.items() if k in ("sign", "virama"))
-    t = F.regexp_replace(t, f"({of('consonant')})(?!{bound})", "$1a")
-    t = F.regexp_replace(t, f"({of('silent')})(?!{bound})(?={MARK})", "$1a")
-    t = F.regexp_replace(t, f"(?<!{MARK})({of('silent')})(?!{MARK})", "$1a")
-    t = F.regexp_replace(t, of("virama"), "")
-    tails: dict[str, list[str]] = {}
-    for letter, s in spelled.items():
-        if s[1:]:
-            tails.setdefault(s[1:], []).append(letter)
-    for tail, own in tails.items():
-        t = F.regexp_replace(t, f"({one_of(own)})", f"$1{tail}")
-    t = F.replace(F.translate(t, "".join(spelled), "".join(s[:1] for s in spelled.values())), F.lit("_"), F.lit(""))
-    for pattern, by in (("~(?=[pbm])", "m"), ("~", "n"), ("<(?:sh|ch)", "j"), ("<(?:f|h)", "b"), ("<k", "g"), ("<t?s", "z"), ("<t", "d"), (">(?:f|h)", "p"), ("(sh|ch|j)i\\^y", "$1"), ("i\\^y", "y"), ("[aiueo]\\^([aiueo])", "$1"), ("!([b-df-hj-np-tv-z])", "$1$1"), ("[!^<>]|ー", "")):
-        t = F.regexp_replace(t, pattern, by)
-    return others(t)
+
+    def settled(s: Column) -> Column:
+        for pattern, by in RULES:
+            s = F.regexp_replace(s, pattern, by)
+        return s
+
+    return let(looked_up(t), lambda s: F.when(s.rlike(r"[\x0E-\x17]"), settled(s)).otherwise(s))
