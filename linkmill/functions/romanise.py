@@ -116,7 +116,7 @@ def let(value: Column, then) -> Column:
 
 
 def looked_up(c: Column) -> Column:
-    """Characters by the table; Hangul syllables by their parts; letters without a spelling by their codes, each a word; marks vanish; all else is a blank."""
+    """Characters by the table; ASCII as it is; Hangul syllables by their parts; letters without a spelling by their codes, each a word; marks vanish; all else is a blank."""
     numbers, cells = (F.split(F.lit(x), ",") for x in table())
     first, middle, end = (F.split(F.lit(",".join(part)), ",") for part in hangul())
 
@@ -126,9 +126,11 @@ def looked_up(c: Column) -> Column:
         page = F.get(numbers, F.shiftright(code, 6)).cast("int")
         cell = F.when(page > 0, F.nullif(F.get(cells, (page - 1) * PAGE + code.bitwiseAND(PAGE - 1)), F.lit("")))
         rest = F.when(ch.rlike(r"\p{L}"), F.concat(F.lit(" u"), F.lower(F.hex(code)), F.lit(" "))).when(ch.rlike(r"\p{M}"), "").otherwise(" ")
-        return F.when(code.between(32, 127), ch).when(code < 32, " ").when(i.between(0, 11171), syllable).otherwise(F.coalesce(cell, rest))
+        return F.when(code.between(14, 23), " ").when(code < 128, ch).when(i.between(0, 11171), syllable).otherwise(F.coalesce(cell, rest))
 
-    return F.array_join(F.transform(F.split(c, ""), lambda ch: one(ch, F.ascii(ch))), "")
+    # Stretches of ASCII stay whole, so a long text with few foreign letters is few pieces.
+    pieces = F.regexp_extract_all(c, F.lit(r"[\x00-\x0D\x18-\x7F]+|[^\x00-\x0D\x18-\x7F]"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: one(p, F.ascii(p))), "")
 
 
 def romanised(c: Column) -> Column:

@@ -23,6 +23,13 @@ def test_spellings(spark):
     assert got == SPELLED
 
 
+def test_long_texts(spark):
+    """A very long text is spelled as its parts are."""
+    df = spark.createDataFrame([(1, "plain words, Кафе\nмир \x0e ok " * 40000), (2, "хлеб" * 100000), (3, "x" * 2000000 + "я")], "i int, c string")
+    got = {r.i: r.v for r in df.select("i", text.latin(F.col("c")).alias("v")).collect()}
+    assert got == {1: "plain words, kafe\nmir   ok " * 40000, 2: "khleb" * 100000, 3: "x" * 2000000 + "ya"}
+
+
 def test_every_letter_gets_ascii_and_every_table_is_whole(spark):
     """No character breaks a pattern or stays foreign; a spelling never holds the separator of cells."""
     assert all(len(c) == 1 and s and "," not in s for c, s in romanise.letters().items())
