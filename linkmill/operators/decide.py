@@ -59,17 +59,26 @@ def number_set(c: Column) -> Column:
     return F.array_distinct(F.transform(tokens(c), strip_zeros))
 
 
-def house_number_gate(rec_digits: Column, s1_digits: Column, rec_name: Column, s1_name: Column, unseen: float, t_eq: float, t_ne: float, t_and: float = 1.0) -> Column:
-    """The threshold of a pair, by its house numbers and an inserted "and"."""
-    a, b = number_set(rec_digits), number_set(s1_digits)
+def gate_side(digits: Column, name: Column) -> Column:
+    """What house_number_gate takes from one side of a pair, so that it is worked out once for each entity."""
+    t = tokens(name)
+    return F.struct(number_set(digits).alias("numbers"), F.array_contains(t, "and").alias("has_and"), F.array_contains(t, "et").alias("has_et"))
+
+
+def gate_of_sides(r: Column, s: Column, unseen: float, t_eq: float, t_ne: float, t_and: float = 1.0) -> Column:
+    """The threshold of a pair from both gate_sides."""
+    a, b = r["numbers"], s["numbers"]
     share = F.arrays_overlap(a, b)
-    r, s = tokens(rec_name), tokens(s1_name)
-    has = F.array_contains
-    extra = (has(r, "and") & ~has(s, "and")) | (has(r, "et") & has(s, "and") & ~has(r, "and"))
+    extra = (r["has_and"] & ~s["has_and"]) | (r["has_et"] & s["has_and"] & ~r["has_and"])
     base = F.when(share, t_eq).when((F.size(a) > 0) & (F.size(b) > 0), t_ne).otherwise(unseen)
     return F.when(extra & share, F.least(base, F.lit(t_and))).otherwise(base)
 
 
+def house_number_gate(rec_digits: Column, s1_digits: Column, rec_name: Column, s1_name: Column, unseen: float, t_eq: float, t_ne: float, t_and: float = 1.0) -> Column:
+    """The threshold of a pair, by its house numbers and an inserted "and"."""
+    return gate_of_sides(gate_side(rec_digits, rec_name), gate_side(s1_digits, s1_name), unseen, t_eq, t_ne, t_and)
+
+
 def logit_blend(ps: list[Column], ws: list[float]) -> Column:
     clip = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     z = sum((w * F.log(clip(p) / (1 - clip(p))) for p, w in zip(ps, ws)), F.lit(0.0))
