@@ -19,8 +19,9 @@ def assign_threshold(best: DataFrame, t: float) -> DataFrame:
 
 
 def mass(pairs: DataFrame) -> DataFrame:
-    """si, n_hat, p0: expected number of matches and the chance of none, over all pairs."""
-    return pairs.groupBy("si").agg(F.sum("p").alias("n_hat"), F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-7))))).alias("p0"))
+    """si, n_hat, log_p0, p0: expected number of matches and the chance of none, over all pairs; p0 is 0 where many pairs make it too small for a double, its logarithm is not."""
+    sums = pairs.groupBy("si").agg(F.sum("p").alias("n_hat"), F.sum(F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-7)))).alias("log_p0"))
+    return sums.withColumn("p0", F.exp("log_p0"))
 
 
 def assign_expected_f(pairs: DataFrame, best: DataFrame, p_min: float = 0.02, mass_scale: float = 1.0, use_empty: bool = True) -> DataFrame:
