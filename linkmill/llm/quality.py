@@ -19,7 +19,7 @@ SLOTS, FACTORS, EPOCHS, MAX_ROWS = 1 << 15, 4, 6, 6000
 #: Structure statistics follow the words' slots; each is cut into this many steps.
 STEPS = 8
 #: Most words whose slots a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 100_000
 _SENTENCE = re.compile(r"[.!?]+")
 
 
@@ -174,8 +174,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     m = fit(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast((m.w0, m.w, m.v))
 
-    @F.pandas_udf("double")
-    def scored(text):
-        return text.map(loaded(*model.value).score)
+    at = docs.columns.index("text")
 
-    return docs.filter(scored(F.coalesce("text", F.lit(""))) >= threshold)
+    def run(batches):
+        m = loaded(*model.value)
+        for b in batches:
+            yield b.filter(pa.array([m.score(t.as_py() or "") >= threshold for t in b.column(at)]))
+
+    return docs.mapInArrow(run, docs.schema)
