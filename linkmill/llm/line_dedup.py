@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 #: Lines of a run, words of a line that is a run by itself, words of a passage, words of a passage's fingerprint.
 RUN, FEW, PASSAGE, GRAM = 2, 3, 50, 10
-#: Low bits of a value that hold its place; the upper bits of its hash lead it, so that places break ties.
+#: Low bits of a place that hold its first word; the hash of its text leads it.
 _LOW = (1 << 31) - 1
+#: Words of smaller hashes are selected, about one in ten.
+ANCHOR = (1 << 64) // 10 - (1 << 63)
 _BLANKS = "\\t\\n\\u000B\\u000C\\r "
 
 
@@ -24,161 +23,59 @@ def bound(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-#: Multipliers of the two range hashes, odd, and the constants that mix their bits.
-_C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-#: Bytes that are hashed at a time, bytes of several texts that are, and words of more bytes than are hashed by polynomials.
-SEGMENT, BYTES, LONG = 1 << 19, 1 << 20, 256
-#: The six ASCII white-space characters.
-_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+def line_hashes(text: Column) -> Column:
+    """The hashes of each line's words. Tabs and the like become spaces, so that splitting needs no pattern."""
+    odd = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    plain = F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+    return F.transform(F.split(F.coalesce(plain, F.lit("")), "\n"), lambda line: F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    for c in _MIX:
-        x = (x ^ (x >> np.uint64(33))) * c
-    return x ^ (x >> np.uint64(33))
-
-
-@lru_cache(8)
-def powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The first powers of each multiplier and of its inverse."""
-    up = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, c, np.uint64)]) for c in _C]
-    down = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, pow(int(c), -1, 1 << 64), np.uint64)]) for c in _C]
-    return list(zip(up, down))
-
-
-def sums(x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of x times powers, from 0 on, and the inverse powers."""
-    up, down = powers(1 << max(12, len(x).bit_length()))[which]
-    return np.r_[np.uint64(0), np.cumsum(x * up[: len(x)], dtype=np.uint64)], down
-
-
-class Ranges:
-    """Two 64-bit hashes of any range of a row of words, in constant time: polynomials whose running sums are subtracted."""
-
-    def __init__(self, h: np.ndarray):
-        (a, i), (b, j) = sums(h, 0), sums(mixed(h ^ _MIX[1]), 1)
-        self.sums, self.down = (a, b), (i, j)
-
-    def of(self, start: np.ndarray, words: np.ndarray, which: int) -> np.ndarray:
-        s = self.sums[which]
-        return mixed((s[start + words] - s[start]) * self.down[which][start] + words.astype(np.uint64) * _C[1 - which])
-
-
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each window of `width` values, by doubling."""
-    step = 1
-    while step < width:
-        hop = min(step, width - step)
-        values = np.minimum(values[: len(values) - hop], values[hop:]) if len(values) > hop else values[:0]
-        step += hop
-    return values
+def selected(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """id, x, h, n, starts, anchors: word hashes, their number, the first words of lines and n behind them, the selected words.
 
+    Every window of words that a run of `gram` words may begin in, of a passage of `size`, selects the first word there
+    whose hash is below ANCHOR. A window without one selects its first word.
+    """
+    reach = size - gram + 1
+    lines = docs.select(F.col("doc_id").alias("id"), F.expr("hash(text)").alias("x"), F.filter(line_hashes(F.col("text")), lambda h: F.size(h) > 0).alias("lines"))
+    begins = F.flatten(F.transform("lines", lambda h: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), F.size(h) - 1))))
+    words = lines.select("id", "x", F.flatten("lines").alias("h"), F.array_compact(F.transform(begins, lambda b, i: F.when(b, i))).alias("starts"))
+    marks = F.when(F.size("h") >= size, F.array_compact(F.transform("h", lambda v, i: F.when(v < ANCHOR, i))))
+    words = words.select("id", "x", "h", F.size("h").alias("n"), F.concat("starts", F.array(F.size("h"))).alias("starts"), marks.alias("marks"))
 
-def line_rows(r: Ranges, at: np.ndarray, n: np.ndarray, doc: np.ndarray, run: int, few: int):
-    """start, span (words, negative), f and k of each run of lines that is looked for. at, n, doc: the lines' first words, words and documents.
+    def with_gap(a, j):
+        before, last = F.coalesce(F.get("marks", j - 1), F.lit(-1)), F.least(a - reach, F.col("n") - size)
+        return F.when(last > before, F.concat(F.sequence(before + 1, last), F.array(a))).otherwise(F.array(a))
 
-    A line of `few` words is a run. Of `run` lines with a shorter one among them, winnowing takes
-    the smallest line of each window; its row is the window's.
-    """
-    g = [r.of(at, n, i) for i in (0, 1)]
-    long = n >= few
-    yield at[long], -n[long], *(x[long] for x in g)
-    first = np.arange(max(0, len(n) - run + 1))
-    first = first[(doc[first] == doc[first + run - 1]) & np.logical_or.reduce([~long[first + j] for j in range(run)])] if len(first) else first
-    keys = [np.full(len(first), 2, np.uint64) for _ in g]
-    for j in range(run):
-        keys = [mixed(k * c + x[first + j]) for k, x, c in zip(keys, g, _C)]
-    end = first + run - 1
-    yield at[first], at[first] - at[end] - n[end], *keys
-
-
-def passage_rows(h: np.ndarray, r: Ranges, end: np.ndarray, size: int, gram: int):
-    """start, span, f and k of each block of passages. end: of each word, where its document's words end.
-
-    Each passage of `size` words selects the smallest word hash among those where a run of `gram`
-    words fits, the first one among equals. Passages that select one word follow one another; they
-    are a block. f is the hash of the selected run, the guaranteed fingerprint; k that of all words
-    of the block. span: words * 256 + passages beyond the first.
-    """
-    place = np.arange(len(h))
-    least = window_minima((h & ~np.uint64(_LOW)) | place.astype(np.uint64), size - gram + 1)
-    start = np.flatnonzero(place[: len(least)] + size <= end[: len(least)])
-    if not len(start):
-        return start, start, start.astype(np.uint64), start.astype(np.uint64)
-    p = (least[start] & np.uint64(_LOW)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)])
-    more = np.diff(np.r_[first, len(start)]) - 1
-    return start[first], (more + size) * 256 + more, r.of(p[first], np.full(len(first), gram), 0), r.of(start[first], more + size, 1)
-
-
-def segments(data: np.ndarray):
-    """Borders of parts of about SEGMENT bytes that no word crosses."""
-    a = 0
-    while a < len(data):
-        b = min(len(data), a + SEGMENT)
-        while b < len(data) and not _BLANK[data[b - 1]]:
-            blank = np.flatnonzero(_BLANK[data[b : b + SEGMENT]])
-            b = b + int(blank[0]) + 1 if len(blank) else min(len(data), b + SEGMENT)
-        yield a, b
-        a = b
-
-
-def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts: the hashes of their words, the words of each line that has any, the text of each such line, and the words of each text."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    h, at, line, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for a, b in segments(data):
-        part = data[a:b]
-        edge = np.diff(np.r_[True, _BLANK[part], True].astype(np.int8))
-        s, e = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
-        total, down = sums(part.astype(np.uint64), 0)
-        own = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _C[1])
-        for i in np.flatnonzero(e - s > LONG).tolist():
-            own[i] = xxhash.xxh64_intdigest(part[s[i] : e[i]].tobytes())
-        breaks = np.cumsum(part == 10)
-        h.append(own)
-        at.append(s + a)
-        line.append(breaks[s] + lines)
-        lines += int(breaks[-1])
-    h, at, line = map(np.concatenate, (h, at, line))
-    text = np.searchsorted(begin, at, "right") - 1
-    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else line
-    return h, np.diff(np.r_[first, len(line)]), text[first], np.bincount(text, minlength=len(texts))
-
-
-def by_bytes(texts: list[bytes]):
-    """Runs of neighbouring texts of about BYTES; a longer text is by itself."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > BYTES:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, texts[start:]
+    gaps = F.flatten(F.transform(F.concat("marks", F.array(F.col("n") + size)), with_gap))
+    return words.select("id", "x", "h", "n", "starts", F.coalesce(gaps, F.array().cast("array<int>")).alias("anchors"))
 
 
 def fingerprints(docs: DataFrame, run: int, few: int, size: int, gram: int) -> DataFrame:
     """id, x, start, span, f, k of all runs of lines and all blocks of passages: one scan, one row for each.
 
-    x: a hash of the text; with id and the first word's place it orders places.
+    x: a hash of the text; with id and the first word's place it orders places. A line of `few` words is a run. Of
+    `run` lines with a shorter one among them, winnowing takes the smallest line of each window; its row is the
+    window's. Passages that select one word follow one another; they are a block. f is the hash of the selected run
+    of words, the guaranteed fingerprint; k that of all words of the row.
+    span: of lines the words, negative; of blocks words * 256 + passages beyond the first.
     """
-    def rows(batches):
-        for b in batches:
-            for at, texts in by_bytes(b.column(2).to_pylist()):
-                h, lines, doc, sizes = hashed(texts)
-                begin, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
-                r, of = Ranges(h), np.repeat(np.arange(len(texts)), sizes)
-                parts = [*line_rows(r, np.cumsum(lines) - lines, lines, doc, run, few), passage_rows(h, r, end[of], size, gram)]
-                start, span, f, k = (np.concatenate(x) for x in zip(*parts))
-                d = of[start]
-                row = pa.array(d + at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array((start - begin[d]).astype(np.int32)), pa.array(span.astype(np.int64)), pa.array(f.view(np.int64)), pa.array(k.view(np.int64))], ["id", "x", "start", "span", "f", "k"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(F.col("doc_id").alias("id"), F.expr("hash(text)").alias("x"), F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(rows, f"id {kind}, x int, start int, span long, f long, k long")
+    part = lambda kind, of: F.struct(F.lit(kind).alias("kind"), of.alias("of"))
+    rows = selected(docs, size, gram)
+    rows = rows.select("id", "x", "h", "n", F.inline(F.array(part(0, F.concat(F.array(F.lit(-1)), "anchors")), part(1, F.col("starts")), part(2, F.col("starts")))))
+    rows = rows.select("*", F.posexplode("of").alias("j", "at"))
+    passage, line = F.col("kind") == 0, lambda j: F.get("of", F.col("j") + j + 1) - F.get("of", F.col("j") + j)
+    rows = rows.select("*", F.get("of", F.col("j") + F.when(F.col("kind") == 2, run).otherwise(1)).alias("to"))
+    short = reduce(lambda x, y: x | y, [line(j) < few for j in range(run)])
+    kept = F.when(passage, F.least("to", F.col("n") - size) > F.col("at")).when(F.col("kind") == 1, F.col("to") - F.col("at") >= few).otherwise(short)
+    # A block's passages begin behind the word before the selected one, a line at its first word.
+    sizes = [F.when(F.col("kind") == 2, line(j)).alias(f"line{j}") for j in range(run - 1)]
+    start, words = F.when(passage, F.col("at") + 1).otherwise(F.col("at")), F.when(passage, F.least("to", F.col("n") - size) - F.col("at") - 1 + size).otherwise(F.col("to") - F.col("at"))
+    rows = rows.filter(F.col("to").isNotNull() & kept).select("id", "x", "h", "kind", "to", start.alias("start"), words.alias("words"), *sizes)
+    sort = ["kind", *[f"line{j}" for j in range(run - 1)]]
+    span = F.when(passage, F.col("words").cast("long") * 256 + F.col("words") - size).otherwise(-F.col("words"))
+    f = F.xxhash64(*sort, F.slice("h", F.when(passage, F.col("to")).otherwise(F.col("start")) + 1, F.when(passage, F.lit(gram)).otherwise(F.col("words"))))
+    return rows.select("id", "x", "start", span.alias("span"), f.alias("f"), F.xxhash64(F.lit(1), *sort, F.slice("h", F.col("start") + 1, F.col("words"))).alias("k"))
 
 
 def _start(at: str = "at") -> str:
@@ -220,20 +117,9 @@ def later_passages(docs: DataFrame, blocks: DataFrame, size: int, work: Scratch)
     texts = docs.select("doc_id", "text", F.expr("hash(text)").alias("tx"))
     met = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tx") == F.col("x")))
 
-    def passages(batches):
-        for b in batches:
-            for at, texts in by_bytes(b.column(2).to_pylist()):
-                h, _, _, sizes = hashed(texts)
-                marks = [b.column(c).slice(at, len(texts)) for c in (3, 4)]
-                d = np.repeat(np.arange(len(texts)), np.diff(marks[0].offsets.to_numpy()))
-                start, more = (m.flatten().to_numpy().astype(np.int64) for m in marks)
-                d, s = np.repeat(d, more + 1), np.repeat(start - np.cumsum(more + 1) + more + 1, more + 1) + np.arange((more + 1).sum())
-                r, place, n = Ranges(h), (np.cumsum(sizes) - sizes)[d] + s, np.full(len(s), size)
-                row = pa.array(d + at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(s.astype(np.int32)), *(pa.array(r.of(place, n, j).view(np.int64)) for j in (0, 1))], ["id", "x", "s", "f", "k"])
-
-    found = met.select("id", "x", F.col("text").cast("binary").alias("t"), F.expr("transform(bs, b -> b.start)").alias("start"), F.expr("transform(bs, b -> b.more)").alias("more"))
-    found = found.mapInArrow(passages, f"id {dict(docs.dtypes)['doc_id']}, x int, s int, f long, k long")
+    found = met.select("id", "x", F.flatten(line_hashes(F.col("text"))).alias("h"), F.flatten(F.transform("bs", lambda b: F.sequence(b.start, b.start + b.more))).alias("s"))
+    passage = F.slice("h", F.col("s") + 1, F.lit(size))
+    found = found.select("id", "x", "h", F.explode("s").alias("s")).select("id", "x", "s", F.xxhash64(passage).alias("f"), F.xxhash64(F.lit(1), passage).alias("k"))
     held = work.keep(found.select("id", F.expr("shiftleft(cast(x as bigint), 32) | s").alias("at"), "f", "k"), "passages")
     often = work.keep(held.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f"), "passages-often")
     held = work.keep(held.join(often.hint("shuffle_hash"), "f", "left_semi"), "passages-rows")
