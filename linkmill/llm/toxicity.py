@@ -170,7 +170,7 @@ class Sentences:
         for i, t in enumerate(texts):
             for s in _SENTENCE.split(t.lower()):
                 if own := {w[j : j + PIECE] for w in _WORD.findall(s) for j in range(0, len(w), PIECE)}:
-                    self.of += sorted(number.setdefault(w, len(number)) for w in own)
+                    self.of += sorted(number.setdefault(w, len(number)) for w in sorted(own))  # a set's order differs from run to run
                     sizes.append(len(own))
                     rows.append(i)
         self.words, self.of, self.rows = list(number), np.array(self.of, np.int64), np.array(rows, np.int64)
